@@ -22,13 +22,22 @@ def wall_seconds(text: Column) -> Column:
     """
     for pattern, order in NOTATIONS:
         text = F.regexp_replace(text, pattern, order)
-    parts = F.split(text, r"\|")
-    part = lambda i: F.try_element_at(parts, F.lit(i + 1)).try_cast("int")
-    clock = lambda i: F.coalesce(part(i), F.lit(0))
-    day = F.try_make_timestamp_ntz(part(0), part(1), part(2), F.lit(0), F.lit(0), F.lit(0))
-    days = F.datediff(day.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-    ok = (F.size(parts) == 6) & (clock(3) < 24) & (clock(4) < 60) & (clock(5) < 60)
-    return F.when(ok, days * 86400 + clock(3) * 3600 + clock(4) * 60 + clock(5))
+
+    def seconds(parts: Column) -> Column:
+        part = lambda i: F.try_element_at(parts, F.lit(i + 1)).try_cast("int")
+        clock = lambda i: F.coalesce(part(i), F.lit(0))
+        day = F.try_make_timestamp_ntz(part(0), part(1), part(2), F.lit(0), F.lit(0), F.lit(0))
+        days = F.datediff(day.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+        ok = (F.size(parts) == 6) & (clock(3) < 24) & (clock(4) < 60) & (clock(5) < 60)
+        return F.when(ok, days * 86400 + clock(3) * 3600 + clock(4) * 60 + clock(5))
+
+    # A lambda's argument is evaluated once, however often the result's expression names it.
+    return F.transform(F.array(F.split(text, r"\|")), seconds)[0]
+
+
+def each_known(value: Column) -> Column:
+    """``value`` as a generator: no row where it is null, and evaluated once (a filter would evaluate it again)."""
+    return F.explode(F.array_compact(F.array(value)))
 
 
 def wall_text(seconds: Column, minutes: bool = True) -> Column:

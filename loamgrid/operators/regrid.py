@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgrid.functions.timeparse import clean_key, clean_number, wall_seconds
+from loamgrid.functions.timeparse import clean_key, clean_number, each_known, wall_seconds
 
 
 def step_values(df: DataFrame, steps: DataFrame, series: str, time_text: str, value: str, received: str, missing=(-999.0,)) -> DataFrame:
@@ -16,9 +16,9 @@ def step_values(df: DataFrame, steps: DataFrame, series: str, time_text: str, va
     """
     rows = df.select(
         clean_key(F.col(series)).alias("series"),
-        wall_seconds(F.col(time_text)).alias("at"),
+        each_known(wall_seconds(F.col(time_text))).alias("at"),
         F.struct(F.col(received).alias("received"), clean_number(F.col(value), *missing).alias("value")).alias("sent"),
-    ).where(F.col("series").isNotNull() & F.col("at").isNotNull() & F.col("sent.value").isNotNull())
+    ).where(F.col("series").isNotNull() & F.col("sent.value").isNotNull())
     readings = rows.groupBy("series", "at").agg(F.max("sent").alias("sent"))
     onto = readings.join(steps, "series").withColumn("step", F.floor(F.col("at") / F.col("width")))
     return onto.groupBy("series", "width", "step").agg(F.avg("sent.value").alias("value"))
@@ -57,7 +57,7 @@ def regular_grid(values: DataFrame, max_fill: int = 3, bounds: DataFrame | None
 
 def reading_bounds(df: DataFrame, steps: DataFrame, series: str, time_text: str) -> DataFrame:
     """``series, lo, hi``: the steps of the first and last row with a readable time, with a value or without."""
-    rows = df.select(clean_key(F.col(series)).alias("series"), wall_seconds(F.col(time_text)).alias("at")).where("series is not null and at is not null")
+    rows = df.select(clean_key(F.col(series)).alias("series"), each_known(wall_seconds(F.col(time_text))).alias("at")).where("series is not null")
     ends = rows.groupBy("series").agg(F.min("at").alias("a"), F.max("at").alias("b")).join(steps, "series")
     return ends.select("series", F.floor(F.col("a") / F.col("width")).alias("lo"), F.floor(F.col("b") / F.col("width")).alias("hi"))
 

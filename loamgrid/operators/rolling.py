@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgrid.functions.timeparse import clean_key, clean_number, wall_seconds
+from loamgrid.functions.timeparse import clean_key, clean_number, each_known, wall_seconds
 
 MICRO = 1_000_000
 
@@ -20,9 +20,9 @@ def latest_readings(df: DataFrame, series: str, time_text: str, value: str, rece
     """
     rows = df.select(
         clean_key(F.col(series)).alias("series"),
-        wall_seconds(F.col(time_text)).alias("at"),
+        each_known(wall_seconds(F.col(time_text))).alias("at"),
         F.struct(F.col(received).alias("received"), clean_number(F.col(value), *missing).alias("value")).alias("sent"),
-    ).where(F.col("series").isNotNull() & F.col("at").isNotNull())
+    ).where(F.col("series").isNotNull())
     return rows.groupBy("series", "at").agg(F.max("sent").alias("sent")).select("series", "at", F.col("sent.value").alias("value"))
 
 
