@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamgrid.llm.clusters import GridClusters
+from loamgrid.llm.leaks import LeakSearch
+from loamgrid.llm.packing import Packing
+from loamgrid.llm.reading import fit_reading_model, reading_levels
 from loamgrid.llm.sampling import TargetSample, pixel_rows, request_targets
 from loamgrid.llm.splits import grouped_split, hash_to_min, star_edges
 from loamgrid.storage import read
 
 BANDS = ("b02", "b03", "b04", "b08", "b11", "b12")
+RANKS, CAPACITY = "/opt/tokenizers/byte_bpe_50k.tiktoken", 2048
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
@@ -76,7 +80,56 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("label", "split", "n", F.round(F.col("n") / total, 4).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_described, p2_found, p2_report, p2_sample, p6_found, p6_splits, p6_shares)}
+def _packing(spark: SparkSession, sf_dir: str) -> Packing:
+    return Packing(read(spark, sf_dir, "documents"), "doc_id", "text", RANKS, CAPACITY)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing(spark, sf_dir).split_items().select(F.col("key").alias("doc_id"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing(spark, sf_dir).containers().withColumnRenamed("key", "doc_id")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are: one row a tenth of fill."""
+    fill = _packing(spark, sf_dir).containers().groupBy("container_id").agg(F.sum("length").alias("used"))
+    tenth = F.least(F.lit(9), F.floor(F.col("used") * 10 / CAPACITY)).cast("int")
+    return fill.groupBy(tenth.alias("tenth")).agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LeakSearch(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "eval_items"), "item_id", "passage").leaks()
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which items leaked: documents and the largest share carried."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("docs"), F.round(F.max("share"), 3).alias("most"))
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit_reading_model(read(spark, sf_dir, "graded_texts"), "text", "reading_level")
+    docs = read(spark, sf_dir, "documents").where(F.lower(F.ltrim("lang")).startswith("en"))
+    docs = docs.where(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) >= 60)
+    return reading_levels(docs, "doc_id", "text", model)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir).select(F.col("key").alias("doc_id"), "reading_level")
+
+
+def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each level by category."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "category")
+    return _levels(spark, sf_dir).join(docs, "key").groupBy("category", "reading_level").agg(F.count("*").alias("docs"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_described, p2_found, p2_report, p2_sample, p6_found, p6_splits, p6_shares, p7_found, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_profile)}
 
 _OK = " and ".join(f"{b} is not null and not isnan({b}) and {b} <> -9999" for b in BANDS)
 _P2 = f"""
