@@ -1,0 +1,309 @@
+"""Layers of shapes as DataFrames: ``fid``, attributes and a ``shape`` column (parts, rings, points), in a metric plane unless said otherwise.
+
+Row-wise work with plain formulas is in Column expressions; set operations run in Arrow batches on one feature or one pair at a time.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from loamgrid.functions import geometry as G
+from loamgrid.functions.curves import great_circle
+
+
+def _shape(v) -> list:
+    return [[[list(map(float, p)) for p in ring] for ring in part] for part in v] if v is not None else []
+
+
+def map_shapes(df: DataFrame, function, shape: str = "shape", drop_empty: bool = True) -> DataFrame:
+    """``function(parts) -> parts`` on every row's shape, in Arrow batches; rows left without a shape are dropped."""
+    schema = df.schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.copy()
+            pdf[shape] = [function(_shape(s)) if s is not None else None for s in pdf[shape]]
+            if drop_empty:
+                pdf = pdf[[bool(s) for s in pdf[shape]]]
+            yield pdf
+
+    return df.mapInPandas(run, schema)
+
+
+def buffer(df: DataFrame, distance: float, kind: str = "polygon", segments: int = 64, shape: str = "shape") -> DataFrame:
+    """Buffers in the plane's unit; negative distances shrink polygons and vanished ones are dropped."""
+    return map_shapes(df, lambda parts: G.buffer_shape(kind, parts, distance, segments), shape).withColumn("buffer_m", F.lit(float(distance)))
+
+
+def simplify(df: DataFrame, tolerance: float, shape: str = "shape") -> DataFrame:
+    """Fewer vertices within a tolerance; a ring that would lose its area is kept as it is."""
+
+    def one(parts):
+        out = []
+        for part in parts:
+            rings = []
+            for ring in part:
+                s = G.simplify_line(ring, tolerance)
+                rings.append(s if len(s) > 3 or ring[0] != ring[-1] else ring)
+            out.append(rings)
+        return out
+
+    return map_shapes(df, one, shape)
+
+
+def repair(df: DataFrame, shape: str = "shape") -> DataFrame:
+    return map_shapes(df, G.repaired, shape)
+
+
+def convex_hulls(df: DataFrame, shape: str = "shape") -> DataFrame:
+    return map_shapes(df, lambda parts: [[G.convex_hull([p for part in parts for ring in part for p in ring])]], shape)
+
+
+def layer_hull(df: DataFrame, shape: str = "shape") -> DataFrame:
+    """One hull of all shapes: hulls of batches first, so that only their corners meet."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list = []
+        for pdf in batches:
+            kept = G.convex_hull(kept + [p for s in pdf["shape"] if s is not None for part in s for ring in part for p in ring])
+        yield pd.DataFrame({"x": [p[0] for p in kept], "y": [p[1] for p in kept]})
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"shape": [[[G.convex_hull(pdf[["x", "y"]].to_numpy().tolist())]]]})
+
+    corners = df.select(F.col(shape).alias("shape")).mapInPandas(partial, "x double, y double")
+    return corners.groupBy(F.lit(1)).applyInPandas(last, f"shape {G.SHAPE}")
+
+
+def measures(df: DataFrame, shape: str = "shape") -> DataFrame:
+    """area_m2 (2 places), area_ha (4), perimeter_m (2) and the centroid x, y; no Python."""
+    c = G.shape_centroid(F.col(shape))
+    area = G.shape_area(F.col(shape))
+    return df.withColumns({"area_m2": F.bround(area, 2), "area_ha": F.bround(area / 10_000, 4), "perimeter_m": F.bround(G.shape_length(F.col(shape)), 2), "centroid": c})
+
+
+def boxes(df: DataFrame, shape: str = "shape") -> DataFrame:
+    return df.withColumn("box", G.shape_box(F.col(shape)))
+
+
+def layer_box(df: DataFrame, shape: str = "shape") -> DataFrame:
+    b = df.select(G.shape_box(F.col(shape)).alias("b"))
+    return b.agg(F.min("b.x0").alias("x0"), F.min("b.y0").alias("y0"), F.max("b.x1").alias("x1"), F.max("b.y1").alias("y1"))
+
+
+def explode_parts(df: DataFrame, shape: str = "shape") -> DataFrame:
+    """One row a part, numbered from 1."""
+    rest = [c for c in df.columns if c != shape]
+    return df.select(*rest, F.posexplode(shape).alias("__i", "__part")).select(*rest, (F.col("__i") + 1).alias("part"), F.array("__part").alias(shape))
+
+
+def polygons_to_lines(df: DataFrame, shape: str = "shape") -> DataFrame:
+    """Each ring as a part of its own."""
+    return df.withColumn(shape, F.transform(F.flatten(shape), lambda ring: F.array(ring)))
+
+
+def lines_to_polygons(df: DataFrame, shape: str = "shape") -> DataFrame:
+    """Closed lines as polygons with ``area_ha``; open ones are dropped."""
+    closed = F.filter(F.col(shape), lambda p: (F.size(p[0]) > 3) & (p[0][0] == F.element_at(p[0], -1)))
+    out = df.withColumn(shape, closed).where(F.size(shape) > 0)
+    return out.withColumn("area_ha", F.bround(G.shape_area(F.col(shape)) / 10_000, 4))
+
+
+def vertices(df: DataFrame, key: str, shape: str = "shape") -> DataFrame:
+    """``key, vertex, x, y``: all vertices, numbered from 1, without the point that closes a ring."""
+    open_ring = lambda r: F.when((F.size(r) > 1) & (r[0] == F.element_at(r, -1)), F.slice(r, 1, F.size(r) - 1)).otherwise(r)
+    pts = F.flatten(F.transform(F.flatten(shape), open_ring))
+    return df.select(key, F.posexplode(pts).alias("i", "p")).select(key, (F.col("i") + 1).alias("vertex"), F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
+def split_lines(df: DataFrame, key: str, shape: str = "shape") -> DataFrame:
+    """``key, segment, x1, y1, x2, y2, length_m``: consecutive vertex pairs."""
+    pairs = lambda r: F.transform(F.when(F.size(r) > 1, F.sequence(F.lit(1), F.size(r) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(r[i - 1].alias("a"), r[i].alias("b")))
+    each = df.select(key, F.posexplode(F.flatten(F.transform(F.flatten(shape), pairs))).alias("i", "s"))
+    a, b = F.col("s.a"), F.col("s.b")
+    return each.select(key, (F.col("i") + 1).alias("segment"), a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"), F.hypot(b[0] - a[0], b[1] - a[1]).alias("length_m"))
+
+
+def points_along(df: DataFrame, key: str, distance: float, ends: bool = True, shape: str = "shape") -> DataFrame:
+    """``key, distance_m, x, y`` every ``distance`` along each line (and at its end).
+
+    Segments know where they start on the line (a running sum over a feature's segments) and generate their own points.
+    """
+    seg = split_lines(df, key, shape)
+    w = Window.partitionBy(key).orderBy("segment")
+    run = seg.withColumn("start", F.sum("length_m").over(w) - F.col("length_m")).withColumn("last", F.lead("segment").over(w).isNull())
+    stop = F.col("start") + F.col("length_m")
+    first, final = F.ceil(F.col("start") / distance), F.ceil(stop / distance) - 1
+    marks = F.transform(F.when(first <= final, F.sequence(first, final)).otherwise(F.array().cast("array<long>")), lambda i: i * distance)
+    last = F.when(F.col("last") & F.lit(ends), F.array(stop)).otherwise(F.array().cast("array<double>"))
+    at = run.withColumn("distance_m", F.explode(F.concat(marks.cast("array<double>"), last)))
+    t = F.coalesce(F.try_divide(F.col("distance_m") - F.col("start"), "length_m"), F.lit(0.0))
+    return at.select(key, "distance_m", (F.col("x1") + (F.col("x2") - F.col("x1")) * t).alias("x"), (F.col("y1") + (F.col("y2") - F.col("y1")) * t).alias("y"))
+
+
+def points_to_lines(df: DataFrame, group: str, order: str, x: str, y: str, ties: str, close: bool = False) -> DataFrame:
+    """One line a group through its points in order (null last, ties by ``ties``); groups of one point are dropped."""
+    pt = F.struct(F.col(order).isNull().alias("n"), F.col(order).alias("o"), F.col(ties).alias("t"), F.array(F.col(x), F.col(y)).alias("p"))
+    g = df.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(pt)), lambda s: s["p"]).alias("ring")).where(F.size("ring") > 1)
+    ring = F.concat("ring", F.slice("ring", 1, 1)) if close else F.col("ring")
+    return g.select(group, F.size("ring").alias("points"), F.array(F.array(ring)).alias("shape"))
+
+
+def fishnet(spark, x0: float, y0: float, x1: float, y1: float, cell: float) -> DataFrame:
+    """Square cells over a box, rows from the top: ``row, col, x0, y0, x1, y1``."""
+    rows, cols = max(1, math.ceil((y1 - y0) / cell - 1e-9)), max(1, math.ceil((x1 - x0) / cell - 1e-9))
+    grid = spark.range(rows * cols).select(F.floor(F.col("id") / cols).cast("int").alias("row"), (F.col("id") % cols).cast("int").alias("col"))
+    return grid.select("row", "col", (x0 + F.col("col") * cell).alias("x0"), (y1 - (F.col("row") + 1) * cell).alias("y0"), (x0 + (F.col("col") + 1) * cell).alias("x1"), (y1 - F.col("row") * cell).alias("y1"))
+
+
+def box_cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column:
+    """All grid cells (struct i, j) that a box touches."""
+    span = lambda a, b: F.sequence(F.floor(a / size), F.floor(b / size))
+    return F.flatten(F.transform(span(x0, x1), lambda i: F.transform(span(y0, y1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+
+
+def box_pairs(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
+    """Pairs of rows whose boxes overlap: ``a`` and ``b`` need a_x0 .. a_y1 and b_x0 .. b_y1. Each pair once.
+
+    Boxes go to the grid cells they touch, equal cells join (sorted, skew split by AQE), and a pair is kept in the cell that
+    holds the lower corner of its common box.
+    """
+    left = a.withColumn("__c", F.explode(box_cells(F.col("a_x0"), F.col("a_y0"), F.col("a_x1"), F.col("a_y1"), size)))
+    right = b.withColumn("__c", F.explode(box_cells(F.col("b_x0"), F.col("b_y0"), F.col("b_x1"), F.col("b_y1"), size)))
+    met = left.join(right, "__c").where((F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1")))
+    own = (F.col("__c.i") == F.floor(F.greatest("a_x0", "b_x0") / size)) & (F.col("__c.j") == F.floor(F.greatest("a_y0", "b_y0") / size))
+    return met.where(own).drop("__c")
+
+
+def _boxed(df: DataFrame, side: str, shape: str) -> DataFrame:
+    named = df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns))
+    b = G.shape_box(F.col(f"{side}_{shape}"))
+    return named.withColumn("__b", b).withColumns({f"{side}_{k}": F.col(f"__b.{k}") for k in ("x0", "y0", "x1", "y1")}).drop("__b")
+
+
+def overlay_pairs(a: DataFrame, b: DataFrame, size: float, shape: str = "shape") -> DataFrame:
+    """Intersecting pairs: all columns as a_*, b_*, the common piece ``shape`` and its ``area``. Touching pairs have area 0 and no piece."""
+    pairs = box_pairs(_boxed(a, "a", shape), _boxed(b, "b", shape), size).drop(*(f"{s}_{k}" for s in "ab" for k in ("x0", "y0", "x1", "y1")))
+    schema = pairs.schema.add("shape", pairs.schema[f"a_{shape}"].dataType).add("area", "double")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep = G.OPERATIONS["intersection"]
+        for pdf in batches:
+            pdf = pdf.copy()
+            pdf["shape"] = [G.set_operation(_shape(p), _shape(q), keep) for p, q in zip(pdf[f"a_{shape}"], pdf[f"b_{shape}"], strict=True)]
+            pdf["area"] = [G.area_of(s) for s in pdf["shape"]]
+            yield pdf[pdf["area"] > 0]
+
+    return pairs.mapInPandas(run, schema)
+
+
+def difference(a: DataFrame, b: DataFrame, key: str, size: float, shape: str = "shape") -> DataFrame:
+    """Each a without the b shapes that meet it; the b of one a are gathered (those whose boxes overlap, not the layer)."""
+    pairs = box_pairs(_boxed(a.select(key, shape), "a", shape), _boxed(b.select(shape), "b", shape), size)
+    cutters = pairs.groupBy(f"a_{key}").agg(F.flatten(F.collect_list(f"b_{shape}")).alias("__cut")).withColumnRenamed(f"a_{key}", "__key")
+    joined = a.join(cutters, F.col(key) == F.col("__key"), "left").drop("__key")
+    schema = a.schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep = G.OPERATIONS["difference"]
+        for pdf in batches:
+            pdf = pdf.copy()
+            pdf[shape] = [_shape(s) if c is None else G.set_operation(_shape(s), _shape(c), keep) for s, c in zip(pdf[shape], pdf["__cut"], strict=True)]
+            yield pdf[[bool(s) for s in pdf[shape]]].drop(columns="__cut")
+
+    return joined.mapInPandas(run, schema)
+
+
+def overlay(a: DataFrame, b: DataFrame, how: str, key: str, size: float, shape: str = "shape") -> DataFrame:
+    """intersection, clip, difference, symmetric or union; attributes of b that clash get the prefix b_."""
+    if how == "difference":
+        return difference(a, b, key, size, shape)
+    attrs_a = [c for c in a.columns if c != shape]
+    attrs_b = [c for c in b.columns if c != shape]
+    name_b = {c: f"b_{c}" if c in a.columns else c for c in attrs_b}
+    if how in ("intersection", "clip", "union"):
+        pieces = overlay_pairs(a, b, size, shape)
+        cols = [F.col(f"a_{c}").alias(c) for c in attrs_a] + ([F.col(f"b_{c}").alias(name_b[c]) for c in attrs_b] if how != "clip" else [])
+        inner = pieces.select(*cols, "shape")
+        if how != "union":
+            return inner
+    only_a = difference(a, b, key, size, shape)
+    only_b = difference(b, a, key, size, shape).select(*(F.col(c).alias(name_b[c]) for c in attrs_b), shape)
+    outer = only_a.unionByName(only_b, allowMissingColumns=True)
+    return outer if how == "symmetric" else inner.unionByName(outer, allowMissingColumns=True)
+
+
+def dissolve(df: DataFrame, field: str | None, shape: str = "shape", parts: int = 32, key: str = "fid") -> DataFrame:
+    """One shape a value of the field (null is a group) or one in all, with the number of ``features``.
+
+    Shapes are merged in hashed parts of a group first and the merged parts then; no group's raw shapes meet in one task.
+    """
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        shapes = [p for s in pdf["shape"] for p in _shape(s)]
+        return pd.DataFrame({"value": [pdf["value"].iloc[0]], "features": [int(pdf["features"].sum())], "shape": [G.set_operation(shapes, [], lambda p, q: p)]})
+
+    value = F.col(field).cast("string") if field else F.lit("all")
+    rows = df.select(value.alias("value"), F.lit(1).cast("long").alias("features"), F.col(shape).alias("shape"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("salt"))
+    schema = f"value string, features long, shape {G.SHAPE}"
+    return rows.groupBy("value", "salt").applyInPandas(merge, schema).groupBy("value").applyInPandas(merge, schema)
+
+
+def merge_layers(layers: dict[str, DataFrame]) -> DataFrame:
+    """All rows of all layers with ``source_layer``; missing attributes are null."""
+    out = None
+    for name, df in layers.items():
+        part = df.withColumn("source_layer", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def random_points(df: DataFrame, key: str, n: int, shape: str = "shape", seed: int = 0, tries: int = 200) -> DataFrame:
+    """``key, point, x, y``: n points in each polygon, by rejection (at most ``tries`` a point); seeded by key, so a retry gives the same."""
+    import numpy as np
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, s in zip(pdf[key], pdf[shape], strict=True):
+                parts = _shape(s)
+                rng = np.random.default_rng([seed, abs(hash(str(k))) % 2**32 if not isinstance(k, (int, np.integer)) else int(k)])
+                pts = np.array([p for part in parts for ring in part for p in ring])
+                if not len(pts):
+                    continue
+                lo, hi, got = pts.min(0), pts.max(0), 0
+                for _ in range(n * tries):
+                    x, y = rng.uniform(lo, hi)
+                    if sum(G._within(ring, (x, y)) for part in parts for ring in part) % 2:
+                        got += 1
+                        rows.append((k, got, float(x), float(y)))
+                        if got == n:
+                            break
+            yield pd.DataFrame(rows, columns=[key, "point", "x", "y"])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, shape).mapInPandas(run, f"{key} {kind}, point int, x double, y double")
+
+
+def path_profile(points: DataFrame, key: str, order: str, lon: str, lat: str) -> DataFrame:
+    """Adds ``metres`` along a path of points (great circles)."""
+    w = Window.partitionBy(key).orderBy(order)
+    step = great_circle(F.lag(lat).over(w), F.lag(lon).over(w), F.col(lat), F.col(lon))
+    return points.withColumn("__s", F.coalesce(step, F.lit(0.0))).withColumn("metres", F.sum("__s").over(w)).drop("__s")
+
+
+def georeference_fit(points: Sequence[tuple[float, float, float, float]], order: int = 1) -> dict:
+    """Least-squares map of picture (col, row) to ground (x, y) from control points: coefficients, residuals, rmse and the worst point."""
+    import numpy as np
+
+    p = np.asarray(points, float)
+    c, r = p[:, 0], p[:, 1]
+    terms = np.stack([np.ones_like(c), c, r] + ([c * c, c * r, r * r] if order == 2 else []), 1)
+    coef, *_ = np.linalg.lstsq(terms, p[:, 2:], rcond=None)
+    res = np.hypot(*(terms @ coef - p[:, 2:]).T)
+    return {"coefficients": coef.tolist(), "residuals": res.tolist(), "rmse": float(np.sqrt((res**2).mean())), "worst": int(res.argmax())}
