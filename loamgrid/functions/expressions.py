@@ -196,7 +196,8 @@ class Value:
     kind: str
 
 
-_NULL = Value(F.lit(None).cast("double"), "null")
+def _null() -> Value:
+    return Value(F.lit(None).cast("double"), "null")
 
 
 def finite(c: Column) -> Column:
@@ -247,7 +248,7 @@ class Dialect:
             if low in ("true", "false"):
                 return Value(F.lit(low == "true"), "bool")
             if low in ("null", "none"):
-                return _NULL
+                return _null()
             if low in self.constants:
                 return Value(F.lit(self.constants[low]), "num")
         return self.column(name)
@@ -377,7 +378,7 @@ class Dialect:
                 return Value(self.member(left, [self.build(x) for x in args[1].args]), "bool")
             return Value(F.contains(F.lower(self.text(self.build(args[1]))), F.lower(self.text(left))), "bool")
         if k == "like":
-            return Value(F.coalesce(F.lower(self.text(self.build(args[0]))).like(F.lower(self.text(self.build(args[1])))), F.lit(False)), "bool")
+            return Value(F.coalesce(F.like(F.lower(self.text(self.build(args[0]))), F.lower(self.text(self.build(args[1])))), F.lit(False)), "bool")
         if k == "call":
             least, most, make = self.functions().get(node.value, (0, 0, None))
             if make is None:

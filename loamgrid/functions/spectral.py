@@ -77,7 +77,8 @@ def reflectance(df: DataFrame, bands: Sequence[str], preset: str = "s2", nodata_
     """Bands scaled to reflectance, at least 0; a pixel that is 0 in all bands becomes null."""
     scale, offset = REFLECTANCE[preset]
     empty = reduce(lambda p, q: p & q, (F.coalesce(F.col(b) == 0, F.lit(False)) for b in bands)) if nodata_zero else F.lit(False)
-    return df.withColumns({b: F.when(~empty, F.greatest(finite(F.col(b).cast("double")) * scale + offset, F.lit(0.0))) for b in bands})
+    known = {b: finite(F.col(b).cast("double")) for b in bands}
+    return df.withColumns({b: F.when(~empty & c.isNotNull(), F.greatest(c * scale + offset, F.lit(0.0))) for b, c in known.items()})
 
 
 def bit_set(quality: Column, bit: int) -> Column:

@@ -76,7 +76,7 @@ def _parsed(text: str) -> str:
 
 _P3 = f"""
 with raw as (select upper(trim(gauge)) as g, {_parsed('date_text')} as ts, received_at,
-    case when rain is null or isnan(rain) or rain = -999 then null else rain end as v from rain_daily),
+    case when rain is null or (rain::varchar = 'nan') or rain = -999 then null else rain end as v from rain_daily),
 last_sent as (select g, ts, v from raw where g <> '' and ts is not null
     qualify row_number() over (partition by g, ts order by received_at desc, v desc nulls last) = 1),
 daily as (select g, ts::date as d, sum(round(v * 1000000)::hugeint) as micro from last_sent where v is not null group by all),
@@ -90,7 +90,7 @@ sums as (select g, d, since, micro, sum(micro) over (partition by g order by d r
 _P5 = f"""
 with widths as (select upper(trim(station)) as s, min(step_minutes) * 60 as width from stations group by 1),
 raw as (select upper(trim(station)) as s, {_parsed('time_text')} as ts, received_at,
-    case when aqi is null or isnan(aqi) or aqi = -999 then null else aqi end as v from station_readings),
+    case when aqi is null or (aqi::varchar = 'nan') or aqi = -999 then null else aqi end as v from station_readings),
 readable as (select raw.*, width, floor(epoch(ts) / width)::bigint as step from raw join widths using (s) where ts is not null),
 readings as (select * from readable where v is not null qualify row_number() over (partition by s, ts order by received_at desc, v desc) = 1),
 vals as (select s, width, step, avg(v) as v from readings group by all),
@@ -116,7 +116,7 @@ ORACLE = {
         from near""",
     "p4_neighbours": """
 with pts as (select point_id as k, lat, lon, radians(lat) as p, radians(lon) as l, floor(lat / 0.01)::int as band from points
-    where not isnan(lat) and not isnan(lon) and abs(lat) <= 90 and abs(lon) <= 180 and not (lat = 0 and lon = 0)),
+    where not (lat::varchar = 'nan') and not (lon::varchar = 'nan') and abs(lat) <= 90 and abs(lon) <= 180 and not (lat = 0 and lon = 0)),
 near as (select a.k as ka, b.k as kb, 2 * 6371008.8 * asin(least(1.0, sqrt(power(sin((b.p - a.p) / 2), 2) + cos(a.p) * cos(b.p) * power(sin((b.l - a.l) / 2), 2)))) as m
     from (select *, unnest([band - 1, band, band + 1]) as near_band from pts) a join pts b on a.near_band = b.band and a.k <> b.k)
 select ka as point_id, count(*) as others, round(min(m), 3) as nearest_m from near where m <= 1000 group by ka""",
