@@ -131,7 +131,7 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_described, p2_found, p2_report, p2_sample, p6_found, p6_splits, p6_shares, p7_found, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_profile)}
 
-_OK = " and ".join(f"{b} is not null and not isnan({b}) and {b} <> -9999" for b in BANDS)
+_OK = " and ".join(f"{b} is not null and {b}::varchar <> 'nan' and {b} <> -9999" for b in BANDS)
 _P2 = f"""
 with need as (select r.request_id, t.category, greatest((max(t.share_pct) * any_value(sample_size) + 99) // 100, coalesce(any_value(per_class), 0)) as needed,
     any_value(label_name) as kind, coalesce(any_value(drop_nodata), false) as complete_only, any_value(scene_id) as scene_id
