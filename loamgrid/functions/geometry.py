@@ -13,10 +13,12 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamgrid.functions.curves import EARTH_M
 
 SHAPE = "array<array<array<array<double>>>>"
+SHAPE_TYPE = T.ArrayType(T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))
 
 # --- Column expressions ---------------------------------------------------------------------------------------------
 
@@ -310,19 +312,28 @@ def buffer_shape(kind: str, parts: Sequence, distance: float, segments: int = 64
     """All points within ``distance`` of points, lines or polygons (planar); a negative distance shrinks polygons."""
     r, shapes = abs(distance), []
     rings = [ring for part in parts for ring in part]
+    if distance > 0 and len(rings) == 1 and (kind != "polygon" or _convex(rings[0])) and (kind != "line" or len(rings[0]) < 3):
+        # A convex shape grown by a disc is the hull of the discs at its corners.
+        hull = convex_hull([q for p in rings[0] for q in circle(p[0], p[1], r, segments)[0]])
+        return [[[*hull, hull[0]]]]
     for ring in rings:
         closed = [*ring, ring[0]] if kind == "polygon" and ring[0] != ring[-1] else ring
-        for p in ring:
-            shapes.append(circle(p[0], p[1], r, segments))
-        for (ax, ay), (bx, by) in zip(closed, closed[1:], strict=False):
-            if (n := math.hypot(bx - ax, by - ay)) and kind != "point":
-                dx, dy = (by - ay) / n * r, -(bx - ax) / n * r
-                shapes.append([[[ax + dx, ay + dy], [bx + dx, by + dy], [bx - dx, by - dy], [ax - dx, ay - dy]]])
+        if kind == "point" or len(closed) < 2:
+            shapes += [circle(p[0], p[1], r, segments) for p in ring]
+            continue
+        for a, b in zip(closed, closed[1:], strict=False):
+            shapes.append([convex_hull(circle(*a[:2], r, segments)[0] + circle(*b[:2], r, segments)[0])])
     if distance < 0:
         return set_operation(list(parts), shapes, OPERATIONS["difference"]) if kind == "polygon" else []
     return set_operation([*(parts if kind == "polygon" else ()), *shapes], [], lambda p, q: p)
 
 
+def _convex(ring: Sequence) -> bool:
+    pts = ring[:-1] if ring[0] == ring[-1] else ring
+    turns = [(b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0]) for a, b, c in zip(pts, [*pts[1:], pts[0]], [*pts[2:], *pts[:2]], strict=True)]
+    return all(t >= 0 for t in turns) or all(t <= 0 for t in turns)
+
+
 def convex_hull(points: Sequence) -> list:
     """Monotone chain, counter-clockwise."""
     pts = sorted({tuple(map(float, p[:2])) for p in points})

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.operators.joins import box_iou, boxes_of
-from loamgrid.operators.raster import spread_labels
 from loamgrid.operators.vectors import box_pairs
+from loamgrid.storage import Staged
 
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -21,52 +20,50 @@ def iou_pairs(df: DataFrame, key: str, cls: str, size: float, least: float = 0.0
 
 
 def suppress(df: DataFrame, key: str, cls: str, score: str, size: float, iou: float = 0.5) -> DataFrame:
-    """Greedy non-maximum suppression within classes: the best box stays, those over ``iou`` with it go, and so on.
+    """Greedy non-maximum suppression within classes: the best box stays, those over ``iou`` with it go, and so on (ties: the smaller key first).
 
-    Only boxes that overlap influence one another, so each connected group of overlaps is settled apart; groups are small
-    even where a class has most of the boxes.
+    In rounds over overlap pairs: a box with no better undecided neighbour stays, its neighbours go. That is the greedy result, without
+    gathering a class; the rounds are few, as each settles all local maxima at once. Rounds are written to the shared folder.
     """
+    rank = df.select(F.col(key).alias("k"), F.struct(F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("s"), (-F.col(key)).alias("k")).alias("r"))
     pairs = iou_pairs(df, key, cls, size, iou).select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    groups = spread_labels(nodes, pairs)
-    scored = groups.join(df.select(F.col(key).alias("node"), F.col(score).cast("double").alias("score")), "node")
-    edges = pairs.join(groups.select(F.col("node").alias("a"), "label"), "a").select("label", "a", "b", F.lit(None).cast("double").alias("score"))
-    rows = edges.unionByName(scored.select("label", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "score"))
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b in pdf.loc[pdf["b"].notna(), ["a", "b"]].itertuples(index=False):
-            near.setdefault(int(a), []).append(int(b))
-            near.setdefault(int(b), []).append(int(a))
-        gone: set = set()
-        for a in pdf[pdf["b"].isna()].sort_values(["score", "a"], ascending=[False, True])["a"].astype(int):
-            if a not in gone:
-                gone.update(b for b in near.get(a, ()) if b != a)
-        return pd.DataFrame({"gone": sorted(gone)}, dtype="int64")
-
-    lost = rows.groupBy("label").applyInPandas(settle, "gone long")
-    return df.join(lost, F.col(key) == F.col("gone"), "left_anti")
+    ranked = pairs.join(rank.select(F.col("k").alias("a"), F.col("r").alias("ra")), "a").join(rank.select(F.col("k").alias("b"), F.col("r").alias("rb")), "b")
+    better = F.col("ra") > F.col("rb")
+    left = Staged(ranked.select(F.when(better, F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(better, F.col("b")).otherwise(F.col("a")).alias("lo")))
+    gone = None
+    while left.rows:
+        # Local maxima: they suppress someone and nobody undecided suppresses them.
+        keep = left.df.select(F.col("hi").alias("k")).distinct().join(left.df.select(F.col("lo").alias("k")), "k", "left_anti")
+        lost = Staged(left.df.join(keep, F.col("hi") == F.col("k"), "left_semi").select(F.col("lo").alias("k")).distinct())
+        gone = lost.df if gone is None else gone.unionByName(lost.df)
+        new = Staged(left.df.join(lost.df, F.col("lo") == F.col("k"), "left_anti").join(lost.df, F.col("hi") == F.col("k"), "left_anti"))
+        rest = new.df.join(keep, F.col("hi") == F.col("k"), "left_anti")
+        fresh = Staged(rest)
+        new.drop()
+        left.drop()
+        left = fresh
+    return df if gone is None else df.join(gone.select(F.col("k").alias("__gone")), F.col(key) == F.col("__gone"), "left_anti")
 
 
 def match_truth(pred: DataFrame, truth: DataFrame, key: str, cls: str, score: str, size: float, iou: float = 0.5) -> DataFrame:
-    """``pred, truth, iou``: one-to-one matches, greedily by score and then IoU, within connected groups of overlaps."""
+    """``pred, truth, iou``: one-to-one matches, greedily by score, then IoU, then keys.
+
+    In rounds: a pair that is the best one left for both its boxes is a match, and all pairs of these boxes go; that is the greedy result.
+    """
     a, b = boxes_of(pred, "a", *BOX), boxes_of(truth, "b", *BOX)
     pairs = box_pairs(a, b, size).where(F.col(f"a_{cls}").eqNullSafe(F.col(f"b_{cls}"))).withColumn("iou", box_iou()).where(F.col("iou") >= iou)
-    pairs = pairs.select(F.col(f"a_{key}").alias("p"), F.col(f"b_{key}").alias("t"), F.col(f"a_{score}").cast("double").alias("score"), "iou")
-    links = pairs.select((F.col("p") * 2).alias("a"), (F.col("t") * 2 + 1).alias("b"))
-    groups = spread_labels(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links)
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, used_p, used_t = [], set(), set()
-        for r in pdf.sort_values(["score", "iou", "p", "t"], ascending=[False, False, True, True]).itertuples():
-            if r.p not in used_p and r.t not in used_t:
-                used_p.add(r.p)
-                used_t.add(r.t)
-                out.append((r.p, r.t, r.iou))
-        return pd.DataFrame(out, columns=["pred", "truth", "iou"])
-
-    named = pairs.join(groups, F.col("p") * 2 == F.col("node"))
-    return named.select("label", "p", "t", "score", "iou").groupBy("label").applyInPandas(settle, "pred long, truth long, iou double")
+    p, t = F.col(f"a_{key}"), F.col(f"b_{key}")
+    left = Staged(pairs.select(p.alias("p"), t.alias("t"), "iou", F.struct(F.col(f"a_{score}").cast("double").alias("s"), F.col("iou").alias("i"), (-p).alias("p"), (-t).alias("t")).alias("r")))
+    out = left.df.select("p", "t", "iou").limit(0)
+    while left.rows:
+        best_p = left.df.groupBy("p").agg(F.max("r").alias("r"))
+        best_t = left.df.groupBy("t").agg(F.max("r").alias("r"))
+        hit = Staged(left.df.join(best_p, ["p", "r"], "left_semi").join(best_t, ["t", "r"], "left_semi").select("p", "t", "iou"))
+        out = out.unionByName(hit.df)
+        new = Staged(left.df.join(hit.df.select("p"), "p", "left_anti").join(hit.df.select("t"), "t", "left_anti").select(*left.df.columns))
+        left.drop()
+        left = new
+    return out.select(F.col("p").alias("pred"), F.col("t").alias("truth"), "iou")
 
 
 def detection_scores(matches: int, predicted: int, true: int) -> dict:

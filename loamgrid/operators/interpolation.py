@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Control points that fit a driver and a task; interpolation is global in its points by definition.
 MAX_POINTS = 50_000
@@ -194,7 +195,7 @@ METHODS: dict[str, Callable] = {"idw": idw, "nearest": nearest, "trend": trend,
 def interpolate(points: np.ndarray, grid: DataFrame, method: str, block: int = 2000, **options) -> DataFrame:
     """Adds ``value`` to the rows of ``grid`` (x, y) in Arrow batches; the control points travel once to each executor."""
     f, shared = METHODS[method], grid.sparkSession.sparkContext.broadcast(points)
-    schema = grid.schema.add("value", "double")
+    schema = T.StructType([*grid.schema.fields, T.StructField("value", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -230,9 +230,13 @@ def gaussian_classify(df: DataFrame, stats: pd.DataFrame, label: str, features:
         covs = [sum(c * (k - 1) for c, k in zip(covs, n, strict=True)) / max(1.0, (n - 1).sum())] * len(covs)
     scores = []
     for (_, r), c in zip(stats.iterrows(), covs, strict=True):
-        inv, (_, logdet) = np.linalg.inv(c), np.linalg.slogdet(c)
-        diff = [F.col(f) - float(r[f"m{i}"]) for i, f in enumerate(features)]
-        quad = sum((float(inv[i, j]) * diff[i] * diff[j] for i in range(d) for j in range(d)), F.lit(0.0))
+        # Whitened by the triangular root: one square for each feature.
+        root, (_, logdet) = np.linalg.inv(np.linalg.cholesky(c)), np.linalg.slogdet(c)
+        shift = root @ r[[f"m{i}" for i in range(d)]].to_numpy(float)
+        quad = F.lit(0.0)
+        for i in range(d):
+            z = sum((float(root[i, j]) * F.col(features[j]) for j in range(i + 1)), F.lit(-float(shift[i])))
+            quad = quad + z * z
         prior = float(np.log(r["n"] / n.sum())) if pooled else 0.0
         label_value = r[label].item() if hasattr(r[label], "item") else r[label]
         scores.append(F.struct((-(quad + float(logdet)) / 2 + prior).alias("s"), F.lit(label_value).alias("c")))

@@ -314,8 +314,8 @@ def connected_regions(df: DataFrame, cls: str, diagonal: bool = False, keys: Seq
     start = F.max(F.when(F.col("__new") == 1, F.col(col))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     runs = Staged(px.withColumn("__new", new).withColumn("__start", start).withColumn("run", F.col(row) * (1 << 31) + F.col("__start")).drop("__new", "__start"))
     steps = (-1, 0, 1) if diagonal else (0,)
-    below = runs.df.select((F.col(row) - 1).alias(row), F.explode(F.array(*(F.col(col) + s for s in steps))).alias(col), F.col(cls).alias("c"), F.col("run").alias("other"))
-    touch = runs.df.join(below, [row, col]).where(F.col(cls) == F.col("c")).select(F.col("run").alias("a"), F.col("other").alias("b")).distinct()
+    below = runs.df.select((F.col(row) - 1).alias(row), F.explode(F.array(*(F.col(col) + s for s in steps))).alias(col), F.col(cls).alias("__cls"), F.col("run").alias("other"))
+    touch = runs.df.join(below, [row, col]).where(F.col(cls) == F.col("__cls")).select(F.col("run").alias("a"), F.col("other").alias("b")).distinct()
     labels = spread_labels(runs.df.select(F.col("run").alias("node")).distinct(), touch)
     return runs.df.join(labels.select(F.col("node").alias("run"), F.col("label").alias("region")), "run").select(row, col, cls, "region")
 

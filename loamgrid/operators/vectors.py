@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamgrid.functions import geometry as G
 from loamgrid.functions.curves import great_circle
@@ -77,7 +78,7 @@ def layer_hull(df: DataFrame, shape: str = "shape") -> DataFrame:
         return pd.DataFrame({"shape": [[[G.convex_hull(pdf[["x", "y"]].to_numpy().tolist())]]]})
 
     corners = df.select(F.col(shape).alias("shape")).mapInPandas(partial, "x double, y double")
-    return corners.groupBy(F.lit(1)).applyInPandas(last, f"shape {G.SHAPE}")
+    return corners.groupBy().applyInPandas(last, f"shape {G.SHAPE}")
 
 
 def measures(df: DataFrame, shape: str = "shape") -> DataFrame:
@@ -189,7 +190,7 @@ def _boxed(df: DataFrame, side: str, shape: str) -> DataFrame:
 def overlay_pairs(a: DataFrame, b: DataFrame, size: float, shape: str = "shape") -> DataFrame:
     """Intersecting pairs: all columns as a_*, b_*, the common piece ``shape`` and its ``area``. Touching pairs have area 0 and no piece."""
     pairs = box_pairs(_boxed(a, "a", shape), _boxed(b, "b", shape), size).drop(*(f"{s}_{k}" for s in "ab" for k in ("x0", "y0", "x1", "y1")))
-    schema = pairs.schema.add("shape", pairs.schema[f"a_{shape}"].dataType).add("area", "double")
+    schema = T.StructType([*pairs.schema.fields, T.StructField("shape", G.SHAPE_TYPE), T.StructField("area", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep = G.OPERATIONS["intersection"]

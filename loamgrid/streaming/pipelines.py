@@ -10,8 +10,12 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 
 def stream_parquet(spark: SparkSession, path: str, like: DataFrame, files: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream with the schema of ``like``."""
-    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files).parquet(path)
+    """A folder of Parquet files (or one file of a folder) as a stream with the schema of ``like``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return reader.option("pathGlobFilter", at.getName()).parquet(str(at.getParent()))
+    return reader.parquet(path)
 
 
 def timed(df: DataFrame, time: str) -> DataFrame:
