@@ -48,7 +48,8 @@ class TargetSample:
         # Each wanted group gets a number, fixed by being written down.
         wanted = self.targets.df.where("pool is not null").select("pool", "kind", "category").distinct()
         self.groups = Staged(wanted.withColumn("gid", F.monotonically_increasing_id()))
-        mine = rows.dropna(subset=["pool", "category", *self.place]).join(broadcast_upto(self.groups, broadcast_rows), ["pool", "kind", "category"])
+        rows = rows.select("pool", "kind", "category", *self.place, "id", "complete").dropna(subset=["pool", "category", *self.place])
+        mine = rows.join(broadcast_upto(self.groups, broadcast_rows), ["pool", "kind", "category"])
         self.places = mine.groupBy("gid", *self.place).agg(F.min("id").alias("id"), F.min(F.when(F.col("complete"), F.col("id"))).alias("complete_id"))
 
     def plan(self, places: DataFrame | None = None) -> DataFrame:
