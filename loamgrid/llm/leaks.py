@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.llm.batches import slices
 from loamgrid.storage import Staged
 
 #: Cyrillic and Greek letters that look like Latin ones.
@@ -215,7 +216,9 @@ class LeakSearch:
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield _search_batch(shared.value, pdf["doc_id"].to_numpy(), pdf["text"].tolist(), least)
+                ids, texts = pdf["doc_id"].to_numpy(), pdf["text"].tolist()
+                for a, b in slices(texts, 4_000_000):
+                    yield _search_batch(shared.value, ids[a:b], texts[a:b], least)
 
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         self.total = rows.count()

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.llm.batches import slices
+
 #: A sentence ends at . ! ? (or a line break between blocks), followed by space and no lower-case letter.
 _END = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[\"'(\[]*[^\sa-z])|\n\s*\n|\n(?=\s*(?:[-*#>|]|\d+[.)]))")
 _MARK = re.compile(r"<[^<>]{1,300}>|&(?:\w{2,8}|#\d{1,6});|[*#>|_`~]+")
@@ -192,13 +194,13 @@ def fit_reading_model(graded: DataFrame, text: str, level: str, max_rows: int =
     return ReadingModel(**options).fit([r.t for r in rows], [r.l for r in rows])
 
 
-def reading_levels(df: DataFrame, key: str, text: str, model: ReadingModel, batch: int = 256) -> DataFrame:
+def reading_levels(df: DataFrame, key: str, text: str, model: ReadingModel) -> DataFrame:
     """``key, reading_level`` of every row with a text. Whole texts are read, in Arrow batches; null and empty texts give no row; a text without a Latin word level 1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for a in range(0, len(pdf), batch):
-                part = pdf.iloc[a : a + batch]
+            for a, b in slices(pdf["text"].tolist()):
+                part = pdf.iloc[a:b]
                 yield pd.DataFrame({"key": part["key"].to_numpy(), "reading_level": model.levels(part["text"].tolist()).astype("int32")})
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null and text <> ''")
