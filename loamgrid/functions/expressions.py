@@ -295,6 +295,10 @@ class Dialect:
     def member(self, a: Value, items: list[Value]) -> Column:
         return reduce(lambda p, q: p | q, (self.compare("==", a, i) for i in items), F.lit(False))
 
+    def inside(self, a: Value, b: Value) -> Column:
+        """Whether the text b contains a."""
+        return F.contains(F.lower(self.text(b)), F.lower(self.text(a)))
+
     def pick(self, test: Column, a: Value, b: Value) -> Value:
         if "text" in (a.kind, b.kind):
             side = lambda v: v.col if v.kind == "text" else F.lit(None).cast("string") if v.kind == "null" else self.text(v)
@@ -376,7 +380,7 @@ class Dialect:
             left = self.build(args[0])
             if args[1].kind == "list":
                 return Value(self.member(left, [self.build(x) for x in args[1].args]), "bool")
-            return Value(F.contains(F.lower(self.text(self.build(args[1]))), F.lower(self.text(left))), "bool")
+            return Value(self.inside(left, self.build(args[1])), "bool")
         if k == "like":
             return Value(F.coalesce(F.like(F.lower(self.text(self.build(args[0]))), F.lower(self.text(self.build(args[1])))), F.lit(False)), "bool")
         if k == "call":
@@ -492,6 +496,9 @@ class WhereDialect(Dialect):
         both_null = a.col.isNull() & b.col.isNull()
         return F.coalesce(made, both_null if op == "==" else ~both_null if op == "!=" else F.lit(False))
 
+    def inside(self, a: Value, b: Value) -> Column:
+        return F.coalesce(a.col.isNotNull() & super().inside(a, b), F.lit(False))
+
     def functions(self) -> dict:
         base, t = super().functions(), lambda v: F.coalesce(F.lower(number_text(v.col) if v.kind == "num" else v.col.cast("string")), F.lit("none"))
         pair = lambda f: (2, 2, lambda a, b: Value(f(t(a), t(b)), "bool"))

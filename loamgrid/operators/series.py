@@ -186,7 +186,7 @@ def recursive_forecast(df: DataFrame, series: str, order: str, value: str, horiz
     p = len(coefficients)
     w = Window.partitionBy(series).orderBy(F.desc(order))
     last = df.where(F.col(value).isNotNull()).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= p)
-    state = last.groupBy(series).agg(F.transform(F.sort_array(F.collect_list(F.struct("__r", F.col(value).cast("double").alias("v")))), lambda s: s["v"]).alias("s")).where(F.size("s") == p)
+    state = last.groupBy(series).agg(F.transform(F.sort_array(F.collect_list(F.struct("__r", F.col(value).cast("double").alias("v")))), lambda r: r["v"]).alias("__state")).where(F.size("__state") == p)
     weights = F.array(*(F.lit(float(c)) for c in coefficients))
 
     def step(s: Column, _: Column) -> Column:
@@ -194,7 +194,7 @@ def recursive_forecast(df: DataFrame, series: str, order: str, value: str, horiz
         nxt = F.aggregate(F.zip_with(F.slice(s, 1, p), weights, lambda a, b: a * b), F.lit(float(intercept)), lambda x, y: x + y)
         return F.concat(F.array(nxt), s)
 
-    run = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("s"), step)
+    run = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("__state"), step)
     out = state.select(series, F.slice(run, 1, horizon).alias("f"))
     return out.select(series, F.posexplode(F.reverse("f")).alias("i", "forecast")).select(series, (F.col("i") + 1).alias("h"), "forecast")
 
