@@ -37,7 +37,7 @@ def query(sql: str | None = None):
 
 _C = "c as (select c_custkey as k, (c_custkey * 7919 % 10007) / 10.0 as x, (c_custkey * 104729 % 10009) / 10.0 as y, c_acctbal as v from customer)"
 _S = "s as (select s_suppkey as k, (s_suppkey * 6151 % 10007) / 10.0 as x, (s_suppkey * 3571 % 10009) / 10.0 as y, s_acctbal as v from supplier)"
-_B = "b as (select p_partkey as k, (p_partkey * 7919 % 997) / 1.0 as x0, (p_partkey * 104729 % 991) / 1.0 as y0, (p_partkey * 7919 % 997) + p_size + 1.0 as x1, (p_partkey * 104729 % 991) + p_partkey % 13 + 1.0 as y1, p_partkey % 3 as cls, p_retailprice as score from part)"
+_B = "b as (select p_partkey as k, (p_partkey * 7919 % 997) / 1.0 as x0, (p_partkey * 104729 % 991) / 1.0 as y0, ((p_partkey * 7919 % 997) + p_size + 1)::double as x1, ((p_partkey * 104729 % 991) + p_partkey % 13 + 1)::double as y1, p_partkey % 3 as cls, p_retailprice as score from part)"
 _G = "g as (select vec_id // 25 as \"row\", vec_id % 25 as col, round(embedding[1]::double, 6) as z, label as cls from embeddings)"
 
 
@@ -216,7 +216,7 @@ def hull_of_layer(spark, d):
     return V.layer_hull(p).select(F.size(F.col("shape")[0][0]).alias("corners"), F.round(F.abs(G.ring_area(F.concat(F.col("shape")[0][0], F.slice(F.col("shape")[0][0], 1, 1)))), 3).alias("area"))
 
 
-@query("select count(*) as cells, round(sum((x1 - x0) * (y1 - y0)), 3) as area from (select r, c, c * 125.0 as x0, 1000 - (r + 1) * 125.0 as y0, (c + 1) * 125.0 as x1, 1000 - r * 125.0 as y1 from range(8) t(r), range(8) u(c))")
+@query("select count(*) as cells, round(sum((x1 - x0) * (y1 - y0))::double, 3) as area from (select r, c, c * 125.0 as x0, 1000 - (r + 1) * 125.0 as y0, (c + 1) * 125.0 as x1, 1000 - r * 125.0 as y1 from range(8) t(r), range(8) u(c))")
 def fishnet(spark, d):
     f = V.fishnet(spark, 0, 0, 1000, 1000, 125.0)
     return f.agg(F.count("*").alias("cells"), F.round(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))), 3).alias("area"))
@@ -289,7 +289,7 @@ def change_summary(spark, d):
     return s.select(F.round("mean_change", 5).alias("mean_change"), F.round("increased_pct", 4).alias("increased_pct"), "pixels")
 
 
-@query(_HALF + ", f as (select floor(a.v / 20)::bigint as from_class, floor(z.v / 20)::bigint as to_class from a join z using (\"row\", event_type)) select from_class, to_class, count(*) as pixels, round(count(*) * 0.01, 6) as hectares, from_class <> to_class as changed from f group by all order by pixels desc, from_class, to_class limit 200")
+@query(_HALF + ", f as (select floor(a.v / 20)::bigint as from_class, floor(z.v / 20)::bigint as to_class from a join z using (\"row\", event_type)) select from_class, to_class, count(*) as pixels, round(count(*) * 0.01, 6)::double as hectares, from_class <> to_class as changed from f group by all order by pixels desc, from_class, to_class limit 200")
 def change_matrix(spark, d):
     a, z = (h.withColumn("c", F.floor(F.col("v") / 20)) for h in _halves(spark, d))
     return R.change_matrix(a, z, "c", 0.01, ["row", "event_type"]).withColumn("hectares", F.round("hectares", 6))

@@ -91,7 +91,7 @@ def where_null(spark, d):
 
 
 @query("""select o_orderkey, round_even(o_totalprice * 1.5 / 7, 2) as a, floor(o_totalprice / 1000) as b, o_totalprice - 7 * floor(o_totalprice / 7) as c, round(power(o_totalprice, 0.5), 6) as e,
-case when o_totalprice > 200000 then 1.0 else -1.0 end as f, o_totalprice / nullif(o_orderkey % 3, 0) as g from orders""")
+(case when o_totalprice > 200000 then 1 else -1 end)::double as f, o_totalprice / nullif(o_orderkey % 3, 0) as g from orders""")
 def calc_arith(spark, d):
     return _calc(spark, d, "orders", ["o_orderkey"], a="round([o_totalprice] * 1.5 / 7, 2)", b="o_totalprice // 1000", c="o_totalprice % 7", e="round(o_totalprice ^ 0.5, 6)", f="1 if o_totalprice > 200000 else -1", g="o_totalprice / (o_orderkey % 3)")
 
