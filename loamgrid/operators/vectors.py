@@ -5,6 +5,7 @@ Row-wise work with plain formulas is in Column expressions; set operations run i
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
 
@@ -17,7 +18,15 @@ from loamgrid.functions import geometry as G
 from loamgrid.functions.curves import great_circle
 
 
+def _text(c: str) -> Column:
+    """A shape on its way to Python: as JSON text (nested arrays that are null throughout a batch can crash the Arrow conversion)."""
+    return F.to_json(F.col(c))
+
+
 def _shape(v) -> list:
+    """Parts of a shape from its JSON text (or from nested sequences)."""
+    if isinstance(v, str):
+        return json.loads(v)
     return [[[list(map(float, p)) for p in ring] for ring in part] for part in v] if v is not None else []
 
 
@@ -33,7 +42,7 @@ def map_shapes(df: DataFrame, function, shape: str = "shape", drop_empty: bool =
                 pdf = pdf[[bool(s) for s in pdf[shape]]]
             yield pdf
 
-    return df.mapInPandas(run, schema)
+    return df.withColumn(shape, _text(shape)).mapInPandas(run, schema)
 
 
 def buffer(df: DataFrame, distance: float, kind: str = "polygon", segments: int = 64, shape: str = "shape") -> DataFrame:
@@ -71,13 +80,13 @@ def layer_hull(df: DataFrame, shape: str = "shape") -> DataFrame:
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list = []
         for pdf in batches:
-            kept = G.convex_hull(kept + [p for s in pdf["shape"] if s is not None for part in s for ring in part for p in ring])
+            kept = G.convex_hull(kept + [p for s in pdf["shape"] if s is not None for part in _shape(s) for ring in part for p in ring])
         yield pd.DataFrame({"x": [p[0] for p in kept], "y": [p[1] for p in kept]})
 
     def last(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"shape": [[[G.convex_hull(pdf[["x", "y"]].to_numpy().tolist())]]]})
 
-    corners = df.select(F.col(shape).alias("shape")).mapInPandas(partial, "x double, y double")
+    corners = df.select(_text(shape).alias("shape")).mapInPandas(partial, "x double, y double")
     return corners.groupBy().applyInPandas(last, f"shape {G.SHAPE}")
 
 
@@ -196,11 +205,13 @@ def overlay_pairs(a: DataFrame, b: DataFrame, size: float, shape: str = "shape")
         keep = G.OPERATIONS["intersection"]
         for pdf in batches:
             pdf = pdf.copy()
-            pdf["shape"] = [G.set_operation(_shape(p), _shape(q), keep) for p, q in zip(pdf[f"a_{shape}"], pdf[f"b_{shape}"], strict=True)]
+            for side in "ab":
+                pdf[f"{side}_{shape}"] = [_shape(s) for s in pdf[f"{side}_{shape}"]]
+            pdf["shape"] = [G.set_operation(p, q, keep) for p, q in zip(pdf[f"a_{shape}"], pdf[f"b_{shape}"], strict=True)]
             pdf["area"] = [G.area_of(s) for s in pdf["shape"]]
             yield pdf[pdf["area"] > 0]
 
-    return pairs.mapInPandas(run, schema)
+    return pairs.withColumns({f"{side}_{shape}": _text(f"{side}_{shape}") for side in "ab"}).mapInPandas(run, schema)
 
 
 def difference(a: DataFrame, b: DataFrame, key: str, size: float, shape: str = "shape") -> DataFrame:
@@ -217,7 +228,7 @@ def difference(a: DataFrame, b: DataFrame, key: str, size: float, shape: str = "
             pdf[shape] = [_shape(s) if c is None else G.set_operation(_shape(s), _shape(c), keep) for s, c in zip(pdf[shape], pdf["__cut"], strict=True)]
             yield pdf[[bool(s) for s in pdf[shape]]].drop(columns="__cut")
 
-    return joined.mapInPandas(run, schema)
+    return joined.withColumns({shape: _text(shape), "__cut": _text("__cut")}).mapInPandas(run, schema)
 
 
 def overlay(a: DataFrame, b: DataFrame, how: str, key: str, size: float, shape: str = "shape") -> DataFrame:
@@ -250,9 +261,10 @@ def dissolve(df: DataFrame, field: str | None, shape: str = "shape", parts: int
         return pd.DataFrame({"value": [pdf["value"].iloc[0]], "features": [int(pdf["features"].sum())], "shape": [G.set_operation(shapes, [], lambda p, q: p)]})
 
     value = F.col(field).cast("string") if field else F.lit("all")
-    rows = df.select(value.alias("value"), F.lit(1).cast("long").alias("features"), F.col(shape).alias("shape"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("salt"))
+    rows = df.select(value.alias("value"), F.lit(1).cast("long").alias("features"), _text(shape).alias("shape"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("salt"))
     schema = f"value string, features long, shape {G.SHAPE}"
-    return rows.groupBy("value", "salt").applyInPandas(merge, schema).groupBy("value").applyInPandas(merge, schema)
+    merged = rows.groupBy("value", "salt").applyInPandas(merge, schema)
+    return merged.withColumn("shape", _text("shape")).groupBy("value").applyInPandas(merge, schema)
 
 
 def merge_layers(layers: dict[str, DataFrame]) -> DataFrame:
@@ -288,7 +300,7 @@ def random_points(df: DataFrame, key: str, n: int, shape: str = "shape", seed: i
             yield pd.DataFrame(rows, columns=[key, "point", "x", "y"])
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, shape).mapInPandas(run, f"{key} {kind}, point int, x double, y double")
+    return df.select(key, _text(shape).alias(shape)).mapInPandas(run, f"{key} {kind}, point int, x double, y double")
 
 
 def path_profile(points: DataFrame, key: str, order: str, lon: str, lat: str) -> DataFrame:
