@@ -76,22 +76,36 @@ def page(df: DataFrame, offset: int = 0, limit: int = 100, query: str = "", sort
     return rows.offset(offset).limit(min(limit, 1000))
 
 
-def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """One row a column: kind, rows, missing, distinct, and for numbers min, max, mean, population std and quartiles.
 
-    Missing is null or not finite. All plain aggregates come from one pass; distinct counts and exact quartiles from one more each.
+    Missing is null or not finite. Plain aggregates come from one pass. Distinct counts and quartiles come from value counts, combined
+    map-side (one row a distinct value); ``approximate`` takes sketches in the first pass instead, for columns of mostly different values.
     """
     kinds = _kinds(df)
     columns = list(columns or df.columns)
+    thirds = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     parts = []
     for c in columns:
         number = kinds[c] in ("integer", "number")
         x = finite(_q(c).cast("double")) if number else _q(c)
-        num = (lambda e: e) if number else (lambda e: F.lit(None).cast("double"))
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if number else F.lit(None).cast("array<double>")
-        parts.append(F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("kind"), F.count("*").alias("n"), (F.count("*") - F.count(x)).alias("missing"), F.countDistinct(_q(c)).alias("distinct_values"), num(F.min(x)).cast("double").alias("min"), num(F.max(x)).cast("double").alias("max"), num(F.avg(x) if number else F.lit(None)).cast("double").alias("mean"), num(F.stddev_pop(x) if number else F.lit(None)).cast("double").alias("std"), q.alias("q")))
-    wide = df.agg(F.array(*parts).alias("all"))
-    return wide.select(F.explode("all").alias("r")).select("r.column", "r.kind", "r.n", "r.missing", "r.distinct_values", "r.min", "r.max", "r.mean", "r.std", F.col("r.q")[0].alias("q1"), F.col("r.q")[1].alias("median"), F.col("r.q")[2].alias("q3"))
+        none = F.lit(None).cast("double")
+        stats = [f(x).cast("double") if number else none for f in (F.min, F.max, F.avg, F.stddev_pop)]
+        sketch = [F.approx_count_distinct(_q(c)), F.percentile_approx(x, thirds) if number else F.lit(None).cast("array<double>")] if approximate else [F.lit(None).cast("long"), F.lit(None).cast("array<double>")]
+        parts.append(F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("kind"), F.count("*").alias("n"), (F.count("*") - F.count(x)).alias("missing"), *(v.alias(n) for n, v in zip(("min", "max", "mean", "std"), stats, strict=True)), sketch[0].alias("d"), sketch[1].alias("q")))
+    out = df.agg(F.array(*parts).alias("all")).select(F.explode("all").alias("r")).select("r.*")
+    if not approximate:
+        by = None
+        for kind, names in (("double", [c for c in columns if kinds[c] in ("integer", "number")]), ("string", [c for c in columns if kinds[c] not in ("integer", "number")])):
+            if not names:
+                continue
+            each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), _q(c).cast(kind).alias("value")) for c in names)))
+            counts = df.select(each.alias("e")).groupBy("e.column", "e.value").agg(F.count("*").alias("k")).where("value is not null")
+            q = F.percentile(finite(F.col("value")), thirds, F.col("k")) if kind == "double" else F.lit(None).cast("array<double>")
+            part = counts.groupBy(F.col("column").alias("__c")).agg(F.count("*").alias("__d"), q.alias("__q"))
+            by = part if by is None else by.unionByName(part)
+        out = out.join(by, F.col("column") == F.col("__c"), "left").withColumns({"d": F.coalesce("__d", F.lit(0)), "q": F.col("__q")})
+    return out.select("column", "kind", "n", "missing", F.col("d").alias("distinct_values"), "min", "max", "mean", "std", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
