@@ -63,7 +63,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped_split(_located(spark, sf_dir).where("label is not null"), "poly_id", ["tile_id", "pix_row", "pix_col"], ["tile_id", "pix_row", "pix_col"], SHARES)
+    # Unlabelled rows link polygons as well; only the labelled ones come out.
+    return grouped_split(_located(spark, sf_dir), "poly_id", ["tile_id", "pix_row", "pix_col"], ["tile_id", "pix_row", "pix_col"], SHARES).where("label is not null")
 
 
 def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from loamgrid.llm.queries import p6_found, p6_shares, p6_splits
 from loamgrid.llm.splits import grouped_split, hash_to_min, rendezvous, star_edges
 
 
@@ -68,3 +69,26 @@ def test_groups_stay_together(spark):
         want = _components([(min(s), p) for s in edges.values() for p in s])
         assert all(r.group_id == want[r.poly] for r in out if r.poly)
     assert grouped_split(df.limit(0), "poly", ["tile", "r"], ["tile"], {"train": 1.0}).count() == 0
+
+
+def test_unlabelled_rows_link_the_split_groups(spark, tmp_path):
+    # Polygons 2i and 2i + 1 meet only through a row without label on another date.
+    rows, n = [], 40
+    for i in range(1, n + 1):
+        rows += [(4 * i, 1, i, 0, 2 * i, "Crop"), (4 * i + 1, 1, i, 1, 2 * i + 1, "crop"), (4 * i + 2, 2, i, 0, 2 * i + 1, None)]
+    rows += [(1000, 1, 900, 900, 0, "Water"), (1001, 2, 900, 900, None, "water"), (1002, 9, 1, 0, 500, "Crop")]
+    spark.createDataFrame(rows, "sample_id long, scene_id long, pix_row int, pix_col int, poly_id long, label string").write.parquet(f"{tmp_path}/pixels.parquet")
+    spark.createDataFrame([(1, "a"), (2, "a")], "scene_id long, tile string").write.parquet(f"{tmp_path}/scenes.parquet")
+    groups = {r.poly_id: r.group_id for r in p6_found(spark, str(tmp_path)).collect()}
+    assert groups == {2 * i + 1: 2 * i for i in range(1, n + 1)}
+    got = {r.sample_id: r for r in p6_splits(spark, str(tmp_path)).collect()}
+    assert set(got) == {r[0] for r in rows if r[5]}
+    splits = defaultdict(set)
+    for sample, _, _, _, poly, label in rows:
+        if label and poly:
+            assert got[sample].group_id == groups.get(poly, poly)
+            splits[groups.get(poly, poly)].add(got[sample].split)
+    assert all(len(s) == 1 for s in splits.values())
+    assert got[1000].group_id is None and got[1000].split == got[1001].split
+    shares = p6_shares(spark, str(tmp_path)).collect()
+    assert sum(r.n for r in shares if r.label is None) == len(got)
