@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
@@ -192,8 +193,9 @@ class LeakSearch:
     """Documents that carry evaluation passages.
 
     Pass 1 (Arrow batches of whole texts): words, the search, and for each document and item that shares at least ``least`` of the passage's words the carried
-    places; with it how many documents each window occurs in (over all documents). Pass 2 (SQL and the bounded pattern list): a window is
-    public where more than ``public`` of all documents carry it and it is over three times as frequent as the middle window of its passage;
+    places; with it the windows of each distinct text, by a hash of its words. Pass 2 (SQL and the bounded pattern list): a window is
+    public where more than ``public`` of all distinct texts carry it and it is over three times as frequent as the middle window of its passage
+    (copies of one text, in whatever case or mark-up, count once);
     stretches of public windows of at least ``public_words`` words never count, and a run made of public windows only is no leak.
     A leak is a document with at least ``share`` of the passage's words in runs of at least ``run_words``.
 
@@ -201,7 +203,7 @@ class LeakSearch:
     The evaluation set is read to the driver (it is fixed and small); at most ``max_items`` are taken, more is an error.
     """
 
-    schema = "doc_id long, item int, places array<int>, runs array<int>, pattern int, n long"
+    schema = "doc_id long, item int, places array<int>, runs array<int>, text long, windows array<int>"
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, m: int = 4, least: float = 0.2, share: float = 1 / 3, public: float = 0.01, public_words: int = 10, run_words: int = 6, max_items: int = 100_000):
         got = items.select(F.col(item_id).alias("i"), F.col(passage).alias("p")).where("i is not null and p is not null").orderBy("i").limit(max_items + 1).collect()
@@ -221,16 +223,19 @@ class LeakSearch:
                     yield _search_batch(shared.value, ids[a:b], texts[a:b], least)
 
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        self.total = rows.count()
         self.hits = Staged(rows.where("doc_id is not null and text is not null and text <> ''").mapInPandas(search, schema))
 
     def public_places(self) -> list[np.ndarray]:
         """Of each item, the places in windows that are public."""
         engine, m = self.engine, self.m
         df = np.zeros(len(engine.patterns))
+        # A group of copies collapses map-side to one text.
+        texts = Staged(self.hits.df.where("item < 0").groupBy("text").agg(F.first("windows").alias("windows")))
         # Bounded by the evaluation set's windows, whatever the corpus.
-        for r in self.hits.df.where("pattern >= 0").groupBy("pattern").agg(F.sum("n").alias("n")).toLocalIterator():
+        for r in texts.df.select(F.explode("windows").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).toLocalIterator():
             df[r.pattern] = r.n
+        total = texts.rows
+        texts.drop()
         item_of, place_of = engine.places[:, 0], engine.places[:, 1]
         n_of = np.repeat(df, np.diff(engine.place_start))
         out = []
@@ -239,7 +244,7 @@ class LeakSearch:
             flags = np.zeros(len(words), bool)
             if mine.any():
                 middle = np.median(n_of[mine])
-                for k in place_of[mine][(n_of[mine] > self.public * self.total) & (n_of[mine] > 3 * middle) & (n_of[mine] > 3)]:
+                for k in place_of[mine][(n_of[mine] > self.public * total) & (n_of[mine] > 3 * middle) & (n_of[mine] > 3)]:
                     flags[k : k + m] = True
             out.append(flags)
         return out
@@ -269,21 +274,26 @@ class LeakSearch:
                         out.append((d, ids[item], n, n / sizes[item]))
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "words", "share"])
 
-        return self.hits.df.where("pattern < 0").select("doc_id", "item", "places", "runs").mapInPandas(judge, "doc_id long, item_id long, words int, share double")
+        return self.hits.df.where("item >= 0").select("doc_id", "item", "places", "runs").mapInPandas(judge, "doc_id long, item_id long, words int, share double")
 
 
 def _search_batch(engine: WuManber, ids: np.ndarray, texts: list[str], least: float) -> pd.DataFrame:
-    coded = [engine.code(words_of(t)) for t in texts]
+    coded, distinct = [], {}
+    for i, t in enumerate(texts):
+        words = words_of(t)
+        coded.append(engine.code(words))
+        distinct[int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)] = i
     sizes = np.array([len(c) for c in coded], np.int64)
     text = np.fromiter((x for c in coded for x in c), np.int64, int(sizes.sum()))
     ends = np.cumsum(sizes)
     starts = ends - sizes
     at, pattern = engine.search(text, starts, ends)
     lane = np.searchsorted(ends, at, "right")
-    # How many documents have each window.
+    # The windows of each distinct text, those without any as well: they are counted.
     once = np.unique(lane * np.int64(len(engine.patterns) + 1) + pattern)
-    seen, n = np.unique(once % (len(engine.patterns) + 1), return_counts=True)
-    rows = [(0, -1, None, None, int(p), int(c)) for p, c in zip(seen, n, strict=True)]
+    cuts = np.searchsorted(once, np.arange(len(texts) + 1) * np.int64(len(engine.patterns) + 1))
+    once = (once % (len(engine.patterns) + 1)).tolist()
+    rows = [(0, -1, None, None, h, once[cuts[i] : cuts[i + 1]]) for h, i in distinct.items()]
     # Each occurrence at each place of the items that have the window.
     many = engine.place_start[pattern + 1] - engine.place_start[pattern]
     first = np.repeat(engine.place_start[pattern], many)
@@ -302,5 +312,5 @@ def _search_batch(engine: WuManber, ids: np.ndarray, texts: list[str], least: fl
             continue
         got = carried(text[starts[d] : ends[d]], passage, np.stack([at[a:b] - starts[d], place[a:b, 1]], 1), engine.m)
         if len(got) >= least * len(passage):
-            rows.append((int(ids[d]), item, [g[0] for g in got], [g[1] for g in got], -1, 0))
-    return pd.DataFrame(rows, columns=["doc_id", "item", "places", "runs", "pattern", "n"])
+            rows.append((int(ids[d]), item, [g[0] for g in got], [g[1] for g in got], 0, None))
+    return pd.DataFrame(rows, columns=["doc_id", "item", "places", "runs", "text", "windows"])

@@ -90,3 +90,18 @@ def test_empty(spark):
     assert [tuple(r)[:2] for r in LeakSearch(d, "doc_id", "text", i, "item_id", "passage").leaks().collect()] == [(1, 1)]
     with pytest.raises(ValueError):
         LeakSearch(d, "doc_id", "text", i, "item_id", "passage", max_items=0)
+
+
+def test_copies_of_a_partial_leak_are_not_public(spark):
+    rng = random.Random(8)
+    public = _sentence(rng, 14)
+    items = [(i, public + " " + _text(rng)) for i in range(1, 5)]
+    docs = [_text(rng, 6) for _ in range(130)] + [f"{public} {_text(rng, 3)}" for _ in range(20)]
+    w = items[0][1].split()
+    leak = f"{_text(rng, 2)} {' '.join(w[20:58])} {_text(rng, 2)}"  # 38 of 86 words
+    copies = [leak if k % 2 else f"<p>{leak.upper()}</p>" for k in range(80)]
+    other = f"{_text(rng, 3)} {' '.join(w[18:58])}"
+    d = spark.createDataFrame(list(enumerate([*copies, other, *docs])), "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, passage string")
+    got = [(r.doc_id, r.item_id) for r in LeakSearch(d, "doc_id", "text", i, "item_id", "passage").leaks().collect()]
+    assert sorted(got) == [(k, 1) for k in range(81)]
