@@ -6,6 +6,8 @@ import hashlib
 import html
 import re
 import unicodedata
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -132,36 +134,53 @@ class WuManber:
         return end[same] - (m - 1), pattern[same]
 
 
-def carried(doc: np.ndarray, passage: np.ndarray, hits: np.ndarray, m: int, slack: int = 12) -> list[tuple[int, int]]:
-    """The words of the passage that the text carries in order: (place in passage, run) pairs.
+def _chain(hits: np.ndarray, m: int, size: int) -> list[tuple[int, int, int]]:
+    """The longest chain of matching words, rising in text and passage: segments (text place, passage place, words).
 
-    ``hits``: rows (text place, passage place) of matching windows. Hits on one diagonal that touch make segments; a best chain of segments, rising
-    in both, is chosen; between two chained segments at most ``slack`` words apart in both, the words of the shorter stretch that are equal
-    in order count as well (around wrong, missing and added words), and the two form one run; so do such words next to a run's ends.
+    Of all word pairs that some window covers, those of a longest rising sequence; among equally long ones, one in the fewest segments.
+    Pairs are taken by text place; ``ends`` keeps, in order of the passage place, the chain ends that no earlier place matches or betters, at most
+    the passage's length. So each pair costs one search in a short list, however many segments there are.
     """
-    hits = hits[np.lexsort((hits[:, 0], hits[:, 0] - hits[:, 1]))]
-    diagonal = hits[:, 0] - hits[:, 1]
-    cut = np.flatnonzero((np.diff(diagonal) != 0) | (np.diff(hits[:, 0]) > m)) + 1
-    segments = [(int(s[0, 0]), int(s[0, 1]), int(s[-1, 1] - s[0, 1]) + m) for s in np.split(hits, cut)]
-    segments.sort()
-    if len(segments) > 400:  # a text that repeats the passage: its longest segments, still one chain
-        segments = sorted(sorted(segments, key=lambda s: -s[2])[:400])
-    best, back = [], []
-    for i, (d, p, n) in enumerate(segments):
-        top, b = n, -1
-        for j in range(i):
-            dj, pj, nj = segments[j]
-            if dj < d and pj < p and dj + nj < d + n and pj + nj < p + n:
-                gain = best[j] + n - max(0, dj + nj - d, pj + nj - p)
-                if gain > top:
-                    top, b = gain, j
-        best.append(top)
+    step = np.arange(m)
+    keys = np.unique((hits[:, 0, None] + step) * size + size - 1 - (hits[:, 1, None] + step))
+    texts, places = (keys // size).tolist(), (size - 1 - keys % size).tolist()
+    word = size + 1  # a word outweighs any number of new segments
+    ends, tops, owners, back, last = [], [], [], array("q"), {}
+    for i, (d, p) in enumerate(zip(texts, places, strict=True)):
+        at = bisect_left(ends, p)
+        top, b = (tops[at - 1] - 1, owners[at - 1]) if at else (0, -1)
+        # The word before on the same diagonal; within a text place the pairs come from the last passage place down.
+        before, score = last.get(p - 1, (-1, 0))
+        if before >= 0 and texts[before] == d - 1 and score >= top:
+            top, b = score, before
+        top += word
         back.append(b)
-    i, chain = int(np.argmax(best)), []
+        last[p] = (i, top)
+        if at and tops[at - 1] >= top:
+            continue
+        stop = at
+        while stop < len(ends) and tops[stop] <= top:
+            stop += 1
+        ends[at:stop], tops[at:stop], owners[at:stop] = [p], [top], [i]
+    i, chain = owners[-1], []
     while i >= 0:
-        chain.append(segments[i])
+        d, p = texts[i], places[i]
+        if chain and chain[-1][0] == d + 1 and chain[-1][1] == p + 1:
+            chain[-1] = (d, p, chain[-1][2] + 1)
+        else:
+            chain.append((d, p, 1))
         i = back[i]
-    chain.reverse()
+    return chain[::-1]
+
+
+def carried(doc: np.ndarray, passage: np.ndarray, hits: np.ndarray, m: int, slack: int = 12) -> list[tuple[int, int]]:
+    """The words of the passage that the text carries in order: (place in passage, run) pairs.
+
+    ``hits``: rows (text place, passage place) of matching windows. The best chain of the words they cover, rising in both, is chosen (``_chain``);
+    between two chained segments at most ``slack`` words apart in both, the words of the shorter stretch that are equal
+    in order count as well (around wrong, missing and added words), and the two form one run; so do such words next to a run's ends.
+    """
+    chain = _chain(hits, m, len(passage))
     out, run = [], 0
 
     def between(texts: np.ndarray, p: int, end: int) -> None:
@@ -176,8 +195,6 @@ def carried(doc: np.ndarray, passage: np.ndarray, hits: np.ndarray, m: int, slac
     between(doc[max(0, d - slack) : d], max(0, p - slack), p)
     done_d, done_p = d, p
     for d, p, n in chain:
-        over = max(0, done_d - d, done_p - p)
-        d, p, n = d + over, p + over, n - over
         if d - done_d <= slack and p - done_p <= slack:
             between(doc[done_d:d], done_p, p)
         else:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from loamgrid.llm.leaks import LeakSearch, WuManber, words_of
+from loamgrid.llm.leaks import LeakSearch, WuManber, _chain, carried, words_of
 
 WORDS = [a + b for a in "ba ce di fo gu ka le mi no pu ra se".split() for b in "bel dor fin gam hup jek lom nar pid rus".split()]
 
@@ -105,3 +105,32 @@ def test_copies_of_a_partial_leak_are_not_public(spark):
     i = spark.createDataFrame(items, "item_id long, passage string")
     got = [(r.doc_id, r.item_id) for r in LeakSearch(d, "doc_id", "text", i, "item_id", "passage").leaks().collect()]
     assert sorted(got) == [(k, 1) for k in range(81)]
+
+
+def test_chain_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(150):
+        m, text, passage = rng.choice([2, 3]), [rng.randrange(3) for _ in range(rng.randrange(3, 40))], [rng.randrange(3) for _ in range(rng.randrange(3, 14))]
+        hits = [(t, k) for t in range(len(text) - m + 1) for k in range(len(passage) - m + 1) if text[t : t + m] == passage[k : k + m]]
+        if not hits:
+            continue
+        covered = {(t + x, k + x) for t, k in hits for x in range(m)}
+        best = np.zeros((len(text) + 1, len(passage) + 1), int)
+        for t in range(len(text)):
+            for k in range(len(passage)):
+                best[t + 1, k + 1] = max(best[t, k + 1], best[t + 1, k], best[t, k] + ((t, k) in covered))
+        pairs = [(d + x, p + x) for d, p, n in _chain(np.array(hits), m, len(passage)) for x in range(n)]
+        assert set(pairs) <= covered and len(pairs) == best[-1, -1]
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:]))
+
+
+def test_leak_behind_many_repeated_openings():
+    # 450 copies of the opening and then six pieces of eight words between wrong ones: more segments than any fixed number.
+    passage = np.arange(1, 101)
+    text = [x for _ in range(450) for x in [*range(1, 15), 0, 0, 0]]
+    for k in range(6):
+        text += [*range(20 + 13 * k, 28 + 13 * k), *[0] * 15]
+    text = np.array(text)
+    hits = np.array([(t, text[t] - 1) for t in range(len(text) - 3) if text[t] and (np.diff(text[t : t + 4]) == 1).all()])
+    got = {p for p, _ in carried(text, passage, hits, 4)}
+    assert got == {*range(14), *(19 + 13 * k + x for k in range(6) for x in range(8))}
