@@ -86,7 +86,8 @@ def _packing(spark: SparkSession, sf_dir: str) -> Packing:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packing(spark, sf_dir).split_items().select(F.col("key").alias("doc_id"))
+    # Each text that was split has one second piece in the containers.
+    return _packing(spark, sf_dir).containers().where("piece = 1").select(F.col("key").alias("doc_id"))
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,3 +64,14 @@ def test_empty(spark):
     p = Packing(df, "doc_id", "text", RANKS)
     assert p.containers().count() == 0 and p.split_items().count() == 0
     assert Packing(spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string"), "doc_id", "text", RANKS).containers().count() == 0
+
+
+def test_found_comes_from_the_containers(spark, tmp_path, monkeypatch):
+    from loamgrid.llm.queries import p7_found
+
+    texts = ["crop " * n for n in (1, 100, 2040, 2100, 5000, 9000)] + ["", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    calls, whole = [], Packing.containers
+    monkeypatch.setattr(Packing, "containers", lambda self: calls.append(1) or whole(self))
+    assert sorted(r.doc_id for r in p7_found(spark, str(tmp_path)).collect()) == [3, 4, 5]
+    assert calls
