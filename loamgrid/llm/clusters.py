@@ -18,30 +18,31 @@ def present(col: Column, *missing: float) -> Column:
     return ok & ~v.isin(*missing) if missing else ok
 
 
-def min_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> Staged:
+def min_labels(nodes: DataFrame, edges: DataFrame) -> Staged:
     """``node, label`` for each node: the least ``start`` label of its component.
 
     ``nodes``: node, start. ``edges``: src, dst, each once in one direction. Every round takes the minimum over neighbours and then
-    jumps to the label of the node that label stands for, so long chains halve; it ends when no label changes.
-    Each round is written to the shared folder and the one before it deleted.
+    jumps to the label of the node that label stands for, so long chains halve; it ends when no label changes, however many rounds
+    that takes. Each round is written to the shared folder and the one before it deleted.
     """
     both = Staged(edges.select("src", "dst").union(edges.select("dst", "src")))
     now = Staged(nodes.select("node", F.col("start").alias("label"), "start"))
-    for _ in range(rounds):
+    while True:
         near = both.df.join(now.df, both.df.dst == now.df.node).groupBy("src").agg(F.min("label").alias("near"))
         # The node that carries a label as its own start tells how far that label has come meanwhile.
         heads = now.df.select(F.col("start").alias("head"), F.col("label").alias("jump"))
         met = now.df.join(near, now.df.node == near.src, "left").select("node", "start", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("best"))
         new = Staged(met.join(heads, met.best == heads["head"], "left").select("node", F.least("best", F.coalesce("jump", "best")).alias("label"), "start", "old"))
-        changed = new.df.where("label < old").limit(1).count()
+        stable = new.df.where("label < old").isEmpty()
         now.drop()
         now = new
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"labels still change after {rounds} rounds")
-    both.drop()
-    return now
+        if stable:
+            both.drop()
+            return now
+
+
+#: Cells of one block that one task compares with all others of it; a fuller block is cut into parts of about this many.
+BLOCK_CELLS = 4096
 
 
 class GridClusters:
@@ -51,10 +52,11 @@ class GridClusters:
        count, the least id and one row's place inside the cell (the representative), in one map-side combined aggregation.
        A group of copies with a third of all rows is one cell.
     2. count: the cells go to the blocks (of edge 2 * eps) that a cube of edge eps around them touches. Cubes
-       that all overlap in pairs share a point, so some block holds a whole cluster of mutually similar rows: blocks
-       with fewer than ``min_size`` rows are not dense and are left out without loss.
-    3. join: adjacent dense cells, those of one block whose representatives are at most ``eps`` apart, in the block of
-       their midpoint only.
+       that all overlap in pairs share a point, so the block of that point holds a whole cluster of mutually similar rows and all
+       its pairs: blocks with fewer than ``min_size`` rows are not dense and are left out without loss, wherever the origin lies.
+    3. join: adjacent dense cells, those of one dense block whose representatives are at most ``eps`` apart. A pair may meet in
+       several dense blocks and is kept once. A block of more than BLOCK_CELLS cells is cut into parts: each part's cells meet all
+       cells of the block in a task of their own. A block holds a number of cells that depends on the features' number only.
     4. propagate minimum labels to convergence.
 
     Rows with a null, NaN, infinite or ``missing`` feature or a null id belong to no cluster. Repeated rows count as often as they
@@ -100,14 +102,15 @@ class GridClusters:
             put = put.withColumn(f"b{i}", F.explode(F.array_distinct(F.array(at(F.col(f"r{i}") - self.eps / 2), at(F.col(f"r{i}") + self.eps / 2)))))
         put = put.withColumn("block", F.xxhash64(*(f"b{i}" for i in range(self.d))))
         counts = put.groupBy("block").agg(F.sum("n").alias("rows"), F.count("*").alias("cells"))
-        dense = counts.where((F.col("rows") >= self.min_size) & (F.col("cells") > 1)).select("block")
-        side = put.join(dense, "block").select("block", F.col("first").alias("src"), *(F.col(f"r{i}").alias(f"s{i}") for i in range(self.d)))
-        side = Staged(side)
-        other = side.df.select("block", F.col("src").alias("dst"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(self.d)))
-        pairs = side.df.join(other, "block").where("src < dst")
+        dense = counts.where((F.col("rows") >= self.min_size) & (F.col("cells") > 1)).select("block", F.ceil(F.col("cells") / BLOCK_CELLS).cast("int").alias("parts"))
+        side = Staged(put.join(dense, "block").select("block", "parts", F.col("first").alias("src"), *(F.col(f"r{i}").alias(f"s{i}") for i in range(self.d))))
+        home = side.df.withColumn("part", F.pmod(F.xxhash64("src"), F.col("parts")).cast("int"))
+        other = side.df.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("src").alias("dst"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(self.d)))
+        close = F.col("src") < F.col("dst")
+        for i in range(min(2, self.d)):
+            close = close & (F.abs(F.col(f"s{i}") - F.col(f"t{i}")) <= self.eps)
         gap = sum((F.pow(F.col(f"s{i}") - F.col(f"t{i}"), 2) for i in range(self.d)), F.lit(0.0))
-        middle = F.xxhash64(*(at((F.col(f"s{i}") + F.col(f"t{i}")) / 2) for i in range(self.d)))
-        edges = Staged(pairs.where((gap <= self.eps**2) & (middle == F.col("block"))).select("src", "dst"))
+        edges = Staged(home.join(other, ["block", "part"]).where(close & (gap <= self.eps**2)).select("src", "dst").distinct())
         side.drop()
         # A cell is named by its least id. Cells without an edge are clusters of their own and need no round.
         linked = edges.df.select(F.explode(F.array("src", "dst")).alias("node")).distinct()

@@ -70,17 +70,17 @@ def optimal_buckets(histogram: Mapping[int, int], buckets: int) -> list[int]:
     return bounds[::-1]
 
 
-def container_patterns(bounds: list[int], counts: list[int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+def container_patterns(bounds: list[int], counts: list[int], capacity: int, mixed: bool = False) -> list[tuple[int, list[tuple[int, int]]]]:
     """Container patterns ``(repeat, [(bucket, items), ...])`` that hold all items.
 
-    A pattern is a token-budget batch of the largest bucket left, and batches of the next buckets in the space it leaves; it repeats as long as
-    its buckets last. Its work depends on the number of buckets, never on the number of items.
+    A pattern is a token-budget batch of one bucket: as many items as fit at the bucket's bound. ``mixed`` adds, in the space that the batch leaves, batches
+    of the next smaller buckets. A pattern repeats as long as its buckets last. The work depends on the number of buckets, never on the number of items.
     """
     left, out = list(counts), []
     for k in range(len(bounds) - 1, -1, -1):
         while left[k]:
             room, pattern = capacity, []
-            for j in range(k, -1, -1):
+            for j in range(k, -1, -1) if mixed else (k,):
                 m = min(room // bounds[j], left[j])
                 if m:
                     pattern.append((j, m))
@@ -98,7 +98,8 @@ class Packing:
     1. Lengths: tokens of whole texts, in Arrow batches, written down once.
     2. Pieces: an item up to the capacity is one piece; a longer one becomes full containers and a rest.
     3. Histogram: pieces of each length (at most ``capacity`` rows come to the driver, whatever the corpus).
-    4. Buckets by dynamic programming, container patterns from the buckets' counts.
+    4. Buckets by dynamic programming; token-budget batches inside each bucket, from the buckets' counts. By themselves they leave the space
+       of long items empty (a text of 1,100 tokens is alone in its container); ``containers(mixed=True)`` combines batches of several buckets in one container.
     5. Batches: each piece gets its number in its bucket and with it its container. Numbers come from counts of hashed parts and
        ranks within a part, so a bucket with a third of all items is never ordered in one task.
 
@@ -121,8 +122,8 @@ class Packing:
         each = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
         return each.select("key", "piece", (F.col("piece") * c).alias("start"), F.least(F.lit(c), F.col("tokens") - F.col("piece") * c).cast("int").alias("length"))
 
-    def containers(self) -> DataFrame:
-        """``key, piece, start, length, container_id``."""
+    def containers(self, mixed: bool = False) -> DataFrame:
+        """``key, piece, start, length, container_id``; each container is a batch of one bucket, or with ``mixed`` batches of several."""
         spark = self.lengths.spark
         histogram = {r.length: r.n for r in self.pieces().groupBy("length").agg(F.count("*").alias("n")).collect()}
         bounds = optimal_buckets(histogram, self.buckets)
@@ -130,7 +131,7 @@ class Packing:
         for length, n in histogram.items():
             counts[int(np.searchsorted(bounds, length))] += n
         segments, used, done = [], 0, [0] * len(bounds)
-        for repeat, pattern in container_patterns(bounds, counts, self.capacity):
+        for repeat, pattern in container_patterns(bounds, counts, self.capacity, mixed):
             for j, m in pattern:
                 segments.append((j, done[j], done[j] + m * repeat - 1, m, used))
                 done[j] += m * repeat

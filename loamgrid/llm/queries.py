@@ -9,9 +9,9 @@ from loamgrid.llm.clusters import GridClusters
 from loamgrid.llm.leaks import LeakSearch
 from loamgrid.llm.packing import Packing
 from loamgrid.llm.reading import fit_reading_model, reading_levels
-from loamgrid.llm.sampling import TargetSample, pixel_rows, request_targets
+from loamgrid.llm.sampling import TargetSample, letters, pixel_rows, request_targets
 from loamgrid.llm.splits import grouped_split, hash_to_min, star_edges
-from loamgrid.storage import read
+from loamgrid.storage import Staged, read
 
 BANDS = ("b02", "b03", "b04", "b08", "b11", "b12")
 RANKS, CAPACITY = "/opt/tokenizers/byte_bpe_50k.tiktoken", 2048
@@ -41,14 +41,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every target with what was needed, available and lacking."""
-    return _sample(spark, sf_dir).plan().select("request_id", "category", "needed", "available", "deficit")
+    """Every target with what was needed, available, drawn and lacking."""
+    return _sample(spark, sf_dir).report().select("request_id", "category", "needed", "available", "drawn", "deficit")
 
 
 def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sample(spark, sf_dir).draw()
 
 
+def p2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the sample: each target's exact count, of pixels of its class, at distinct positions."""
+    pixels = pixel_rows(read(spark, sf_dir, "pixels"), BANDS).select("id", "category").distinct().withColumn("real", F.lit(True))
+    rows = _sample(spark, sf_dir).draw().join(pixels, ["id", "category"], "left")
+    each = rows.groupBy("request_id", "category", "pix_row", "pix_col").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("real", F.lit(False))).alias("real"))
+    return each.groupBy("request_id", "category").agg(F.sum("n").alias("drawn"), F.bool_and("real").alias("of_the_class"), (F.max("n") == 1).alias("distinct_places"))
+
+
 def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels with their tile as a number (the tile's least scene_id)."""
     scenes = read(spark, sf_dir, "scenes").where("scene_id is not null and tile is not null").groupBy("scene_id").agg(F.min("tile").alias("tile"))
@@ -64,7 +72,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Unlabelled rows link polygons as well; only the labelled ones come out.
-    return grouped_split(_located(spark, sf_dir), "poly_id", ["tile_id", "pix_row", "pix_col"], ["tile_id", "pix_row", "pix_col"], SHARES).where("label is not null")
+    place = ["tile_id", "pix_row", "pix_col"]
+    return grouped_split(_located(spark, sf_dir), "poly_id", place, place, SHARES, label=letters(F.col("label")), tries=16).where("label is not null")
 
 
 def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +83,7 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and share of each split, by class and overall (class null)."""
-    rows = _splits(spark, sf_dir).select(F.regexp_replace(F.lower("label"), r"[^\p{L}]+", "").alias("label"), "split")
+    rows = _splits(spark, sf_dir).select(letters(F.col("label")).alias("label"), "split")
     counts = rows.groupBy("label", "split").agg(F.count("*").alias("n"))
     both = counts.unionByName(counts.groupBy("split").agg(F.sum("n").alias("n")).withColumn("label", F.lit(None).cast("string")))
     total = F.sum("n").over(Window.partitionBy("label"))
@@ -91,14 +100,48 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With as little unused space as possible: batches of several buckets in one container."""
+    return _packing(spark, sf_dir).containers(mixed=True).withColumnRenamed("key", "doc_id")
+
+
+def p7_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of one bucket each, for padded training batches."""
     return _packing(spark, sf_dir).containers().withColumnRenamed("key", "doc_id")
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How full the containers are: one row a tenth of fill."""
-    fill = _packing(spark, sf_dir).containers().groupBy("container_id").agg(F.sum("length").alias("used"))
+    """How full containers are, of one bucket and mixed: one row a tenth of fill."""
+    packing = _packing(spark, sf_dir)
+    each = [packing.containers(mixed=m).groupBy("container_id").agg(F.sum("length").alias("used")).withColumn("filling", F.lit(n)) for m, n in ((False, "one bucket"), (True, "mixed"))]
     tenth = F.least(F.lit(9), F.floor(F.col("used") * 10 / CAPACITY)).cast("int")
-    return fill.groupBy(tenth.alias("tenth")).agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"))
+    return each[0].unionByName(each[1]).groupBy("filling", tenth.alias("tenth")).agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"))
+
+
+def p7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the containers: none above capacity, every token in one place, only longer texts split."""
+    packing = _packing(spark, sf_dir)
+    rows = packing.containers(mixed=True)
+    full = rows.groupBy("container_id").agg(F.sum("length").alias("used")).agg(F.count(F.when(F.col("used") > CAPACITY, 1)).alias("overfull"))
+    got = rows.groupBy("key").agg(F.sum("length").alias("length"), F.count("*").alias("pieces"))
+    texts = packing.lengths.df.groupBy("key").agg(F.sum("tokens").alias("tokens"))
+    both = texts.join(got, "key", "left").select("tokens", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("pieces", F.lit(0)).alias("pieces"))
+    wrong = both.agg(
+        F.count("*").alias("docs"),
+        F.count(F.when(F.col("tokens") != F.col("length"), 1)).alias("wrong_length"),
+        F.count(F.when(F.col("pieces") != F.ceil(F.col("tokens") / CAPACITY), 1)).alias("wrong_pieces"),
+    )
+    return wrong.join(F.broadcast(full))
+
+
+def p6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the splits: all labelled rows are in one, no polygon and no ground position is in two."""
+    place = ["tile_id", "pix_row", "pix_col"]
+    out = Staged(_splits(spark, sf_dir).select("sample_id", "poly_id", "group_id", "split", *place))
+    two = lambda df, *by: df.groupBy(*by).agg(F.count_distinct("split").alias("n")).agg(F.count(F.when(F.col("n") > 1, 1)).alias("n"))
+    got = out.df.agg(F.count("*").alias("labelled_rows"), F.count("split").alias("in_a_split"))
+    for name, df in (("split_polygons", two(out.df.where("poly_id > 0"), "poly_id")), ("split_groups", two(out.df.where("group_id is not null"), "group_id")), ("split_places", two(out.df.dropna(subset=place), *place))):
+        got = got.join(F.broadcast(df.withColumnRenamed("n", name)))
+    return got
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +174,7 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir).join(docs, "key").groupBy("category", "reading_level").agg(F.count("*").alias("docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_described, p2_found, p2_report, p2_sample, p6_found, p6_splits, p6_shares, p7_found, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_described, p2_found, p2_report, p2_sample, p2_rules, p6_found, p6_splits, p6_shares, p6_rules, p7_found, p7_containers, p7_batches, p7_fill, p7_rules, p8_found, p8_items, p9_found, p9_profile)}
 
 _OK = " and ".join(f"{b} is not null and {b}::varchar <> 'nan' and {b} <> -9999" for b in BANDS)
 _P2 = f"""
@@ -146,6 +189,9 @@ plan as (select request_id, need.category, needed, coalesce(case when complete_o
     from need left join counts on need.scene_id = counts.scene_id and need.kind = counts.kind and need.category = counts.category)
 """
 ORACLE = {
+    "p2_rules": _P2 + "select request_id, category, least(needed, available) as drawn, true as of_the_class, true as distinct_places from plan where least(needed, available) > 0",
+    "p6_rules": "select count(*) as labelled_rows, count(*) as in_a_split, 0 as split_polygons, 0 as split_groups, 0 as split_places from pixels where label is not null",
+    "p7_rules": "select count(distinct doc_id) as docs, 0 as wrong_length, 0 as wrong_pieces, 0 as overfull from documents",
     "p1_found": f"""
 with v as (select sample_id, {', '.join(BANDS)}, floor(b02 / 0.02)::int as g, floor(b03 / 0.02)::int as h from pixels where {_OK}),
 near as (select b.sample_id as s, a.sample_id as o, a.b02, a.b03, a.b04, a.b08, a.b11, a.b12, b.b02 as c02, b.b03 as c03, b.b04 as c04, b.b08 as c08, b.b11 as c11, b.b12 as c12
@@ -154,7 +200,7 @@ close_to as (select s, min(o) as cluster_id, count(*) as n from near
     where power(b02 - c02, 2) + power(b03 - c03, 2) + power(b04 - c04, 2) + power(b08 - c08, 2) + power(b11 - c11, 2) + power(b12 - c12, 2) <= 0.0004 group by s)
 select cluster_id, s as sample_id from close_to where n >= 8""",
     "p2_found": _P2 + "select request_id, category from plan where available < needed",
-    "p2_report": _P2 + "select request_id, category, needed, available, greatest(0, needed - available) as deficit from plan",
+    "p2_report": _P2 + "select request_id, category, needed, available, least(needed, available) as drawn, greatest(0, needed - available) as deficit from plan",
     "p6_found": """
 with recursive put as (select distinct tile, pix_row, pix_col, poly_id from pixels join scenes using (scene_id) where poly_id > 0),
 star as (select poly_id, min(poly_id) over (partition by tile, pix_row, pix_col) as least from put),

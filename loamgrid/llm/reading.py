@@ -14,7 +14,7 @@ from loamgrid.llm.batches import slices
 
 #: A sentence ends at . ! ? (or a line break between blocks), followed by space and no lower-case letter.
 _END = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[\"'(\[]*[^\sa-z])|\n\s*\n|\n(?=\s*(?:[-*#>|]|\d+[.)]))")
-_MARK = re.compile(r"<[^<>]{1,300}>|&(?:\w{2,8}|#\d{1,6});|[*#>|_`~]+")
+_MARK = re.compile(r"</?[a-zA-Z!][^<>]*>|&(?:\w{2,8}|#\d{1,6});|[*#>|_`~]+")
 _SPACE = re.compile(r"[^a-z]+")
 _BASE = np.uint64(1_000_003)
 
@@ -172,7 +172,10 @@ class ReadingModel:
         x = self._doc_features(self._gather(held, words, owner, len(texts)))
         b = np.zeros((x.shape[1], k))
         for _ in range(3000):
-            b -= 0.05 * (x.T @ (_softmax(x @ b) - np.eye(k)[y_doc]) / len(x) + 1e-3 * b)
+            slope = x.T @ (_softmax(x @ b) - np.eye(k)[y_doc]) / len(x) + 1e-3 * b
+            b -= 0.05 * slope
+            if np.abs(slope).max() < 1e-5:
+                break
         self.b, self.held_out = b, float((np.argmax(x @ b, 1) == y_doc).mean())
         return self
 

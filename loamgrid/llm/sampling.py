@@ -37,7 +37,7 @@ class TargetSample:
     4. Correction: the accepted places with the smallest hashes are kept, exactly the needed number. Only the hash bin in which
        the count is reached is ranked, so no target is gathered in one task. A target whose draw came out short
        though enough was available is drawn once more at probability 1.
-    5. Deficits: needed less available, for each target; also for categories, pools and requests without rows (available 0).
+    5. Deficits: needed less drawn, for each target; also for categories, pools and requests without rows (nothing drawn).
 
     A null category, pool or place is never sampled. Ties of hashes go by place. Empty tables give empty results.
     """
@@ -53,7 +53,7 @@ class TargetSample:
         self.places = mine.groupBy("gid", *self.place).agg(F.min("id").alias("id"), F.min(F.when(F.col("complete"), F.col("id"))).alias("complete_id"))
 
     def plan(self, places: DataFrame | None = None) -> DataFrame:
-        """The targets with available, probability and deficit."""
+        """The targets with available and probability."""
         places = self.places if places is None else places
         counts = places.groupBy("gid").agg(F.count("*").alias("n"), F.count("complete_id").alias("n_complete"))
         counts = self.groups.df.join(counts, "gid")
@@ -61,25 +61,21 @@ class TargetSample:
         out = out.withColumn("available", F.coalesce(F.when(F.col("complete_only"), F.col("n_complete")).otherwise(F.col("n")), F.lit(0)))
         want = F.least("needed", "available")
         p = F.least(F.lit(1.0), (want + 6 * F.sqrt(want) + 10) / F.col("available"))
-        out = out.withColumn("probability", F.when((F.col("available") > 0) & (F.col("needed") > 0), p).otherwise(0.0))
-        return out.withColumn("deficit", F.greatest(F.lit(0).cast("long"), F.col("needed") - F.col("available"))).drop("n", "n_complete")
-
-    def deficits(self) -> DataFrame:
-        """Targets that can't be met: request_id, category, needed, available, deficit."""
-        return self.plan().where("deficit > 0").select("request_id", "category", "needed", "available", "deficit")
+        return out.withColumn("probability", F.when((F.col("available") > 0) & (F.col("needed") > 0), p).otherwise(0.0)).drop("n", "n_complete")
 
     def _accept(self, plan: DataFrame, places: DataFrame) -> DataFrame:
         met = places.join(plan, "gid").withColumn("id", F.when(F.col("complete_only"), F.col("complete_id")).otherwise(F.col("id"))).where("id is not null")
         met = met.withColumn("u", unit(F.col("request_id"), F.col("category"), *(F.col(c) for c in self.place))).where("u < probability")
         return met.select("request_id", "category", "needed", *self.place, "id", "u", F.least(F.lit(BINS - 1), F.floor(F.col("u") / F.col("probability") * BINS)).cast("int").alias("bin"))
 
-    def draw(self) -> DataFrame:
-        """``request_id, category, <place>, id``: exactly min(needed, available) rows a target."""
+    def _drawn(self) -> tuple[Staged, DataFrame]:
+        """The written plan, and the sampled rows."""
         places = Staged(self.places)
-        plan = Staged(self.plan(places.df).where("probability > 0").select("request_id", "category", "gid", "needed", "available", "complete_only", "probability"))
-        got = Staged(self._accept(broadcast_upto(plan, self.limit), places.df))
+        plan = Staged(self.plan(places.df))
+        live = plan.df.where("probability > 0").select("request_id", "category", "gid", "needed", "available", "complete_only", "probability")
+        got = Staged(self._accept(broadcast_upto(plan, self.limit, live), places.df))
         drawn = got.df.groupBy("request_id", "category").agg(F.count("*").alias("drawn"))
-        short = Staged(plan.df.join(drawn, ["request_id", "category"], "left").where(F.coalesce("drawn", F.lit(0)) < F.least("needed", "available")).drop("drawn").withColumn("probability", F.lit(1.0)))
+        short = Staged(live.join(drawn, ["request_id", "category"], "left").where(F.coalesce("drawn", F.lit(0)) < F.least("needed", "available")).drop("drawn").withColumn("probability", F.lit(1.0)))
         rows = got.df
         if short.rows:
             again = self._accept(broadcast_upto(short, self.limit), places.df)
@@ -91,7 +87,22 @@ class TargetSample:
         whole = rows.where("below + in_bin <= needed")
         edge = rows.where("below + in_bin > needed").withColumn("rank", F.row_number().over(Window.partitionBy("request_id", "category").orderBy("u", *self.place))).where("below + rank <= needed")
         keep = ["request_id", "category", *self.place, "id"]
-        return whole.select(*keep).unionByName(edge.select(*keep))
+        return plan, whole.select(*keep).unionByName(edge.select(*keep))
+
+    def draw(self) -> DataFrame:
+        """``request_id, category, <place>, id``: exactly min(needed, available) rows a target."""
+        return self._drawn()[1]
+
+    def report(self) -> DataFrame:
+        """Every target with ``needed, available, drawn, deficit``; drawn counts the rows of the sample itself, deficit is what it lacks."""
+        plan, rows = self._drawn()
+        drawn = rows.groupBy("request_id", "category").agg(F.count("*").alias("drawn"))
+        out = plan.df.select("request_id", "category", "needed", "available").join(drawn, ["request_id", "category"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+        return out.withColumn("deficit", F.greatest(F.lit(0).cast("long"), F.col("needed") - F.col("drawn")))
+
+    def deficits(self) -> DataFrame:
+        """Targets that the sample could not meet: request_id, category, needed, available, drawn, deficit."""
+        return self.report().where("deficit > 0")
 
 
 def request_targets(requests: DataFrame, targets: DataFrame, scenes: DataFrame) -> DataFrame:

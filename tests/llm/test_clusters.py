@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from loamgrid.llm import clusters
 from loamgrid.llm.clusters import GridClusters
 
 COLS = ["sample_id", "a", "b", "c", "k1", "n", "first"]
@@ -77,3 +78,34 @@ def test_empty_and_negative(spark):
     assert GridClusters(_frame(spark, []), "sample_id", ["a", "b", "c"], 0.02, 8).members().count() == 0
     rows = [(i, -0.5, -1.0, 0.0) for i in range(9)]
     assert GridClusters(_frame(spark, rows), "sample_id", ["a", "b", "c"], 0.02, 8).members().count() == 9
+
+
+def test_wide_small_clusters_at_any_origin(spark):
+    # Three groups of three rows nearly a diameter apart: the middle of each pair lies in a block that holds few rows.
+    rows = [(3 * g + k, x + k * 1e-4, y, 0.0) for g, (x, y) in enumerate([(-0.2, -0.2), (0.52, -0.17), (-0.17, 0.52)]) for k in range(3)]
+    for shift in (0.0, 100.7, 0.31, -3.3):
+        g = GridClusters(_frame(spark, [(i, a + shift, b + shift, c) for i, a, b, c in rows]), "sample_id", ["a", "b"], 1.0, 8)
+        assert sorted(r.id for r in g.members().collect()) == list(range(9)), shift
+
+
+def test_random_wide_clusters_at_random_origins(spark):
+    rng = np.random.default_rng(11)
+    rows, want = [], set()
+    for c in range(150):
+        # Eight to ten rows at full diameter around a random centre, clusters far apart.
+        centre, n = rng.uniform(-1, 1, 3) + np.array([10.0 * c, 0, 0]), int(rng.integers(8, 11))
+        v = rng.normal(size=(n, 3))
+        points = centre + v / np.linalg.norm(v, axis=1)[:, None] * 0.577 * 0.99
+        if max(np.linalg.norm(points[:, None] - points[None], axis=2).ravel()) > 0.99:
+            points = centre + (points - centre) * 0.85
+        for k in range(n):
+            rows.append((100 * c + k, *map(float, points[k])))
+            want.add((100 * c, 100 * c + k))
+    got = {(r.cluster_id, r.id) for r in GridClusters(_frame(spark, rows), "sample_id", ["a", "b", "c"], 1.0, 8).members().collect()}
+    assert got == want
+
+
+def test_full_blocks_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "BLOCK_CELLS", 3)
+    rows = _data(4)
+    assert {(r.cluster_id, r.id) for r in GridClusters(_frame(spark, rows), "sample_id", ["a", "b", "c"], 0.02, 8).members().collect()} == _brute(rows, 0.02, 8)

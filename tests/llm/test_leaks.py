@@ -88,8 +88,6 @@ def test_empty(spark):
     d = spark.createDataFrame([(1, "one two three four five six seven"), (2, "x " * 200_000)], "doc_id long, text string")
     assert LeakSearch(d, "doc_id", "text", i.limit(0), "item_id", "passage").leaks().count() == 0
     assert [tuple(r)[:2] for r in LeakSearch(d, "doc_id", "text", i, "item_id", "passage").leaks().collect()] == [(1, 1)]
-    with pytest.raises(ValueError):
-        LeakSearch(d, "doc_id", "text", i, "item_id", "passage", max_items=0)
 
 
 def test_copies_of_a_partial_leak_are_not_public(spark):
@@ -134,3 +132,38 @@ def test_leak_behind_many_repeated_openings():
     hits = np.array([(t, text[t] - 1) for t in range(len(text) - 3) if text[t] and (np.diff(text[t : t + 4]) == 1).all()])
     got = {p for p, _ in carried(text, passage, hits, 4)}
     assert got == {*range(14), *(19 + 13 * k + x for k in range(6) for x in range(8))}
+
+
+def test_items_in_blocks_equal_passages_and_shared_sentences(spark):
+    # Thirty passages open with one sentence, two items have equal passages; block by block the answer is the same.
+    rng = random.Random(12)
+    shared = _sentence(rng, 12)
+    items = [(k, f"{shared} {_text(rng, 3)}") for k in range(30)] + [(90, None), (91, ""), (92, "three short words")]
+    items.append((50, items[3][1]))
+    docs = [(k, f"{_text(rng, 2)} {items[k][1]} {_text(rng, 2)}") for k in range(0, 30, 3)] + [(100 + k, f"{shared} {_text(rng, 4)}") for k in range(40)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, passage string")
+    want = sorted([(k, k) for k in range(0, 30, 3)] + [(3, 50)])
+    for block in (50_000, 7):
+        got = [(r.doc_id, r.item_id) for r in LeakSearch(d, "doc_id", "text", i, "item_id", "passage", block_items=block).leaks().collect()]
+        assert sorted(got) == want
+
+
+def test_search_finds_every_window():
+    rng = random.Random(13)
+    for _ in range(40):
+        passages = [[str(rng.randrange(6)) for _ in range(rng.randrange(2, 14))] for _ in range(rng.randrange(1, 12))]
+        engine = WuManber(passages, 4)
+        texts = [engine.code([str(rng.randrange(7)) for _ in range(rng.choice([0, 2, 4, 60, 5000]))]) for _ in range(4)]
+        text = np.array([x for t in texts for x in t], np.int64)
+        ends = np.cumsum([len(t) for t in texts])
+        at, pattern = engine.search(text, ends - [len(t) for t in texts], ends)
+        known = {tuple(p.tolist()) for p in engine.patterns}
+        start = ends - [len(t) for t in texts]
+        want = [s + k for t, s in zip(texts, start, strict=True) for k in range(len(t) - 3) if tuple(t[k : k + 4]) in known]
+        assert at.tolist() == want
+        assert all(tuple(text[a : a + 4].tolist()) == tuple(engine.patterns[p].tolist()) for a, p in zip(at, pattern, strict=True))
+
+
+def test_long_tags_are_no_words():
+    assert words_of(f'one <a href="{"x" * 900}" title="two"> three') == ["one", "three"]

@@ -27,7 +27,7 @@ def test_patterns_hold_everything():
     for _ in range(30):
         bounds = sorted(rng.sample(range(1, 101), 7))
         counts = [rng.randrange(0, 5000) for _ in bounds]
-        got = container_patterns(bounds, counts, 100)
+        got = container_patterns(bounds, counts, 100, mixed=True)
         used = Counter()
         for repeat, pattern in got:
             assert repeat > 0 and sum(m * bounds[j] for j, m in pattern) <= 100
@@ -43,7 +43,7 @@ def test_containers(spark):
     texts = ["crop " * rng.choice([3, 3, 3, rng.randrange(1, 120)]) for _ in range(700)] + ["", None, "water " * 1000, "x" * 30_000, "leaf " * 64]
     df = spark.createDataFrame([(i, t, "a", 1) for i, t in enumerate(texts)] + [(5, texts[5], "copy", 1)], "doc_id long, text string, bucket string, length int")
     p = Packing(df, "doc_id", "text", RANKS, capacity=64, buckets=16, part_rows=50)
-    rows = p.containers().collect()
+    rows = p.containers(mixed=True).collect()
     enc = _encoding(RANKS)
     size = {i: len(enc.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)}
     fill, pieces = Counter(), defaultdict(list)
@@ -72,6 +72,23 @@ def test_found_comes_from_the_containers(spark, tmp_path, monkeypatch):
     texts = ["crop " * n for n in (1, 100, 2040, 2100, 5000, 9000)] + ["", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     calls, whole = [], Packing.containers
-    monkeypatch.setattr(Packing, "containers", lambda self: calls.append(1) or whole(self))
+    monkeypatch.setattr(Packing, "containers", lambda self, **k: calls.append(1) or whole(self, **k))
     assert sorted(r.doc_id for r in p7_found(spark, str(tmp_path)).collect()) == [3, 4, 5]
     assert calls
+
+
+def test_batches_of_one_bucket(spark):
+    rng = random.Random(6)
+    bounds = sorted(rng.sample(range(1, 101), 7))
+    counts = [rng.randrange(0, 500) for _ in bounds]
+    for repeat, pattern in container_patterns(bounds, counts, 100):
+        ((j, m),) = pattern
+        assert repeat > 0 and m * bounds[j] <= 100
+    df = spark.createDataFrame([(i, "crop " * rng.randrange(1, 60)) for i in range(400)], "doc_id long, text string")
+    rows = Packing(df, "doc_id", "text", RANKS, capacity=64, buckets=8, part_rows=50).containers().collect()
+    longest, total = {}, Counter()
+    for r in rows:
+        total[r.container_id] += r.length
+        longest[r.container_id] = max(longest.get(r.container_id, 0), r.length)
+    assert max(total.values()) <= 64 and len(rows) == 400
+    assert len({r.container_id for r in rows}) == len(total) == max(total) + 1

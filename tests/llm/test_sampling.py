@@ -42,6 +42,7 @@ def test_counts_are_exact_and_deficits_reported(spark):
     s = _sample(spark, rows)
     want = {(q, cat): (need, len(places[p, k, cat, full])) for q, p, k, cat, need, full in TARGET_ROWS}
     assert {(r.request_id, r.category): (r.needed, r.available) for r in s.plan().collect()} == want
+    assert {(r.request_id, r.category): r.drawn for r in s.report().collect()} == {k: min(n, a) for k, (n, a) in want.items()}
     assert {(r.request_id, r.category): r.deficit for r in s.deficits().collect()} == {k: n - a for k, (n, a) in want.items() if a < n}
     drawn = s.draw().collect()
     assert Counter((r.request_id, r.category) for r in drawn) == Counter({k: min(n, a) for k, (n, a) in want.items() if min(n, a)})

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from loamgrid.llm import splits
 from loamgrid.llm.queries import p6_found, p6_shares, p6_splits
 from loamgrid.llm.splits import grouped_split, hash_to_min, rendezvous, star_edges
 
@@ -58,10 +59,10 @@ def test_groups_stay_together(spark):
     for limit in (10**6, 0):
         out = grouped_split(df, "poly", ["tile", "r"], ["tile", "r"], {"train": 0.6, "test": 0.4}, broadcast_rows=limit).collect()
         assert len(out) == len(rows)
-        splits = defaultdict(set)
+        together = defaultdict(set)
         for r in out:
-            splits[("g", r.group_id) if r.group_id is not None else ("r", r.tile, r.r)].add(r.split)
-        assert all(len(s) == 1 for s in splits.values())
+            together[("g", r.group_id) if r.group_id is not None else ("r", r.tile, r.r)].add(r.split)
+        assert all(len(s) == 1 for s in together.values())
         edges = defaultdict(set)
         for r in out:
             if r.poly:
@@ -92,3 +93,46 @@ def test_unlabelled_rows_link_the_split_groups(spark, tmp_path):
     assert got[1000].group_id is None and got[1000].split == got[1001].split
     shares = p6_shares(spark, str(tmp_path)).collect()
     assert sum(r.n for r in shares if r.label is None) == len(got)
+
+
+def test_rows_without_a_node_go_with_the_node_on_their_place(spark):
+    rows = [(1, 7, "a", 1), (2, None, "a", 1), (3, 0, "a", 2), (4, 9, "a", 3), (5, None, None, 3), (6, None, "a", 3)]
+    df = spark.createDataFrame(rows, "sample_id long, poly long, tile string, r int")
+    got = {r.sample_id: r.group_id for r in grouped_split(df, "poly", ["tile", "r"], ["sample_id"], {"train": 0.5, "test": 0.5}).collect()}
+    assert got == {1: 7, 2: 7, 3: None, 4: 9, 5: None, 6: 9}
+
+
+def test_hot_clusters_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(splits, "CLUSTER_ROWS", 7)
+    edges = [(1, i) for i in range(2, 200)] + [(i, i + 1) for i in range(500, 560)]
+    got = {r.node: r.component for r in hash_to_min(spark.createDataFrame(edges, "src long, dst long")).df.collect()}
+    assert got == _components(edges)
+
+
+def test_best_seed_balances_classes(spark):
+    rng = random.Random(5)
+    rows, i = [], 0
+    for poly in range(1, 120):
+        for _ in range(rng.choice([5, 20, 300])):
+            rows.append((i, poly, "a", i, "xyz"[poly % 3]))
+            i += 1
+    df = spark.createDataFrame(rows, "sample_id long, poly long, tile string, r int, label string")
+
+    def worst(out):
+        n = Counter((r.label, r.split) for r in out.collect())
+        total = Counter()
+        for (c, _), k in n.items():
+            total[c] += k
+        return max(abs(n[c, s] / total[c] - p) / p for c in total for s, p in (("train", 0.8), ("test", 0.2)))
+
+    shares = {"train": 0.8, "test": 0.2}
+    one = worst(grouped_split(df, "poly", ["tile", "r"], ["r"], shares, label=F.col("label")))
+    best = worst(grouped_split(df, "poly", ["tile", "r"], ["r"], shares, label=F.col("label"), tries=16))
+    assert best <= one and best < 0.35
+
+
+def test_splits_agree_with_found_on_every_group(spark):
+    groups = {r.poly_id: r.group_id for r in p6_found(spark, "/root/testdata/sf0.001").collect()}
+    pixels = spark.read.parquet("/root/testdata/sf0.001/pixels.parquet").select("sample_id", "poly_id")
+    for r in p6_splits(spark, "/root/testdata/sf0.001").join(pixels, "sample_id").where("poly_id > 0").collect():
+        assert r.group_id == groups.get(r.poly_id, r.poly_id)
