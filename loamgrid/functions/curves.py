@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,3 +68,27 @@ def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
 def sphere_level(reach: float, radius: float = EARTH_M) -> int:
     """The finest level (2**level cells along each axis of the cube around the sphere) whose cells are at least ``reach`` wide."""
     return max(0, min(20, math.floor(math.log2(2.002 * radius / reach))))
+
+
+def morton_array(cells, bits: int) -> np.ndarray:
+    """The Z-order codes of integer arrays, one array an axis."""
+    masks, code = _masks(bits, len(cells)), None
+    for i, c in enumerate(cells):
+        x = np.asarray(c, np.int64)
+        for shift, mask in masks:
+            x = (x | x << shift if shift else x) & mask
+        code = x << i if code is None else code | x << i
+    return code
+
+
+def sphere_xyz_array(lat: np.ndarray, lon: np.ndarray, radius: float = EARTH_M) -> np.ndarray:
+    """Geocentric coordinates of arrays of positions, one row an axis."""
+    p, l = np.radians(lat), np.radians(lon)
+    return radius * np.stack([np.cos(p) * np.cos(l), np.cos(p) * np.sin(l), np.sin(p)])
+
+
+def great_circle_array(lat1, lon1, lat2, lon2, radius: float = EARTH_M) -> np.ndarray:
+    """Haversine distances of arrays of positions."""
+    p, q = np.radians(lat1), np.radians(lat2)
+    a = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
+    return 2 * radius * np.arcsin(np.minimum(1.0, np.sqrt(a)))

@@ -114,6 +114,17 @@ ORACLE = {
             round(case when v is not null then v when step between a and b and s1 - s0 - 1 <= 3 then v0 + (v1 - v0) * (step - s0) / (s1 - s0) end, 4) as value,
             case when v is not null then 'observed' when step < a or step > b then 'outside' when s1 - s0 - 1 <= 3 then 'filled' else 'missing' end as status
         from near""",
+    "p4_found": """
+with pts as (select point_id as k, lat, lon, radians(lat) as p, radians(lon) as l, floor(lat / 0.01)::int as band from points
+    where not (lat::varchar = 'nan') and not (lon::varchar = 'nan') and abs(lat) <= 90 and abs(lon) <= 180 and not (lat = 0 and lon = 0)),
+near as (select a.k as ka, b.k as kb, 2 * 6371008.8 * asin(least(1.0, sqrt(power(sin((b.p - a.p) / 2), 2) + cos(a.p) * cos(b.p) * power(sin((b.l - a.l) / 2), 2)))) as m
+    from (select *, unnest([band - 1, band, band + 1]) as near_band from pts) a join pts b on a.near_band = b.band and a.k < b.k),
+r as (select region_id, geojson::json as g from regions),
+part as (select region_id, unnest(case when g->>'type' = 'Polygon' then [from_json(g->'coordinates', '[[["DOUBLE"]]]')] when g->>'type' = 'MultiPolygon' then from_json(g->'coordinates', '[[[["DOUBLE"]]]]') end) as rings from r),
+numbered as (select *, row_number() over () as n from part), ring as (select region_id, n, unnest(rings) as q from numbered),
+edge as (select region_id, n, q[i][1] as x1, q[i][2] as y1, q[i + 1][1] as x2, q[i + 1][2] as y2 from (select *, unnest(range(1, len(q))) as i from ring)),
+inside as (select distinct k, region_id from (select k, region_id, n from pts join edge on (y1 > lat) <> (y2 > lat) and lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 group by all having count(*) % 2 = 1))
+select 'near' as kind, ka as key_a, kb as key_b from near where m <= 100 union all select 'inside', k, region_id from inside""",
     "p4_neighbours": """
 with pts as (select point_id as k, lat, lon, radians(lat) as p, radians(lon) as l, floor(lat / 0.01)::int as band from points
     where not (lat::varchar = 'nan') and not (lon::varchar = 'nan') and abs(lat) <= 90 and abs(lon) <= 180 and not (lat = 0 and lon = 0)),

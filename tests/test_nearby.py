@@ -1,6 +1,9 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
+
 from loamgrid.functions.curves import EARTH_M, morton_int
 from loamgrid.operators import nearby
 
@@ -34,8 +37,9 @@ def test_near_over_poles_and_antimeridian(spark):
         assert got == _brute(pts, metres)
 
 
-def test_full_cells_are_salted(spark, monkeypatch):
-    monkeypatch.setattr(nearby, "CELL_ROWS", 5)
+def test_small_blocks_and_positions_with_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearby, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(nearby, "PAIRS", 50)
     pts = _points()
     got = [(r.key_a, r.key_b) for r in nearby.points_near(spark.createDataFrame([(*p, "", "") for p in pts], SCHEMA), "point_id", "lat", "lon", 100.0).collect()]
     assert len(got) == len(set(got))
@@ -71,14 +75,41 @@ def test_inside_with_holes_and_parts(spark):
     assert nearby.points_inside(df, "point_id", "lat", "lon", regions, "region_id", "geojson", broadcast_rows=0).count() == len(want)
 
 
+def test_inside_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearby, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(nearby, "PAIRS", 40)
+    rng = random.Random(3)
+    pts = [(i, rng.uniform(-5, 25), rng.uniform(-5, 25)) for i in range(300)] + [(i, 2.0, 2.0) for i in range(300, 340)]
+    regions = spark.createDataFrame(REGIONS, "region_id long, geojson string")
+    df = spark.createDataFrame([(*p, "", "") for p in pts], SCHEMA)
+    each = [sorted(map(tuple, nearby.points_inside(df, "point_id", "lat", "lon", regions, "region_id", "geojson", broadcast_rows=n).collect())) for n in (0, 500_000)]
+    assert each[0] == each[1] and len(each[0]) > 60
+
+
+def test_exact_test_agrees_with_the_even_odd_rule():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        # A star with a hole, its corners at random distances.
+        turn = np.sort(rng.uniform(0, 2 * np.pi, 30))
+        ring = lambda far: [[float(f * np.cos(t)), float(f * np.sin(t))] for f, t in zip(far, turn, strict=True)]
+        edges = nearby.polygon_edges([ring(rng.uniform(4, 9, 30)), ring(np.full(30, 2.0))])
+        cover = nearby.polygon_cover(edges, 24, 150)
+        ranges = nearby._Ranges(pd.DataFrame([(1, *r[:6], r[6].ravel()) for r in cover], columns=["key_b", "lo", "hi", "whole", "x", "y", "inside", "edges"]))
+        x, y = rng.uniform(-10, 10, 800), rng.uniform(-10, 10, 800)
+        order = np.argsort(nearby.lonlat_code(y, x))
+        x, y = x[order], y[order]
+        got = nearby._contained(ranges, nearby.lonlat_code(y, x), y, x)
+        assert {int(p) for p, _ in got} == {i for i in range(800) if nearby.even_odd(edges, x[i], y[i])}
+
+
 def test_cover_holds_the_polygon():
-    edges = nearby._edges([[[0, 0], [7, 1], [3, 9], [0, 0]]])
+    edges = nearby.polygon_edges([[[0, 0], [7, 1], [3, 9], [0, 0]]])
     cover = nearby.polygon_cover(edges, 16, 200)
     assert all(a[1] < b[0] for a, b in zip(cover, cover[1:], strict=False))
     rng = random.Random(4)
     for _ in range(500):
         x, y = rng.uniform(-1, 10), rng.uniform(-1, 10)
         code = morton_int((int((x + 180) / 360 * 2**16), int((y + 90) / 180 * 2**16)), 16)
-        hit = [w for lo, hi, w in cover if lo <= code <= hi]
-        inside = nearby._inside(edges, x, y)
+        hit = [w for lo, hi, w, *_ in cover if lo <= code <= hi]
+        inside = nearby.even_odd(edges, x, y)
         assert len(hit) == 1 if inside else not any(hit)
