@@ -10,51 +10,51 @@ from pyspark.sql import functions as F
 
 from loamgrid.functions.expressions import IndexDialect, finite
 
-#: Published index formulas; name -> (formula, category, display range).
+#: Published index formulas.
 INDICES = {
-    "NDVI": ("(B08 - B04) / (B08 + B04)", "Vegetation", (-0.2, 0.9)),
-    "SAVI": ("1.5 * (B08 - B04) / (B08 + B04 + 0.5)", "Vegetation", (-0.2, 0.8)),
-    "MSAVI": ("(2 * B08 + 1 - sqrt((2 * B08 + 1) ** 2 - 8 * (B08 - B04))) / 2", "Vegetation", (-0.2, 0.8)),
-    "OSAVI": ("(B08 - B04) / (B08 + B04 + 0.16)", "Vegetation", (-0.2, 0.8)),
-    "EVI": ("2.5 * (B08 - B04) / (B08 + 6 * B04 - 7.5 * B02 + 1)", "Vegetation", (-0.2, 0.8)),
-    "EVI2": ("2.5 * (B08 - B04) / (B08 + 2.4 * B04 + 1)", "Vegetation", (-0.2, 0.8)),
-    "GNDVI": ("(B08 - B03) / (B08 + B03)", "Vegetation", (-0.2, 0.9)),
-    "NDRE": ("(B08 - B05) / (B08 + B05)", "Vegetation", (-0.2, 0.7)),
-    "CIre": ("B08 / B05 - 1", "Vegetation", (0, 6)),
-    "ARVI": ("(B08 - (2 * B04 - B02)) / (B08 + (2 * B04 - B02))", "Vegetation", (-0.2, 0.9)),
-    "NDCI": ("(B05 - B04) / (B05 + B04)", "Water", (-0.2, 0.4)),
-    "VARI": ("(B03 - B04) / (B03 + B04 - B02)", "RGB only", (-0.5, 0.5)),
-    "GLI": ("(2 * B03 - B04 - B02) / (2 * B03 + B04 + B02)", "RGB only", (-0.3, 0.3)),
-    "ExG": ("2 * B03 - B04 - B02", "RGB only", (-0.1, 0.2)),
-    "NDWI": ("(B03 - B08) / (B03 + B08)", "Water", (-0.6, 0.6)),
-    "MNDWI": ("(B03 - B11) / (B03 + B11)", "Water", (-0.6, 0.6)),
-    "AWEI": ("4 * (B03 - B11) - (0.25 * B08 + 2.75 * B12)", "Water", (-1, 0.5)),
-    "NDMI": ("(B08 - B11) / (B08 + B11)", "Water", (-0.5, 0.6)),
-    "NDBI": ("(B11 - B08) / (B11 + B08)", "Built-up & soil", (-0.5, 0.4)),
-    "UI": ("(B12 - B08) / (B12 + B08)", "Built-up & soil", (-0.6, 0.4)),
-    "BSI": ("((B11 + B04) - (B08 + B02)) / ((B11 + B04) + (B08 + B02))", "Built-up & soil", (-0.4, 0.4)),
-    "NDTI": ("(B11 - B12) / (B11 + B12)", "Built-up & soil", (-0.1, 0.3)),
-    "NBR": ("(B08 - B12) / (B08 + B12)", "Fire", (-0.5, 0.8)),
-    "NBR2": ("(B11 - B12) / (B11 + B12)", "Fire", (-0.2, 0.4)),
-    "NDSI": ("(B03 - B11) / (B03 + B11)", "Snow", (-0.5, 1)),
-    "RVI": ("4 * 10 ** (VH / 10) / (10 ** (VV / 10) + 10 ** (VH / 10))", "Radar (SAR)", (0, 1)),
-    "CPR": ("VH - VV", "Radar (SAR)", (-20, -4)),
-    "NDPI": ("(10 ** (VV / 10) - 10 ** (VH / 10)) / (10 ** (VV / 10) + 10 ** (VH / 10))", "Radar (SAR)", (0, 1)),
-    "VVdB": ("VV", "Radar (SAR)", (-25, 0)),
-    "VHdB": ("VH", "Radar (SAR)", (-30, -5)),
+    "NDVI": "(B08 - B04) / (B08 + B04)",
+    "SAVI": "1.5 * (B08 - B04) / (B08 + B04 + 0.5)",
+    "MSAVI": "(2 * B08 + 1 - sqrt((2 * B08 + 1) ** 2 - 8 * (B08 - B04))) / 2",
+    "OSAVI": "(B08 - B04) / (B08 + B04 + 0.16)",
+    "EVI": "2.5 * (B08 - B04) / (B08 + 6 * B04 - 7.5 * B02 + 1)",
+    "EVI2": "2.5 * (B08 - B04) / (B08 + 2.4 * B04 + 1)",
+    "GNDVI": "(B08 - B03) / (B08 + B03)",
+    "NDRE": "(B08 - B05) / (B08 + B05)",
+    "CIre": "B08 / B05 - 1",
+    "ARVI": "(B08 - (2 * B04 - B02)) / (B08 + (2 * B04 - B02))",
+    "NDCI": "(B05 - B04) / (B05 + B04)",
+    "VARI": "(B03 - B04) / (B03 + B04 - B02)",
+    "GLI": "(2 * B03 - B04 - B02) / (2 * B03 + B04 + B02)",
+    "ExG": "2 * B03 - B04 - B02",
+    "NDWI": "(B03 - B08) / (B03 + B08)",
+    "MNDWI": "(B03 - B11) / (B03 + B11)",
+    "AWEI": "4 * (B03 - B11) - (0.25 * B08 + 2.75 * B12)",
+    "NDMI": "(B08 - B11) / (B08 + B11)",
+    "NDBI": "(B11 - B08) / (B11 + B08)",
+    "UI": "(B12 - B08) / (B12 + B08)",
+    "BSI": "((B11 + B04) - (B08 + B02)) / ((B11 + B04) + (B08 + B02))",
+    "NDTI": "(B11 - B12) / (B11 + B12)",
+    "NBR": "(B08 - B12) / (B08 + B12)",
+    "NBR2": "(B11 - B12) / (B11 + B12)",
+    "NDSI": "(B03 - B11) / (B03 + B11)",
+    "RVI": "4 * 10 ** (VH / 10) / (10 ** (VV / 10) + 10 ** (VH / 10))",
+    "CPR": "VH - VV",
+    "NDPI": "(10 ** (VV / 10) - 10 ** (VH / 10)) / (10 ** (VV / 10) + 10 ** (VH / 10))",
+    "VVdB": "VV",
+    "VHdB": "VH",
 }
 
 
 def index_column(formula: str, bands: Mapping[str, Column]) -> Column:
     """An index by name, or any formula over the bands; null where a band is missing or the result isn't finite."""
-    return IndexDialect(bands).compile(INDICES[formula][0] if formula in INDICES else formula).col
+    return IndexDialect(bands).compile(INDICES.get(formula, formula)).col
 
 
 def available_indices(bands: Sequence[str]) -> list[str]:
     """The indices whose bands are all there."""
     dialect = IndexDialect({b: F.lit(0.0) for b in bands})
     out = []
-    for name, (formula, _, _) in INDICES.items():
+    for name, formula in INDICES.items():
         try:
             dialect.compile(formula)
             out.append(name)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions.expressions import number_text
+from loamgrid.operators.meeting import meet
 from loamgrid.operators.vectors import box_pairs
 
 
@@ -22,9 +23,10 @@ def attribute_join(left: DataFrame, right: DataFrame, left_key: str, right_key:
 
     Clashing columns get the prefix; ``matched`` tells whether there was a match.
     """
-    keyed = right.withColumn("__key", join_key(F.col(right_key)))
-    first = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("__key").orderBy(*order))).where("__r = 1").drop("__r")
-    named = first.select("__key", F.lit(True).alias("__hit"), *(F.col(c).alias(prefix + c if c in left.columns else c) for c in right.columns if c != right_key))
+    # The least row of each key, combined map-side: null keys or a key with most rows are never ordered in one task.
+    rank = F.struct(*(s for i, c in enumerate(order) for s in (F.col(c).isNotNull().alias(f"n{i}"), F.col(c).alias(f"o{i}"))))
+    first = right.groupBy(join_key(F.col(right_key)).alias("__key")).agg(F.min_by(F.struct(*right.columns), rank).alias("__row"))
+    named = first.select("__key", F.lit(True).alias("__hit"), *(F.col("__row")[c].alias(prefix + c if c in left.columns else c) for c in right.columns if c != right_key))
     out = left.join(named, join_key(F.col(left_key)).eqNullSafe(F.col("__key")), "left")
     return out.withColumn("matched", F.coalesce("__hit", F.lit(False))).drop("__key", "__hit")
 
@@ -48,9 +50,13 @@ def box_iou() -> Column:
     return F.try_divide(c, area("a") + area("b") - c)
 
 
-def largest_overlap(a: DataFrame, b: DataFrame, a_key: str, b_key: str, size: float) -> DataFrame:
-    """``a_key, b_key, overlap``: of each a the b with the largest common area (boxes; touching counts when nothing better, ties to the smaller b)."""
+def largest_overlap(a: DataFrame, b: DataFrame, a_key: str, b_key: str, size: float, others: bool = False) -> DataFrame:
+    """``a_key, b_key, overlap``: of each a the b with the largest common area (boxes; touching counts when nothing better, ties to the smaller b).
+
+    ``others`` leaves out pairs of equal keys, for a layer against itself.
+    """
     pairs = box_pairs(a, b, size).withColumn("overlap", common_area())
+    pairs = pairs.where(F.col(f"a_{a_key}") != F.col(f"b_{b_key}")) if others else pairs
     best = pairs.groupBy(f"a_{a_key}").agg(F.max_by(F.struct(F.col(f"b_{b_key}").alias("k"), F.col("overlap").alias("o")), F.struct(F.col("overlap"), -F.col(f"b_{b_key}"))).alias("m"))
     return best.select(f"a_{a_key}", F.col("m.k").alias(f"b_{b_key}"), F.col("m.o").alias("overlap"))
 
@@ -84,19 +90,22 @@ def within_distance(a: DataFrame, b: DataFrame, x: str, y: str, a_key: str, b_ke
     near = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
     right = b.select(F.col(b_key).alias("b_key"), F.col(x).alias("bx"), F.col(y).alias("by"), near(x).alias("i"), F.col(y)).withColumn("j", near(y)).drop(y)
     d = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
-    return left.join(right, ["i", "j"]).withColumn("dist", d).where(F.col("dist") <= reach).select("a_key", "b_key", "dist")
+    return meet(left, right, ["i", "j"]).withColumn("dist", d).where(F.col("dist") <= reach).select("a_key", "b_key", "dist")
 
 
-def nearest(a: DataFrame, b: DataFrame, x: str, y: str, a_key: str, b_key: str, start: float, limit: float | None = None, grow: float = 4.0) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, x: str, y: str, a_key: str, b_key: str, start: float | None = None, limit: float | None = None, grow: float = 4.0) -> DataFrame:
     """``a_key, b_key, join_dist_m``: of each a the nearest b (ties to the smaller key), null beyond ``limit``.
 
     Rings that grow: pairs within a reach are joined by cells, rows without a partner go on with a wider reach, until the reach covers the extent of all points. A
-    partner found within the reach is the nearest there is. Each round only the rest is joined.
+    partner found within the reach is the nearest there is. Each round only the rest is joined. Without ``start`` the first reach is
+    an eighth of the mean spacing of b over the extent, so that dense places are settled before the reach is wide.
     """
     from loamgrid.storage import Staged
 
     ends = a.select(x, y).union(b.select(x, y)).agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
     extent = 0.0 if ends[0] is None else float(((ends[1] - ends[0]) ** 2 + (ends[3] - ends[2]) ** 2) ** 0.5)
+    if start is None:
+        start = max(extent / 8 / max(1, b.count()) ** 0.5, 1e-9)
     rest, found, reach = a, None, start
     while True:
         reach = min(reach, limit) if limit else reach

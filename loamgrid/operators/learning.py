@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions.expressions import finite
+from loamgrid.operators.quantiles import exact_quantiles
 from loamgrid.operators.raster import spread_labels
 
 # --- Embeddings ------------------------------------------------------------------------------------------------------
@@ -60,8 +61,9 @@ def nearest_mean(df: DataFrame, means: DataFrame, vector: str, label: str, angle
 
 
 def similarity_summary(df: DataFrame, score: str) -> DataFrame:
-    q = F.percentile(score, F.array(F.lit(0.5), F.lit(0.95)))
-    return df.agg(F.avg(score).alias("mean"), q.alias("q"), F.avg((F.col(score) > 0.9).cast("double")).alias("over_09")).select("mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), "over_09")
+    """Mean, exact median and 95 % quantile of a score, and the share over 0.9."""
+    q = [F.lit(x).cast("double") for x in exact_quantiles(df, {"s": F.col(score)}, (0.5, 0.95))["s"]]
+    return df.agg(F.avg(score).alias("mean"), F.avg((F.col(score) > 0.9).cast("double")).alias("over_09")).select("mean", q[0].alias("p50"), q[1].alias("p95"), "over_09")
 
 
 def encode_sqrt(v: Column) -> Column:
@@ -141,17 +143,19 @@ def knn_vote(near: DataFrame, labels: DataFrame, key: str, label: str) -> DataFr
 
 
 def impute(df: DataFrame, numbers: Sequence[str] = (), words: Sequence[str] = ()) -> DataFrame:
-    """Medians for missing numbers, '(missing)' for words. The medians are one row."""
+    """Exact medians (found before the result is built) for missing numbers, '(missing)' for words."""
     out = df
     if numbers:
-        med = df.agg(*(F.percentile(finite(F.col(c).cast("double")), F.lit(0.5)).alias(f"__med_{c}") for c in numbers))
-        out = out.join(F.broadcast(med)).withColumns({c: F.coalesce(finite(F.col(c).cast("double")), F.col(f"__med_{c}")) for c in numbers}).drop(*(f"__med_{c}" for c in numbers))
+        med = exact_quantiles(df, {c: F.col(c) for c in numbers}, (0.5,))
+        out = out.withColumns({c: F.coalesce(finite(F.col(c).cast("double")), F.lit(med[c][0]).cast("double")) for c in numbers})
     return out.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("(missing)")) for c in words})
 
 
 def clip_quantiles(df: DataFrame, columns: Sequence[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    q = df.agg(*(F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(f"__q_{c}") for c in columns))
-    return df.join(F.broadcast(q)).withColumns({c: F.least(F.greatest(F.col(c), F.col(f"__q_{c}")[0]), F.col(f"__q_{c}")[1]) for c in columns}).drop(*(f"__q_{c}" for c in columns))
+    """Values beyond the exact ``lo`` and ``hi`` quantiles become these; null stays null."""
+    q = exact_quantiles(df, {c: F.col(c) for c in columns}, (lo, hi))
+    clipped = lambda c: F.least(F.greatest(F.col(c), F.lit(q[c][0]).cast("double")), F.lit(q[c][1]).cast("double"))
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), clipped(c)) for c in columns})
 
 
 def yeo_johnson(x: Column, lam: float) -> Column:
@@ -308,7 +312,7 @@ def cluster(df: DataFrame, features: Sequence[str] | str, method: str = "kmeans"
     return relabel_by_size(out, "prediction", "cluster").drop("prediction"), model
 
 
-def relabel_by_size(df: DataFrame, label: str, name: str, noise: int = -1) -> DataFrame:
+def relabel_by_size(df: DataFrame, label: str, name: str, noise: int | str = -1) -> DataFrame:
     """Labels 1.. by falling size (ties by old label); noise becomes 0."""
     sizes = df.where(F.col(label) != noise).groupBy(F.col(label).alias("__l")).agg(F.count("*").alias("__n"))
     ranks = sizes.select("__l", F.row_number().over(Window.orderBy(F.desc("__n"), "__l")).alias(name))  # one row a cluster

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions.expressions import RasterDialect, finite
+from loamgrid.operators.quantiles import exact_quantiles
 from loamgrid.storage import Staged
 
 CELL = ("row", "col")
@@ -225,10 +226,10 @@ def sharpen(df: DataFrame, value: str, sigma: float = 1.0, amount: float = 1.0,
 
 
 def stretch(df: DataFrame, value: str, lo: float = 0.02, hi: float = 0.98, name: str = "stretched") -> DataFrame:
-    """Between two quantiles to 0..1."""
-    q = F.broadcast(df.agg(F.percentile(F.col(value), F.array(F.lit(lo), F.lit(hi))).alias("__q")))  # one row
-    x = F.try_divide(F.col(value) - F.col("__q")[0], F.col("__q")[1] - F.col("__q")[0])
-    return df.join(q).withColumn(name, F.when(F.col(value).isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))).drop("__q")
+    """Between two exact quantiles (found before the result is built) to 0..1."""
+    a, b = (F.lit(q).cast("double") for q in exact_quantiles(df, {"v": F.col(value)}, (lo, hi))["v"])
+    x = F.try_divide(F.col(value) - a, b - a)
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))))
 
 
 def gamma(value: Column, g: float) -> Column:
@@ -320,22 +321,21 @@ def connected_regions(df: DataFrame, cls: str, diagonal: bool = False, keys: Seq
     return runs.df.join(labels.select(F.col("node").alias("run"), F.col("label").alias("region")), "run").select(row, col, cls, "region")
 
 
-def spread_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """``node, label``: the least node of each connected component. Rounds are written to the shared folder."""
+def spread_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, label``: the least node of each connected component, however many rounds that takes. Rounds are written to the shared folder."""
     both = Staged(edges.select("a", "b").union(edges.select("b", "a")))
     now = Staged(nodes.select("node", F.col("node").alias("label")))
-    for _ in range(rounds):
+    while True:
         near = both.df.join(now.df, both.df.b == now.df.node).groupBy("a").agg(F.min("label").alias("near"))
         met = now.df.join(near, now.df.node == near.a, "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("best"))
         jump = now.df.select(F.col("node").alias("head"), F.col("label").alias("further"))
         new = Staged(met.join(jump, met.best == jump["head"], "left").select("node", F.least("best", F.coalesce("further", "best")).alias("label"), "old"))
-        moved = new.df.where("label < old").limit(1).count()
+        moved = not new.df.where("label < old").isEmpty()
         now.drop()
         now = new
         if not moved:
             both.drop()
             return now.df.select("node", "label")
-    raise RuntimeError("labels still change")
 
 
 def region_boxes(regions: DataFrame, cls: str, pixel_ha: float, min_pixels: int = 1, keys: Sequence[str] = CELL) -> DataFrame:
@@ -433,6 +433,13 @@ def all_finite(bands: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, (finite(F.col(b).cast("double")).isNotNull() for b in bands))
 
 
+def to_points(df: DataFrame, step: int = 1, keys: Sequence[str] = CELL, value: str | None = None) -> DataFrame:
+    """Every ``step``-th pixel of every ``step``-th row as a point; with ``value`` only where it is known."""
+    row, col = keys
+    out = df.where((F.col(row) % step == 0) & (F.col(col) % step == 0)) if step > 1 else df
+    return out.where(F.col(value).isNotNull()) if value else out
+
+
 def pixel_table(df: DataFrame, bands: Sequence[str], label: str | None = None, labelled_only: bool = False, drop_nodata: bool = True, nodata: float = -9999.0) -> DataFrame:
     """One row a pixel and a column a band, missing codes as null; optionally only complete and only labelled pixels."""
     out = df.withColumns({b: finite(F.nullif(F.col(b).cast("double"), F.lit(nodata))) for b in bands})

@@ -8,7 +8,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamgrid.functions.curves import great_circle, sphere_xyz
 from loamgrid.functions.expressions import finite
+from loamgrid.operators.meeting import meet
+from loamgrid.operators.quantiles import exact_quantiles
+from loamgrid.storage import Staged
 
 #: Fixed values of the four frequencies: season, default horizon, rolling windows, lags, steps a year, unit.
 FREQUENCIES = {
@@ -22,7 +26,9 @@ FREQUENCIES = {
 def guess_frequency(df: DataFrame, series: Sequence[str], time: str) -> DataFrame:
     """``hours`` (median positive gap within a series) and ``freq``: h, D, W or MS."""
     gap = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(Window.partitionBy(*series).orderBy(time)).cast("timestamp"))
-    hours = df.select((gap / 3.6e9).alias("gap")).where("gap > 0").agg(F.percentile("gap", F.lit(0.5)).alias("hours"))
+    gaps = df.select((gap / 3.6e9).alias("gap")).where("gap > 0")
+    median = exact_quantiles(gaps, {"gap": F.col("gap")}, (0.5,))["gap"][0]
+    hours = df.sparkSession.range(1).select(F.lit(median).cast("double").alias("hours"))
     freq = F.when(F.col("hours") <= 1.5, "h").when(F.col("hours") <= 36, "D").when(F.col("hours") <= 240, "W").otherwise("MS")
     return hours.select("hours", F.when(F.col("hours").isNotNull(), freq).alias("freq"))
 
@@ -82,19 +88,37 @@ def calendar_features(df: DataFrame, time: str, freq: str = "h") -> DataFrame:
     return df.withColumns(cols | ({"dow": F.weekday(t)} if freq in ("h", "D") else {}))
 
 
-def neighbours(places: DataFrame, key: str, lat: str, lon: str, k: int = 5, radius_km: float = 6371.0, cell_deg: float = 0.0) -> DataFrame:
-    """``key, near, km, weight``: the k nearest other series, weight 1 / (km + 0.5)^2.
+def neighbours(places: DataFrame, key: str, lat: str, lon: str, k: int = 5, radius_km: float = 6371.0) -> DataFrame:
+    """``key, near, km, weight``: the k nearest other series, weight 1 / (km + 0.5)^2; ties by key. Fewer where there are fewer series.
 
-    ``places`` has one row a series. The distances of all series to all are the problem's definition (k nearest without a bound on
-    distance); they are computed in blocks: one side is broadcast only after its rows have been counted.
+    ``places`` has one row a series. Reaches that double: places within a reach meet in cells of a cube around the sphere (full cells are cut into parts), those
+    with k partners are settled, only the rest goes on. The first reach is small against the mean spacing, so dense regions are settled early.
     """
-    a = places.select(F.col(key).alias("key"), F.radians(lat).alias("p"), F.radians(lon).alias("l")).dropna()
-    b = a.select(F.col("key").alias("near"), F.col("p").alias("q"), F.col("l").alias("m"))
-    chord = F.sqrt(2 - 2 * (F.sin("p") * F.sin("q") + F.cos("p") * F.cos("q") * F.cos(F.col("l") - F.col("m"))))
-    km = 2 * radius_km * F.asin(F.least(F.lit(1.0), F.nanvl(chord, F.lit(0.0)) / 2))
-    far = a.join(b, F.col("key") != F.col("near")).withColumn("km", km)
-    best = far.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("km", "near"))).where(F.col("rank") <= k)
-    return best.select("key", "near", "km", (1 / F.pow(F.col("km") + 0.5, 2)).alias("weight"))
+    kind = dict(places.dtypes)[key]
+    a = Staged(places.select(F.col(key).alias("key"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).dropna())
+    all_, n = a.df, a.rows
+    xyz = lambda: sphere_xyz(F.col("lat"), F.col("lon"), radius_km)
+    rest, done, reach = a, None, radius_km * math.sqrt(4 * math.pi * k / max(1, n)) / 64
+    while True:
+        cell = lambda c: F.floor(c / reach)  # noqa: B023, E731
+        near = lambda c: F.explode(F.sequence(cell(c - reach), cell(c + reach)))  # noqa: B023, E731
+        at = lambda df: df.select("*", *(c.alias(n_) for c, n_ in zip(xyz(), "xyz", strict=True)))
+        homes = at(all_).select(F.col("key").alias("near"), F.col("lat").alias("q"), F.col("lon").alias("m"), *(cell(F.col(c)).alias(i) for c, i in zip("xyz", "hij", strict=True)))
+        asks = at(rest.df).withColumn("h", near(F.col("x"))).withColumn("i", near(F.col("y"))).withColumn("j", near(F.col("z"))).select("key", "lat", "lon", "h", "i", "j")
+        km = great_circle(F.col("lat"), F.col("lon"), F.col("q"), F.col("m"), radius_km)
+        # A chord within the reach: cells hold all such pairs.
+        met = meet(homes, asks, ["h", "i", "j"]).where("key <> near").withColumn("km", km).where(2 * radius_km * F.sin(F.col("km") / (2 * radius_km)) <= reach)
+        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("km", "near"))).where(F.col("rank") <= k)
+        best = Staged(ranked.withColumn("found", F.count("*").over(Window.partitionBy("key"))).select("key", "near", "km", "found"))
+        last = reach > 2 * radius_km
+        mine = best.df if last else best.df.where(F.col("found") >= k)
+        done = mine if done is None else done.unionByName(mine)
+        if not last:
+            left = Staged(rest.df.join(mine.select("key").distinct(), "key", "left_anti"))
+            last, rest = not left.rows, left
+        if last:
+            return done.select(F.col("key").cast(kind).alias("key"), "near", "km", (1 / F.pow(F.col("km") + 0.5, 2)).alias("weight"))
+        reach *= 2
 
 
 def neighbour_average(df: DataFrame, series: str, order: str, value: str, near: DataFrame) -> DataFrame:
@@ -159,8 +183,8 @@ def uncertainty(df: DataFrame, step: str, error: str, horizon: int, level: float
     return rows.groupBy("h").agg(F.when(F.count("*") >= least, F.percentile("e", F.lit(level))).alias("half_width"))
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "full_outer") -> DataFrame:
-    """Air and weather rows of one place and time side by side."""
+def side_by_side(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "full_outer") -> DataFrame:
+    """Rows of two tables with equal keys (place and time) in one row; by default rows of either side alone as well."""
     return left.join(right, list(keys), how)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions.expressions import finite
+from loamgrid.operators.quantiles import exact_quantiles
 
 
 def confusion(df: DataFrame, mapped: str, reference: str) -> DataFrame:
@@ -60,12 +61,13 @@ def area_estimates(cm: DataFrame, strata: DataFrame, z: float = 1.96) -> DataFra
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str, features: int = 1) -> DataFrame:
-    """One row: n, r2, rmse, mae, median absolute error, bias, explained variance, pearson r, adjusted r2, mape, nrmse. One aggregation."""
+    """One row: n, r2, rmse, mae, median absolute error, bias, explained variance, pearson r, adjusted r2, mape, nrmse. One aggregation, and the median by exact_quantiles."""
     a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
     e, nz = p - a, a != 0
-    g = df.where(a.isNotNull() & p.isNotNull()).agg(F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.percentile(F.abs(e), F.lit(0.5)).alias("median_ae"), F.avg(e).alias("bias"), F.var_pop(a).alias("va"), F.var_pop(e).alias("ve"), F.corr(a, p).alias("pearson"), F.avg(nz.cast("double")).alias("nz"), F.avg(F.when(nz, F.abs(e / a))).alias("ape"), (F.max(a) - F.min(a)).alias("range"))
+    median = exact_quantiles(df, {"e": F.abs(e)}, (0.5,))["e"][0]
+    g = df.where(a.isNotNull() & p.isNotNull()).agg(F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), F.var_pop(a).alias("va"), F.var_pop(e).alias("ve"), F.corr(a, p).alias("pearson"), F.avg(nz.cast("double")).alias("nz"), F.avg(F.when(nz, F.abs(e / a))).alias("ape"), (F.max(a) - F.min(a)).alias("range"))
     r2 = 1 - F.try_divide("mse", "va")
-    return g.select("n", r2.alias("r2"), F.sqrt("mse").alias("rmse"), "mae", "median_ae", "bias", (1 - F.try_divide("ve", "va")).alias("explained_variance"), "pearson", F.when(F.col("n") > features + 1, 1 - (1 - r2) * (F.col("n") - 1) / (F.col("n") - features - 1)).alias("adjusted_r2"), F.when(F.col("nz") > 0.95, F.col("ape") * 100).alias("mape"), F.try_divide(F.sqrt("mse"), "range").alias("nrmse"))
+    return g.select("n", r2.alias("r2"), F.sqrt("mse").alias("rmse"), "mae", F.lit(median).cast("double").alias("median_ae"), "bias", (1 - F.try_divide("ve", "va")).alias("explained_variance"), "pearson", F.when(F.col("n") > features + 1, 1 - (1 - r2) * (F.col("n") - 1) / (F.col("n") - features - 1)).alias("adjusted_r2"), F.when(F.col("nz") > 0.95, F.col("ape") * 100).alias("mape"), F.try_divide(F.sqrt("mse"), "range").alias("nrmse"))
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -88,22 +90,46 @@ def area_by_class(df: DataFrame, cls: str, area: str) -> DataFrame:
 
 
 def value_statistics(df: DataFrame, value: str) -> DataFrame:
-    """count, min, max, mean, population std and the 2, 25, 50, 75 and 98 % quantiles."""
+    """count, min, max, mean, population std and the exact 2, 25, 50, 75 and 98 % quantiles (found before the result is built)."""
     v = finite(F.col(value).cast("double"))
-    g = df.agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.percentile(v, F.array(*(F.lit(q) for q in (0.02, 0.25, 0.5, 0.75, 0.98)))).alias("q"))
-    return g.select("n", "min", "max", "mean", "std", *(F.col("q")[i].alias(n) for i, n in enumerate(("p2", "p25", "median", "p75", "p98"))))
+    q = exact_quantiles(df, {"v": F.col(value)}, (0.02, 0.25, 0.5, 0.75, 0.98))["v"]
+    g = df.agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    return g.select("*", *(F.lit(x).cast("double").alias(n) for n, x in zip(("p2", "p25", "median", "p75", "p98"), q, strict=True)))
 
 
-def class_breaks(df: DataFrame, value: str, method: str, classes: int) -> list[float]:
-    """Class borders: ``equal`` between the 2 and 98 % quantiles, or ``quantile`` (repeats dropped). A handful of numbers on the driver."""
-    v = finite(F.col(value).cast("double"))
+def label_distribution(df: DataFrame, label: str) -> DataFrame:
+    """``label, n, percent`` of each value, null included; the total comes from one row a class."""
+    g = df.groupBy(label).agg(F.count("*").alias("n"))
+    return g.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def class_breaks(df: DataFrame, value: str, method: str, classes: int, bins: int = 1000) -> list[float]:
+    """Class borders, a handful of numbers on the driver: ``equal`` between the 2 and 98 % quantiles, ``quantile`` (repeats dropped), or ``natural`` (Fisher-Jenks).
+
+    Natural borders come from the value counts where there are at most ``bins`` distinct values, else from the counts and
+    means of ``bins`` equal stretches of the range.
+    """
+    if method == "natural":
+        return natural_breaks(*value_bins(df, value, bins), classes)
     qs = [0.02, 0.98] if method == "equal" else [i / classes for i in range(classes + 1)]
-    got = df.agg(F.percentile(v, F.array(*(F.lit(q) for q in qs)))).first()[0]
-    if got is None:
+    got = exact_quantiles(df, {"v": F.col(value)}, qs)["v"]
+    if got[0] is None:
         return []
     return np.linspace(got[0], got[1], classes + 1).tolist() if method == "equal" else sorted(set(got))
 
 
+def value_bins(df: DataFrame, value: str, bins: int = 1000) -> tuple[list[float], list[int]]:
+    """Values and counts: the distinct values if at most ``bins``, else the mean and count of each of ``bins`` equal stretches of the range. Combined map-side."""
+    x = df.select(finite(F.col(value).cast("double")).alias("x")).where("x is not null")
+    few = x.groupBy("x").agg(F.count("*").alias("n")).limit(bins + 1).collect()
+    if len(few) > bins:
+        a, b = x.agg(F.min("x"), F.max("x")).first()
+        at = F.least(F.lit(bins - 1), F.floor((F.col("x") - a) / (b - a) * bins))
+        few = x.groupBy(at.alias("bin")).agg(F.avg("x").alias("x"), F.count("*").alias("n")).collect()
+    few.sort(key=lambda r: r.x)
+    return [r.x for r in few], [r.n for r in few]
+
+
 def classify(value, breaks: Sequence[float]):
     """The class 1.. of a value; values beyond the borders belong to the end classes."""
     out = F.when(value.isNull(), F.lit(None).cast("int"))
@@ -112,9 +138,10 @@ def classify(value, breaks: Sequence[float]):
     return out.otherwise(max(1, len(breaks) - 1))
 
 
-def natural_breaks(values: Sequence[float], classes: int) -> list[float]:
-    """Fisher-Jenks borders (least squared deviation within classes) by dynamic programming over distinct values with prefix sums."""
-    x, n = np.unique(np.asarray(values, float), return_counts=True)
+def natural_breaks(values: Sequence[float], counts: Sequence[int], classes: int) -> list[float]:
+    """Fisher-Jenks borders (least squared deviation within classes) of distinct values with counts, by dynamic programming with prefix sums."""
+    order = np.argsort(np.asarray(values, float), kind="stable")
+    x, n = np.asarray(values, float)[order], np.asarray(counts, float)[order]
     k = min(classes, len(x))
     if not k:
         return []
@@ -138,13 +165,17 @@ def natural_breaks(values: Sequence[float], classes: int) -> list[float]:
 def probability_metrics(df: DataFrame, truth: str, score: str, positive, bins: int = 10) -> DataFrame:
     """One row: n, ROC AUC (ranks with ties averaged), log loss and expected calibration error of a score in [0, 1].
 
-    Scores are counted before they are ordered, so the window sees each distinct score once.
+    Scores are counted before they are ordered, and ordered in 1024 stretches, so no window sees more than the distinct scores of one.
     """
     p, y = F.col(score).cast("double"), (F.col(truth) == F.lit(positive)).cast("double")
     rows = df.where(p.isNotNull() & F.col(truth).isNotNull()).select(p.alias("p"), y.alias("y"))
     by = rows.groupBy("p").agg(F.sum("y").alias("pos"), F.count("*").cast("double").alias("n"))
-    below = F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy().orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
-    auc = by.withColumn("below", F.coalesce(below, F.lit(0.0))).agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + (F.col("n") - F.col("pos")) / 2)), F.sum("pos") * F.sum(F.col("n") - F.col("pos"))).alias("auc"))
+    # Ordered in stretches of the score: what lies below a stretch comes from at most 1025 sums.
+    by = by.withColumn("stretch", F.floor(F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)) * 1024).cast("int"))
+    before = lambda w: F.coalesce(F.sum(F.col("n") - F.col("pos")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = by.groupBy("stretch").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).select("stretch", before(Window.orderBy("stretch")).alias("before"))
+    by = by.join(F.broadcast(sums), "stretch").withColumn("below", F.col("before") + before(Window.partitionBy("stretch").orderBy("p")))
+    auc = by.agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + (F.col("n") - F.col("pos")) / 2)), F.sum("pos") * F.sum(F.col("n") - F.col("pos"))).alias("auc"))
     q = F.least(F.greatest(F.col("p"), F.lit(1e-15)), F.lit(1 - 1e-15))
     loss = rows.agg(F.count("*").alias("n"), F.avg(-(F.col("y") * F.log(q) + (1 - F.col("y")) * F.log(1 - q))).alias("log_loss"))
     cal = rows.groupBy(F.least(F.lit(bins - 1), F.floor(F.col("p") * bins)).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg("y").alias("y")).agg((F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))) / F.sum("n")).alias("ece"))
@@ -153,8 +184,11 @@ def probability_metrics(df: DataFrame, truth: str, score: str, positive, bins: i
 
 def correlated_columns(df: DataFrame, columns: Sequence[str], threshold: float) -> list[str]:
     """Columns to drop: constant ones, then each later column of a pair with |r| at least the threshold. One pass over the data."""
-    aggs = [F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)] + [F.corr(a, b).alias(f"r{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
-    r = df.agg(*aggs).first()
+    pairs = [(i, j) for j in range(len(columns)) for i in range(j)]
+    both = lambda i, j, x: F.when(F.col(columns[i]).isNotNull() & F.col(columns[j]).isNotNull(), F.col(x))
+    # A constant column has no correlation: its deviation is 0.
+    corr = lambda i, j: F.try_divide(F.covar_pop(columns[i], columns[j]), F.stddev_pop(both(i, j, columns[i])) * F.stddev_pop(both(i, j, columns[j])))
+    r = df.agg(*(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)), *(corr(i, j).alias(f"r{i}_{j}") for i, j in pairs)).first()
     gone = [i for i in range(len(columns)) if not r[f"s{i}"]]
     for j in range(len(columns)):
         if j not in gone and any(i not in gone and abs(r[f"r{i}_{j}"] or 0) >= threshold for i in range(j)):

@@ -6,10 +6,11 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.functions.expressions import cast_column, finite, kind_of, number_text
+from loamgrid.operators.quantiles import exact_quantiles
 
 _FILTER = re.compile(r"^\s*(.+?)\s*(==|!=|>=|<=|=|>|<)\s*(.*?)\s*$")
 
@@ -79,32 +80,34 @@ def page(df: DataFrame, offset: int = 0, limit: int = 100, query: str = "", sort
 def profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """One row a column: kind, rows, missing, distinct, and for numbers min, max, mean, population std and quartiles.
 
-    Missing is null or not finite. Plain aggregates come from one pass. Distinct counts and quartiles come from value counts, combined
-    map-side (one row a distinct value); ``approximate`` takes sketches in the first pass instead, for columns of mostly different values.
+    Missing is null or not finite. Plain aggregates come from one pass, quartiles from ``exact_quantiles`` (run before the result is built), distinct counts
+    from value counts combined map-side; ``approximate`` takes sketches in the first pass instead of both.
     """
     kinds = _kinds(df)
     columns = list(columns or df.columns)
-    thirds = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    thirds = (0.25, 0.5, 0.75)
+    numbers = [c for c in columns if kinds[c] in ("integer", "number")]
+    exact = {} if approximate or not numbers else exact_quantiles(df, {c: _q(c) for c in numbers}, thirds)
     parts = []
     for c in columns:
-        number = kinds[c] in ("integer", "number")
+        number = c in numbers
         x = finite(_q(c).cast("double")) if number else _q(c)
         none = F.lit(None).cast("double")
         stats = [f(x).cast("double") if number else none for f in (F.min, F.max, F.avg, F.stddev_pop)]
-        sketch = [F.approx_count_distinct(_q(c)), F.percentile_approx(x, thirds) if number else F.lit(None).cast("array<double>")] if approximate else [F.lit(None).cast("long"), F.lit(None).cast("array<double>")]
-        parts.append(F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("kind"), F.count("*").alias("n"), (F.count("*") - F.count(x)).alias("missing"), *(v.alias(n) for n, v in zip(("min", "max", "mean", "std"), stats, strict=True)), sketch[0].alias("d"), sketch[1].alias("q")))
+        distinct = F.approx_count_distinct(_q(c)) if approximate else F.lit(None).cast("long")
+        q = F.percentile_approx(x, list(thirds)) if number and approximate else F.array(*(F.lit(v).cast("double") for v in exact.get(c, (None,) * 3)))
+        parts.append(F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("kind"), F.count("*").alias("n"), (F.count("*") - F.count(x)).alias("missing"), *(v.alias(n) for n, v in zip(("min", "max", "mean", "std"), stats, strict=True)), distinct.alias("d"), q.alias("q")))
     out = df.agg(F.array(*parts).alias("all")).select(F.explode("all").alias("r")).select("r.*")
     if not approximate:
         by = None
-        for kind, names in (("double", [c for c in columns if kinds[c] in ("integer", "number")]), ("string", [c for c in columns if kinds[c] not in ("integer", "number")])):
+        for kind, names in (("double", numbers), ("string", [c for c in columns if c not in numbers])):
             if not names:
                 continue
             each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), _q(c).cast(kind).alias("value")) for c in names)))
-            counts = df.select(each.alias("e")).groupBy("e.column", "e.value").agg(F.count("*").alias("k")).where("value is not null")
-            q = F.percentile(finite(F.col("value")), thirds, F.col("k")) if kind == "double" else F.lit(None).cast("array<double>")
-            part = counts.groupBy(F.col("column").alias("__c")).agg(F.count("*").alias("__d"), q.alias("__q"))
+            values = df.select(each.alias("e")).where("e.value is not null").groupBy("e.column", "e.value").agg(F.lit(1).alias("one"))
+            part = values.groupBy(F.col("column").alias("__c")).agg(F.count("*").alias("__d"))
             by = part if by is None else by.unionByName(part)
-        out = out.join(by, F.col("column") == F.col("__c"), "left").withColumns({"d": F.coalesce("__d", F.lit(0)), "q": F.col("__q")})
+        out = out.join(F.broadcast(by), F.col("column") == F.col("__c"), "left").withColumn("d", F.coalesce("__d", F.lit(0)))  # one row a column
     return out.select("column", "kind", "n", "missing", F.col("d").alias("distinct_values"), "min", "max", "mean", "std", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
 
 
@@ -130,8 +133,8 @@ def categories(df: DataFrame, column: str, k: int = 19) -> DataFrame:
     """Value counts for a legend: the top k, the rest as ``other``; null and empty as ``(empty)``."""
     value = F.coalesce(F.nullif(_q(column).cast("string"), F.lit("")), F.lit("(empty)"))
     counts = df.groupBy(value.alias("value")).agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "value"))  # one row a value, after aggregation
-    return counts.withColumn("rank", rank).groupBy(F.when(F.col("rank") <= k, F.col("value")).otherwise("other").alias("value")).agg(F.sum("n").alias("n"))
+    top = F.broadcast(counts.orderBy(F.desc("n"), "value").limit(k).select("value", F.lit(True).alias("top")))
+    return counts.join(top, "value", "left").groupBy(F.when(F.col("top"), F.col("value")).otherwise("other").alias("value")).agg(F.sum("n").alias("n"))
 
 
 def cast_report(df: DataFrame, column: str, kind: str) -> DataFrame:
@@ -235,3 +238,74 @@ def stratified(df: DataFrame, column: str, per_class: int, key: str, seed: int =
     counts = df.groupBy(_q(column).alias("__class")).agg(F.count("*").alias("__n"))
     u = F.shiftrightunsigned(F.xxhash64(_q(key), F.lit(seed)), 11).cast("double") / float(1 << 53)
     return df.join(counts, _q(column).eqNullSafe(F.col("__class"))).where(u * F.col("__n") < per_class).drop("__class", "__n")
+
+
+def page_view(df: DataFrame, offset: int = 0, limit: int = 100, query: str = "", sort: str | None = None, descending: bool = False, ties: Sequence[str] = ()) -> DataFrame:
+    """A page with the number of all rows (``total``) and of those that the filter leaves (``filtered``) in each of its rows."""
+    counts = df.agg(F.count("*").alias("total")).join(F.broadcast(filter_rows(df, query).agg(F.count("*").alias("filtered"))))  # one row
+    return page(df, offset, limit, query, sort, descending, ties).join(F.broadcast(counts))
+
+
+def preview(df: DataFrame, expression: str, name: str = "value", n: int = 8, ties: Sequence[str] = ()) -> DataFrame:
+    """The first rows with what an expression would give: only n rows are calculated."""
+    from loamgrid.functions.expressions import FieldDialect
+
+    rows = df.orderBy(*ties).limit(n) if ties else df.limit(n)
+    return rows.withColumn(name, FieldDialect(df.schema).compile(expression).col)
+
+
+def natural_key(c: Column) -> Column:
+    """A sort key under which digits in a text order as numbers, without case: item 9 before item 10."""
+    parts = F.regexp_extract_all(F.lower(c.cast("string")), F.lit(r"(\d+|\D+)"), 1)
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+
+def natural_sort(df: DataFrame, column: str, descending: bool = False, ties: Sequence[str] = ()) -> DataFrame:
+    """Numbers as numbers, other columns by ``natural_key``; null and empty last in both directions."""
+    number = _kinds(df)[column] in ("integer", "number")
+    key = finite(_q(column).cast("double")) if number else natural_key(F.nullif(_q(column).cast("string"), F.lit("")))
+    return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), *ties)
+
+
+def attribute_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, n, missing, min, max, mean, median`` of number columns of an attribute table; the median is the value at rank n // 2 (from 0), never between two."""
+    medians = exact_quantiles(df, {c: _q(c) for c in columns}, (lambda n: n // 2,))
+    x = lambda c: finite(_q(c).cast("double"))
+    parts = [F.struct(F.lit(c).alias("column"), F.count(x(c)).alias("n"), (F.count("*") - F.count(x(c))).alias("missing"), F.min(x(c)).alias("min"), F.max(x(c)).alias("max"), F.avg(x(c)).alias("mean"), F.lit(medians[c][0]).cast("double").alias("median")) for c in columns]
+    return df.agg(F.array(*parts).alias("all")).select(F.explode("all").alias("r")).select("r.*")
+
+
+def loose_filter(df: DataFrame, query: str) -> DataFrame:
+    """``column op value`` on attributes: numbers and number-like texts compare as numbers whatever the column's type, others as text; null never matches."""
+    m = _FILTER.match(query)
+    name = m and next((c for c in df.columns if c == m[1].strip("[]\"'`")), None)
+    if not name:
+        return search_rows(df, query)
+    op, value = m[2], m[3].strip("'\"")
+    left, right = _q(name).cast("string"), F.lit(value)
+    both = left.try_cast("double"), right.try_cast("double")
+    compare = lambda a, b: {"=": a == b, "==": a == b, "!=": a != b, ">": a > b, "<": a < b, ">=": a >= b, "<=": a <= b}[op]
+    return df.where(F.when(both[0].isNotNull() & both[1].isNotNull(), compare(*both)).otherwise(compare(left, right)))
+
+
+def describe_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``column, kind, rows, missing, distinct_values, integral, role`` for choosing features: one pass, distinct values from a sketch.
+
+    Role: ``target`` for text or whole numbers of 2 to 100 values, ``id`` for columns of (nearly) as many values as rows, ``constant`` below two values, else ``feature``.
+    """
+    kinds, parts = _kinds(df), []
+    for c in columns or df.columns:
+        number = kinds[c] in ("integer", "number")
+        x = finite(_q(c).cast("double")) if number else _q(c).cast("string")
+        whole = F.bool_and(x == F.floor(x)) if number else F.lit(None).cast("boolean")
+        parts.append(F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("kind"), F.count("*").alias("rows"), (F.count("*") - F.count(x)).alias("missing"), F.approx_count_distinct(x).alias("distinct_values"), whole.alias("integral")))
+    out = df.agg(F.array(*parts).alias("all")).select(F.explode("all").alias("r")).select("r.*")
+    known, d = F.col("rows") - F.col("missing"), F.col("distinct_values")
+    few = (d <= 100) & ((F.col("kind") == "text") | F.coalesce("integral", F.lit(False)))
+    return out.withColumn("role", F.when(d < 2, "constant").when(few, "target").when((d >= 0.95 * known) & (F.coalesce("integral", F.lit(True))), "id").otherwise("feature"))
+
+
+def count_by(df: DataFrame, by: Sequence[str], least: Column | None = None) -> DataFrame:
+    """Rows of each combination of values, the most frequent first: detections by class, diagnoses by crop and status, entries by section."""
+    rows = df if least is None else df.where(least)
+    return rows.groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *by)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import math
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from loamgrid.functions import geometry as G
 from loamgrid.functions.curves import great_circle
+from loamgrid.operators.meeting import meet
 
 
 def _text(c: str) -> Column:
@@ -171,23 +173,39 @@ def fishnet(spark, x0: float, y0: float, x1: float, y1: float, cell: float) -> D
     return grid.select("row", "col", (x0 + F.col("col") * cell).alias("x0"), (y1 - (F.col("row") + 1) * cell).alias("y0"), (x0 + (F.col("col") + 1) * cell).alias("x1"), (y1 - F.col("row") * cell).alias("y1"))
 
 
-def box_cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column:
+def box_cells(x0: Column, y0: Column, x1: Column, y1: Column, size: Column | float) -> Column:
     """All grid cells (struct i, j) that a box touches."""
     span = lambda a, b: F.sequence(F.floor(a / size), F.floor(b / size))
     return F.flatten(F.transform(span(x0, x1), lambda i: F.transform(span(y0, y1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
 
 
 def box_pairs(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
-    """Pairs of rows whose boxes overlap: ``a`` and ``b`` need a_x0 .. a_y1 and b_x0 .. b_y1. Each pair once.
+    """Pairs of rows whose boxes overlap: ``a`` and ``b`` need a_x0 .. a_y1 and b_x0 .. b_y1. Each pair once; a box with a null border meets none.
 
-    Boxes go to the grid cells they touch, equal cells join (sorted, skew split by AQE), and a pair is kept in the cell that
-    holds the lower corner of its common box.
+    Grids of cells of 1, 2, 4 ... times ``size``: a box belongs to the finest grid whose cells are at least as large as it, and goes to the (at most
+    four) cells it touches there and in each coarser grid that has boxes. A pair meets in the coarser grid of the two, in the cell that
+    holds the lower corner of its common box. Full cells are cut into parts (``meet``). The grids in use, at most about 60 numbers, are found before the join.
     """
-    left = a.withColumn("__c", F.explode(box_cells(F.col("a_x0"), F.col("a_y0"), F.col("a_x1"), F.col("a_y1"), size)))
-    right = b.withColumn("__c", F.explode(box_cells(F.col("b_x0"), F.col("b_y0"), F.col("b_x1"), F.col("b_y1"), size)))
-    met = left.join(right, "__c").where((F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1")))
-    own = (F.col("__c.i") == F.floor(F.greatest("a_x0", "b_x0") / size)) & (F.col("__c.j") == F.floor(F.greatest("a_y0", "b_y0") / size))
-    return met.where(own).drop("__c")
+
+    def level(s: str) -> Column:
+        side = F.greatest(F.col(f"{s}_x1") - F.col(f"{s}_x0"), F.col(f"{s}_y1") - F.col(f"{s}_y0"))
+        return F.when(side > size, F.ceil(F.log2(side / size)).cast("int")).otherwise(0)
+
+    known = lambda df, s: df.dropna(subset=[f"{s}_{k}" for k in ("x0", "y0", "x1", "y1")]).withColumn(f"__l{s}", level(s))
+    a, b = known(a, "a"), known(b, "b")
+    levels = sorted({r[0] for r in a.select("__la").distinct().union(b.select("__lb").distinct()).collect()})
+    grids = F.array(*(F.lit(n) for n in levels)) if levels else F.array().cast("array<int>")
+
+    def put(df: DataFrame, s: str) -> DataFrame:
+        each = df.withColumn("__g", F.explode(F.filter(grids, lambda n: n >= F.col(f"__l{s}"))))
+        cells = box_cells(F.col(f"{s}_x0"), F.col(f"{s}_y0"), F.col(f"{s}_x1"), F.col(f"{s}_y1"), size * F.pow(F.lit(2.0), F.col("__g")))
+        return each.withColumn("__c", F.explode(cells)).withColumns({"__i": F.col("__c.i"), "__j": F.col("__c.j")}).drop("__c")
+
+    met = meet(put(a, "a"), put(b, "b"), ["__g", "__i", "__j"])
+    met = met.where((F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1")))
+    cell = size * F.pow(F.lit(2.0), F.col("__g"))
+    own = (F.col("__g") == F.greatest("__la", "__lb")) & (F.col("__i") == F.floor(F.greatest("a_x0", "b_x0") / cell)) & (F.col("__j") == F.floor(F.greatest("a_y0", "b_y0") / cell))
+    return met.where(own).drop("__g", "__i", "__j", "__la", "__lb")
 
 
 def _boxed(df: DataFrame, side: str, shape: str) -> DataFrame:
@@ -280,23 +298,29 @@ def random_points(df: DataFrame, key: str, n: int, shape: str = "shape", seed: i
     """``key, point, x, y``: n points in each polygon, by rejection (at most ``tries`` a point); seeded by key, so a retry gives the same."""
     import numpy as np
 
+    from loamgrid.operators.nearby import polygon_edges
+
+    def inside(edges: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x1, y1, x2, y2 = (c[:, None] for c in edges.T)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            hit = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+        return hit.sum(0) % 2 == 1
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for k, s in zip(pdf[key], pdf[shape], strict=True):
-                parts = _shape(s)
-                rng = np.random.default_rng([seed, abs(hash(str(k))) % 2**32 if not isinstance(k, (int, np.integer)) else int(k)])
-                pts = np.array([p for part in parts for ring in part for p in ring])
-                if not len(pts):
+                edges = polygon_edges([ring for part in _shape(s) for ring in part if ring])
+                if not len(edges):
                     continue
-                lo, hi, got = pts.min(0), pts.max(0), 0
-                for _ in range(n * tries):
-                    x, y = rng.uniform(lo, hi)
-                    if sum(G._within(ring, (x, y)) for part in parts for ring in part) % 2:
-                        got += 1
-                        rows.append((k, got, float(x), float(y)))
-                        if got == n:
-                            break
+                rng = np.random.default_rng([seed, zlib.crc32(str(k).encode())])
+                lo, hi, got, left = edges[:, :2].min(0), edges[:, :2].max(0), 0, n * tries
+                while got < n and left > 0:
+                    q = rng.uniform(lo, hi, (min(left, 2 * (n - got) + 8), 2))
+                    left -= len(q)
+                    q = q[inside(edges, q[:, 0], q[:, 1])][: n - got]
+                    rows += [(k, got + i + 1, float(x), float(y)) for i, (x, y) in enumerate(q)]
+                    got += len(q)
             yield pd.DataFrame(rows, columns=[key, "point", "x", "y"])
 
     kind = dict(df.dtypes)[key]

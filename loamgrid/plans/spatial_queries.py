@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -79,7 +77,7 @@ def within_distance(spark, d):
 
 @query(f"with {_C}, {_S}, f as (select c.k as a_key, s.k as b_key, sqrt(power(c.x - s.x, 2) + power(c.y - s.y, 2)) as d from c, s) select a_key, b_key, round(d, 2) as join_dist_m from f qualify row_number() over (partition by a_key order by d, b_key) = 1")
 def nearest_join(spark, d):
-    return J.nearest(_customers(spark, d), _suppliers(spark, d), "x", "y", "k", "k", 20.0)
+    return J.nearest(_customers(spark, d), _suppliers(spark, d), "x", "y", "k", "k")
 
 
 def _in_boxes(spark, d):
@@ -108,15 +106,17 @@ def select_loc_anti(spark, d):
     return J.select_by_location(c, pairs, "k", disjoint=True).select("k")
 
 
+#: Unit cells of the boxes, whose corners are whole numbers: areas of any combination by counting.
+_CELLS = "cells as (select k, cls, x, unnest(range(y0::int, y1::int)) as y from (select k, cls, y0, y1, unnest(range(x0::int, x1::int)) as x from b)), ca as (select * from cells where k % 2 = 0), cb as (select * from cells where k % 2 = 1)"
 _PAIRS = "p as (select a.k as ak, b.k as bk, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) as o, (a.x1 - a.x0) * (a.y1 - a.y0) as sa, (b.x1 - b.x0) * (b.y1 - b.y0) as sb, a.cls as ac, b.cls as bc from b a join b on a.k < b.k and a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1)"
 
 
 @query(f"with {_B}, {_PAIRS}, q as (select ak, bk, o from p union all select bk, ak, o from p) select ak as a_k, bk as b_k, round(o, 4) as overlap from q qualify row_number() over (partition by ak order by o desc, bk) = 1")
 def largest_overlap(spark, d):
     b = _boxes(spark, d)
-    pairs = V.box_pairs(J.boxes_of(b, "a", "x0", "y0", "x1", "y1"), J.boxes_of(b, "b", "x0", "y0", "x1", "y1"), 64.0).where("a_k <> b_k").withColumn("overlap", J.common_area())
-    best = pairs.groupBy("a_k").agg(F.max_by(F.struct("b_k", "overlap"), F.struct(F.col("overlap"), -F.col("b_k"))).alias("m"))
-    return best.select("a_k", F.col("m.b_k").alias("b_k"), F.round("m.overlap", 4).alias("overlap"))
+    boxed = lambda s: J.boxes_of(b, s, "x0", "y0", "x1", "y1")
+    best = J.largest_overlap(boxed("a"), boxed("b"), "k", "k", 64.0, others=True)
+    return best.select("a_k", "b_k", F.round("overlap", 4).alias("overlap"))
 
 
 @query(f"with {_B}, {_PAIRS} select ak as a_k, bk as b_k, round(o / (sa + sb - o), 6) as iou from p where ac = bc and o > 0")
@@ -124,7 +124,10 @@ def iou_pairs(spark, d):
     return D.iou_pairs(_boxes(spark, d), "k", "cls", 64.0).select("a_k", "b_k", F.round("iou", 6).alias("iou"))
 
 
-@query()
+@query(f"""with recursive {_B}, {_PAIRS}, over as (select ak, bk from p where ac = bc and o / (sa + sb - o) > 0.1), both_ways as (select ak as k, bk as other from over union all select bk, ak from over),
+nb as (select b.k, b.cls, row_number() over (partition by b.cls order by b.score desc, b.k) as i, coalesce(list(other) filter (other is not null), []) as others from b left join both_ways on both_ways.k = b.k group by b.k, b.cls, b.score),
+walk(cls, i, kept) as (select distinct cls, 0::bigint, []::bigint[] from nb union all select w.cls, w.i + 1, case when len(list_intersect(w.kept, n.others)) = 0 then list_append(w.kept, n.k) else w.kept end from walk w join nb n on n.cls = w.cls and n.i = w.i + 1)
+select unnest(kept) as k, cls from walk qualify row_number() over (partition by cls order by i desc) = 1""")
 def nms_greedy(spark, d):
     return D.suppress(_boxes(spark, d), "k", "cls", "score", 64.0, 0.1).select("k", "cls")
 
@@ -158,14 +161,16 @@ def overlay_areas(spark, d):
     return area.join(F.broadcast(common))
 
 
-@query()
+@query(f"""with {_B}, {_CELLS}, one as (select k, null::bigint as b_k, count(*)::double as area from ca where (x, y) not in (select (x, y) from cb) group by k),
+two as (select null::bigint as k, k as b_k, count(*)::double as area from cb where (x, y) not in (select (x, y) from ca) group by 2),
+both_ as (select ca.k, cb.k as b_k, count(*)::double as area from ca join cb using (x, y) group by all) select * from one union all select * from two union all select * from both_""")
 def overlay_union(spark, d):
     s = _shapes(_boxes(spark, d).select("k", "x0", "y0", "x1", "y1"))
     u = V.overlay(s.where("k % 2 = 0"), s.where("k % 2 = 1"), "union", "k", 64.0)
     return u.select("k", "b_k", F.round(G.shape_area(F.col("shape")), 3).alias("area"))
 
 
-@query()
+@query(f"with {_B}, {_CELLS}, u as (select cls, count(*)::double as area from (select distinct cls, x, y from cells) group by 1) select cls::varchar as value, count(*) as features, any_value(area) as area from b join u using (cls) group by 1")
 def dissolve_boxes(spark, d):
     s = _shapes(_boxes(spark, d).select("k", "cls", "x0", "y0", "x1", "y1"))
     return V.dissolve(s, "cls", key="k").select("value", "features", F.round(G.shape_area(F.col("shape")), 3).alias("area"))
@@ -204,7 +209,7 @@ def points_to_lines(spark, d):
     return V.points_to_lines(_customers(spark, d).withColumn("g", F.col("k") % 50), "g", "v", "x", "y", "k").select("g", F.col("points").cast("long").alias("points"))
 
 
-@query()
+@query(f"with {_B} select k, round((x1 - x0) * (y1 - y0) + 2 * 2 * (x1 - x0 + y1 - y0) + 32 * sin(2 * pi() / 64) * 4, 3) as area, 2.0::double as buffer_m from b")
 def buffers(spark, d):
     s = _shapes(_boxes(spark, d).select("k", "x0", "y0", "x1", "y1"))
     return V.buffer(s, 2.0).select("k", F.round(G.shape_area(F.col("shape")), 3).alias("area"), "buffer_m")
@@ -222,7 +227,10 @@ def fishnet(spark, d):
     return f.agg(F.count("*").alias("cells"), F.round(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))), 3).alias("area"))
 
 
-@query()
+@query("""with r as (select region_id, geojson::json as g from regions), p as (select region_id, case when g->>'type' = 'Polygon' then [from_json(g->'coordinates', '[[["DOUBLE"]]]')] when g->>'type' = 'MultiPolygon' then from_json(g->'coordinates', '[[[["DOUBLE"]]]]') end as parts from r),
+pt as (select region_id, unnest(flatten(flatten(parts))) as q from p), box as (select region_id, min(q[1]) as x0, min(q[2]) as y0, max(q[1]) as x1, max(q[2]) as y1 from pt group by 1),
+e as (select region_id, parts[1][1] as ring, unnest(range(1, len(parts[1][1]))) as i from p), a as (select region_id, abs(sum(radians(ring[i + 1][1] - ring[i][1]) * (2 + sin(radians(ring[i][2])) + sin(radians(ring[i + 1][2]))))) * power(6371008.8, 2) / 2 as m2 from e group by 1)
+select region_id, 'polygon' as kind, len(parts) as parts, round(m2 / 1e6, 1) as km2, x0, y0, x1, y1 from p join box using (region_id) join a using (region_id)""")
 def region_measures(spark, d):
     """GeoJSON layer: parts, spherical area of the first ring, box."""
     r = parse_geojson(read(spark, d, "regions"), "geojson")
@@ -230,7 +238,10 @@ def region_measures(spark, d):
     return r.select("region_id", "kind", F.size("shape").alias("parts"), F.round(G.sphere_area(F.col("shape")[0][0]) / 1e6, 1).alias("km2"), b["x0"].alias("x0"), b["y0"].alias("y0"), b["x1"].alias("x1"), b["y1"].alias("y1"))
 
 
-@query()
+@query("""with p as (select station, lon, lat, 32600 + (lat < 0)::int * 100 + least(60, greatest(1, floor((lon + 180) / 6)::int + 1)) as zone, radians(lat) as p, radians(lon - (least(60, greatest(1, floor((lon + 180) / 6)::int + 1)) * 6 - 183)) as l, 1 / 298.257223563::double / (2 - 1 / 298.257223563::double) as n from stations where abs(lat) < 84),
+t as (select *, 2 * sqrt(n) / (1 + n) as e from p), u as (select *, sinh(atanh(sin(p)) - e * atanh(e * sin(p))) as t from t), v as (select *, atan2(t, cos(l)) as xi, atanh(sin(l) / sqrt(1 + t * t)) as eta, [n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440, 61 * n ** 3 / 240 - 103 * n ** 4 / 140, 49561 * n ** 4 / 161280] as a from u),
+w as (select *, 0.9996 * 6378137 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) as r, eta + a[1] * cos(2 * xi) * sinh(2 * eta) + a[2] * cos(4 * xi) * sinh(4 * eta) + a[3] * cos(6 * xi) * sinh(6 * eta) + a[4] * cos(8 * xi) * sinh(8 * eta) as ex, xi + a[1] * sin(2 * xi) * cosh(2 * eta) + a[2] * sin(4 * xi) * cosh(4 * eta) + a[3] * sin(6 * xi) * cosh(6 * eta) + a[4] * sin(8 * xi) * cosh(8 * eta) as ny from v)
+select station, zone, round(500000 + r * ex, 3) as x, round(case when lat < 0 then 10000000 else 0 end + r * ny, 3) as y, true as exact from w""")
 def utm_roundtrip(spark, d):
     """Stations to UTM and back: the largest error in degrees is below 1e-8."""
     s = read(spark, d, "stations").where("abs(lat) < 84")
@@ -354,7 +365,8 @@ def focal_sobel(spark, d):
     return R.sobel(_grid(spark, d), "z").withColumn("sobel", F.round("sobel", 6))
 
 
-@query()
+@query(f"""with {_G}, w as (select i, exp(-0.5 * i * i) as w from range(-4, 5) t(i)), n as (select a."row", a.col, b.z, x.w * y.w as w from g a join g b on abs(a."row" - b."row") <= 4 and abs(a.col - b.col) <= 4 join w x on x.i = b."row" - a."row" join w y on y.i = b.col - a.col)
+select "row", col, round(sum(z * w) / sum(w), 6) as smooth from n group by all""")
 def focal_gaussian(spark, d):
     return R.kernel_filter(_grid(spark, d), "z", R.gaussian_kernel(1.0), name="smooth", normalise=True).withColumn("smooth", F.round("smooth", 6))
 
@@ -369,7 +381,9 @@ def resample_mode(spark, d):
     return R.coarsen(_grid(spark, d), 5, ["cls"], "mode").select("row", "col", "cls")
 
 
-@query()
+@query(f"""with {_G}, o as (select o, abs((o + 0.5) / 2 - 0.5) as t from range(-4, 8) r(o)), k as (select o, case when t <= 1 then 1.5 * t * t * t - 2.5 * t * t + 1 when t < 2 then -0.5 * t * t * t + 2.5 * t * t - 4 * t + 2 else 0 end as w from o),
+s as (select g."row" * 2 + a.o as "row", g.col * 2 + b.o as col, z, a.w * b.w as w from g, k a, k b), e as (select max("row") * 2 + 1 as r1, max(col) * 2 + 1 as c1 from g)
+select "row", col, round(sum(z * w) / sum(w), 6) as z from s, e where "row" between 0 and r1 and col between 0 and c1 group by all""")
 def resample_cubic(spark, d):
     return R.refine(_grid(spark, d).select("row", "col", "z"), 2, ["z"], "cubic").withColumn("z", F.round("z", 6))
 
@@ -397,7 +411,9 @@ def tile_stats(spark, d):
     return p.select("prow", "pcol", "pixels", F.round("valid_fraction", 6).alias("valid_fraction"), "dominant")
 
 
-@query()
+@query(f"""with recursive {_G}, t as (select "row", col, cls % 3 as c, "row" * 2147483648 + col as id from g), e as (select a.id as a, b.id as b from t a join t b on a.c = b.c and abs(a."row" - b."row") + abs(a.col - b.col) = 1),
+reach(a, b) as (select id, id from t union select r.a, e.b from reach r join e on r.b = e.a), l as (select a as id, min(b) as region from reach group by 1)
+select region, c, count(*) as pixels, min("row") as row0, max("row") as row1, min(col) as col0, max(col) as col1, count(*) * 0.01::double as hectares from t join l using (id) group by region, c having count(*) >= 2""")
 def raster_regions(spark, d):
     g = _grid(spark, d).withColumn("c", F.col("cls") % 3)
     return R.region_boxes(R.connected_regions(g, "c"), "c", 0.01, 2)
@@ -408,7 +424,13 @@ def raster_boundaries(spark, d):
     return R.boundary_edges(_grid(spark, d).withColumn("c", F.col("cls") % 3), "c").select("row", "col", "c", "other", "side")
 
 
-@query()
+@query(f"""with {_G}, s as (select a."row" as r, a.col as c, a.z as z0, b.z as z1, x.z as z2, y.z as z3 from g a join g b on b."row" = a."row" and b.col = a.col + 1 join g x on x."row" = a."row" + 1 and x.col = a.col join g y on y."row" = a."row" + 1 and y.col = a.col + 1),
+n as (select *, unnest(range((floor(least(z0, z1, z2, z3) / 0.1::double) + 1)::bigint, (ceil(greatest(z0, z1, z2, z3) / 0.1::double))::bigint)) * 0.1::double as l from s),
+u as (select *, z0 >= l as u0, z1 >= l as u1, z2 >= l as u2, z3 >= l as u3, (z0 + z1 + z2 + z3) / 4 >= l as mid, (l - z0) / nullif(z1 - z0, 0) as tx, (l - z2) / nullif(z3 - z2, 0) as bx, (l - z0) / nullif(z2 - z0, 0) as ly, (l - z1) / nullif(z3 - z1, 0) as ry from n),
+m as (select *, u0 <> u1 as t, u2 <> u3 as b, u0 <> u2 as lf, u1 <> u3 as rt from u),
+p as (select l, t and b and lf and rt as saddle, (u1 and u2 and not u0 and not u3) = mid as first_way, t, b, lf, rt, sqrt(power(tx, 2) + power(ly, 2)) as tl, sqrt(power(1 - tx, 2) + power(ry, 2)) as tr, sqrt(power(bx, 2) + power(1 - ly, 2)) as bl, sqrt(power(1 - bx, 2) + power(1 - ry, 2)) as br, sqrt(1 + power(ly - ry, 2)) as lr, sqrt(1 + power(tx - bx, 2)) as tb from m),
+q as (select l, unnest(case when saddle then case when first_way then [tl, br] else [tr, bl] end when t and lf then [tl] when t and rt then [tr] when b and lf then [bl] when b and rt then [br] when lf and rt then [lr] when t and b then [tb] else [] end) as len from p)
+select round(l, 6) as level, count(*) as segments, round(sum(len), 4) as length from q group by 1""")
 def contours(spark, d):
     s = R.contour_segments(_grid(spark, d), "z", 0.1)
     return s.groupBy(F.round("level", 6).alias("level")).agg(F.count("*").alias("segments"), F.round(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), 4).alias("length"))
@@ -422,7 +444,7 @@ def centrelines(spark, d):
 
 @query(f'with {_G} select "row", col, z from g where "row" % 4 = 0 and col % 4 = 0')
 def raster_to_points(spark, d):
-    return _grid(spark, d).where("row % 4 = 0 and col % 4 = 0").select("row", "col", "z")
+    return R.to_points(_grid(spark, d), step=4).select("row", "col", "z")
 
 
 @query("with c as (select sample_id, b02, b03, label from pixels where b02 is not null and b02::varchar <> 'nan' and b02 <> -9999 and b03 is not null and b03::varchar <> 'nan' and b03 <> -9999 and label is not null) select sample_id, b02, b03 from c")
@@ -592,7 +614,10 @@ def pca_variance(spark, d):
     return spark.createDataFrame([(i + 1, round(v, 6), [round(float(row[i]), 6) for row in loadings]) for i, v in enumerate(explained)], "component int, explained double, loadings array<double>")
 
 
-@query()
+@query(f"""with recursive {_C}, near as (select a.k as a, b.k as b from c a join c b on a.k <> b.k and abs(a.x - b.x) <= 15 and abs(a.y - b.y) <= 15 where sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 15),
+core as (select k from c left join near on a = k group by k having count(b) + 1 >= 4), cc as (select a, b from near where a in (from core) and b in (from core)),
+reach(a, b) as (select k, k from core union select r.a, e.b from reach r join cc e on r.b = e.a), l as (select a as k, min(b) as label from reach group by 1),
+border as (select near.a as k, min(label) as label from near join l on l.k = near.b group by 1) select c.k as node, coalesce(l.label, border.label, -1) as cluster from c left join l using (k) left join border using (k)""")
 def dbscan_points(spark, d):
     c = _customers(spark, d)
     pairs = J.within_distance(c, c, "x", "y", "k", "k", 15.0).where("a_key < b_key").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
@@ -628,38 +653,38 @@ def _stream(spark, d):
     return P.stream_parquet(spark, path, spark.read.parquet(path))
 
 
-def _drained(df, mode="append"):
-    """A stream run to its end into a memory table."""
-    name = "s" + uuid.uuid4().hex
-    P.run_available(df, name, mode)
-    return df.sparkSession.table(name)
+_MARK = "m as (select max(ts) - interval 1 hour as mark from events)"
 
 
-@query("select time_bucket(interval 6 hours, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+@query(f"with {_MARK} select time_bucket(interval 6 hours, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events, m group by 1, 2, mark having time_bucket(interval 6 hours, any_value(ts)) + interval 6 hours <= mark")
 def stream_windows(spark, d):
+    """Windows that the watermark has passed."""
     w = P.window_stats(_stream(spark, d), "ts", "event_type", "value", "6 hours")
-    return _drained(w, "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return P.run_available(w).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("select event_id, event_type from events")
 def stream_distinct(spark, d):
-    return _drained(P.distinct_readings(_stream(spark, d), ["event_id"], "ts", "1000 hours").select("event_id", "event_type"))
+    return P.run_available(P.distinct_readings(_stream(spark, d), ["event_id"], "ts", "1000 hours").select("event_id", "event_type"))
 
 
-@query("""with t as (select event_type, date_trunc('hour', ts) as hr, value from events), u as (select event_type, hr + interval 1 hour * (k + 1) as until, hr, value from t, range(24) r(k))
-select event_type, until, case when count(distinct hr) >= 18 then round(avg(value), 8) end as mean from u group by all""")
+@query("""with m as (select max(ts) - interval 2 hours as mark from events), t as (select event_type, date_trunc('hour', ts) as hr, value from events), u as (select event_type, hr + interval 1 hour * (k + 1) as until, hr, value from t, range(24) r(k))
+select event_type, until, case when count(distinct hr) >= 18 then round(avg(value), 8) end as mean from u, m where until <= mark group by all""")
 def stream_trailing_means(spark, d):
     m = P.trailing_means(_stream(spark, d), "ts", "event_type", "value", 24)
-    return _drained(m, "complete").select("event_type", F.col("until").cast("timestamp_ntz").alias("until"), F.round("mean", 8).alias("mean"))
+    return P.run_available(m).select("event_type", F.col("until").cast("timestamp_ntz").alias("until"), F.round("mean", 8).alias("mean"))
 
 
-@query("""with g as (select event_type, ts, case when ts - lag(ts) over (partition by event_type order by ts) <= interval 20 minutes then 0 else 1 end as new from events), s as (select *, sum(new) over (partition by event_type order by ts) as k from g) select event_type, min(ts) as start, count(*) as n from s group by event_type, k""")
+@query(f"""with {_MARK}, g as (select event_type, ts, case when ts - lag(ts) over (partition by event_type order by ts) <= interval 20 minutes then 0 else 1 end as new from events), s as (select *, sum(new) over (partition by event_type order by ts) as k from g)
+select event_type, min(ts) as start, count(*) as n from s, m group by event_type, k, mark having max(ts) + interval 20 minutes <= mark""")
 def stream_sessions(spark, d):
-    s = P.sessions(_stream(spark, d), "ts", "event_type", "20 minutes", "1000 hours")
-    return _drained(s, "complete").select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    """Sessions that the watermark has passed."""
+    s = P.sessions(_stream(spark, d), "ts", "event_type", "20 minutes")
+    return P.run_available(s).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("select n_name, count(*) as n, rank() over (order by count(*) desc, n_name) as place from customer join nation on c_nationkey = n_nationkey group by n_name")
+@query("with s as (select n_name, count(*) as n from customer join nation on c_nationkey = n_nationkey group by 1) select n_name, n, row_number() over (order by n desc, n_name) as place from s")
 def rank_by_size(spark, d):
-    g = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
-    return g.withColumn("place", F.rank().over(Window.orderBy(F.desc("n"), "n_name")))
+    """Labels 1.. by falling size."""
+    g = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name")
+    return L.relabel_by_size(g, "n_name", "place", noise="").groupBy("n_name", "place").agg(F.count("*").alias("n"))

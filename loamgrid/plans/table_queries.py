@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loamgrid.functions.airquality import sub_index, trailing_mean, with_aqi
 from loamgrid.functions.curves import great_circle
 from loamgrid.functions.expressions import FieldDialect, RasterDialect, calculate, cast_column, select_where
+from loamgrid.functions.timeparse import clean_number
 from loamgrid.functions.spectral import INDICES, index_column, reflectance
 from loamgrid.operators import series as S
 from loamgrid.operators import stats as A
@@ -189,13 +190,14 @@ def attr_join_unmatched(spark, d):
     return j.agg(F.count(F.when(~F.col("matched"), 1)).alias("unmatched"), F.count("*").alias("n"))
 
 
-@query("""with a as (select event_type as name, date_trunc('day', ts) as day, count(*) as n from events where event_id % 2 = 0 group by all), b as (select event_type as name, date_trunc('day', ts) as day, sum(value) as v from events where event_id % 3 = 0 group by all)
-select coalesce(a.name, b.name) as name, coalesce(a.day, b.day)::timestamp as day, n, round(v, 4) as v from a full join b on a.name = b.name and a.day = b.day""")
+@query("""with r as (select upper(trim(station)) as name, received_at::date::varchar as day, case when aqi::varchar = 'nan' or aqi = -999 then null else aqi end as aqi, case when temperature::varchar = 'nan' or temperature = -999 then null else temperature end as t from station_readings),
+a as (select name, day, round(avg(aqi), 4) as aqi from r where aqi is not null group by all), w as (select name, day, round(avg(t), 4) as temperature from r where t is not null group by all)
+select coalesce(a.name, w.name) as name, coalesce(a.day, w.day) as day, aqi, temperature from a full join w on a.name = w.name and a.day = w.day""")
 def air_weather_merge(spark, d):
-    e = read(spark, d, "events").withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz")).withColumnRenamed("event_type", "name")
-    a = e.where("event_id % 2 = 0").groupBy("name", "day").agg(F.count("*").alias("n"))
-    b = e.where("event_id % 3 = 0").groupBy("name", "day").agg(F.round(F.sum("value"), 4).alias("v"))
-    return S.interval_join(a, b, ["name", "day"])
+    """Air and weather of each station and day of delivery side by side; either may be missing."""
+    r = read(spark, d, "station_readings").select(F.upper(F.trim("station")).alias("name"), F.col("received_at").cast("date").cast("string").alias("day"), clean_number(F.col("aqi"), -999.0).alias("aqi"), clean_number(F.col("temperature"), -999.0).alias("temperature"))
+    air, weather = (r.where(f"{c} is not null").groupBy("name", "day").agg(F.round(F.avg(c), 4).alias(c)) for c in ("aqi", "temperature"))
+    return S.side_by_side(air, weather, ["name", "day"])
 
 
 @query("select tile, captured_at::date::varchar as day, max(scene_id) as scene_id from scenes group by all")
@@ -209,14 +211,11 @@ def scene_dedupe(spark, d):
 
 _PANEL = """panel as (select s.event_type, h.step, p.v from (select distinct event_type from events) s
 cross join (select unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), interval 1 hour)) as step from events) h
-left join (select event_type, date_trunc('hour', ts) as step, avg(value) as v from events where event_id % 7 < 3 group by all) p on p.event_type = s.event_type and p.step = h.step)"""
+left join (select event_type, date_trunc('hour', ts) as step, avg(value) as v from events group by all) p on p.event_type = s.event_type and p.step = h.step)"""
 
 
 def _panel(spark, d):
-    full = read(spark, d, "events")
-    # Every hour of the table, readings of some events only, so that there are gaps.
-    thin = full.withColumn("v", F.when(F.col("event_id") % 7 < 3, F.col("value")))
-    return S.panel(thin, "event_type", "ts", ["v"], "h")
+    return S.panel(read(spark, d, "events").withColumn("v", F.col("value")), "event_type", "ts", ["v"], "h")
 
 
 @query(f"with {_PANEL} select event_type, step, round(v, 6) as v from panel")
@@ -403,7 +402,7 @@ def _register_index(name: str) -> None:
 
     run.__name__ = f"index_{name.lower()}"
     QUERIES[run.__name__] = run
-    ORACLE[run.__name__] = f"with v as (select l_returnflag, {_index_sql(INDICES[name][0])} as x from lineitem) select l_returnflag, count(x) as n, round(avg(x), 5) as mean, round(min(x), 5) as low, round(max(x), 5) as high from v group by 1"
+    ORACLE[run.__name__] = f"with v as (select l_returnflag, {_index_sql(INDICES[name])} as x from lineitem) select l_returnflag, count(x) as n, round(avg(x), 5) as mean, round(min(x), 5) as low, round(max(x), 5) as high from v group by 1"
 
 
 for _name in INDICES:
@@ -553,14 +552,20 @@ def quantile_classes(spark, d):
     return e.groupBy(A.classify(F.col("value"), A.class_breaks(e, "value", "quantile", 4)).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query()
+_SEG = "seg as (select a.x as a, b.x as b, sum(c.n * c.x * c.x) - power(sum(c.n * c.x), 2) / sum(c.n) as cost from v a join v b on b.x >= a.x join v c on c.x between a.x and b.x group by all)"
+
+
+@query(f"""with v as (select p_size::double as x, count(*) as n, row_number() over (order by p_size) as i from part group by p_size), {_SEG}, nxt as (select a.x as x, b.x as y from v a join v b on b.i = a.i + 1),
+c1 as (select b as top, cost, [a, b] as cuts from seg where a = (select min(x) from v)),
+c2 as (select s.b as top, c.cost + s.cost as cost, list_append(c.cuts, s.b) as cuts from c1 c join nxt on nxt.x = c.top join seg s on s.a = nxt.y qualify row_number() over (partition by s.b order by c.cost + s.cost) = 1),
+c3 as (select s.b as top, c.cost + s.cost as cost, list_append(c.cuts, s.b) as cuts from c2 c join nxt on nxt.x = c.top join seg s on s.a = nxt.y qualify row_number() over (partition by s.b order by c.cost + s.cost) = 1),
+c4 as (select s.b as top, c.cost + s.cost as cost, list_append(c.cuts, s.b) as cuts from c3 c join nxt on nxt.x = c.top join seg s on s.a = nxt.y qualify row_number() over (partition by s.b order by c.cost + s.cost) = 1),
+c5 as (select s.b as top, c.cost + s.cost as cost, list_append(c.cuts, s.b) as cuts from c4 c join nxt on nxt.x = c.top join seg s on s.a = nxt.y where s.b = (select max(x) from v) qualify row_number() over (order by c.cost + s.cost) = 1)
+select unnest(range(6))::int as i, unnest(cuts) as at from c5""")
 def jenks_breaks(spark, d):
-    e = read(spark, d, "part").groupBy("p_size").agg(F.count("*").alias("n"))  # a bounded set of distinct values
-    values = [r.p_size for r in e.collect() for _ in range(r.n)]
-    return spark.createDataFrame(list(enumerate(A.natural_breaks(values, 5))), "i int, at double")
+    return spark.createDataFrame(list(enumerate(A.class_breaks(read(spark, d, "part"), "p_size", "natural", 5))), "i int, at double")
 
 
 @query("select label_code, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 6) as percent from pixels group by 1")
 def label_distribution(spark, d):
-    g = read(spark, d, "pixels").groupBy("label_code").agg(F.count("*").alias("n"))
-    return g.select("label_code", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("percent"))
+    return A.label_distribution(read(spark, d, "pixels"), "label_code").select("label_code", "n", F.round("percent", 6).alias("percent"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +109,42 @@ class VersionedTable:
         return out
 
 
+class EditSession:
+    """Edits of a versioned table that are only kept when saved: ``edit`` (a function of the table, with a line for the log), ``save``, ``save_as``, ``discard``."""
+
+    def __init__(self, table: VersionedTable):
+        self.table, self.df, self.log = table, table.read(), []
+        self.start = table.versions()[-1]
+
+    def edit(self, note: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        self.df = change(self.df)
+        self.log.append(note)
+        return self.df
+
+    def save(self) -> int:
+        """Overwrites: a new version. Refused if the table changed since the session began."""
+        if self.table.versions()[-1] != self.start:
+            raise ValueError("the table has changed since the session began")
+        self.start = self.table.write(self.df) if self.log else self.start
+        return self._again()
+
+    def save_as(self, path: str) -> VersionedTable:
+        """The edited rows as a new table; the old one stays as it is."""
+        out = VersionedTable(self.table.spark, path, self.table.keep)
+        if out.versions():
+            raise ValueError(f"{path} exists")
+        out.write(self.df)
+        self._again()
+        return out
+
+    def discard(self) -> None:
+        self._again()
+
+    def _again(self) -> int:
+        self.df, self.log = self.table.read(), []
+        return self.start
+
+
 def write_csv(df: DataFrame, path: str, digits: int = 7) -> None:
     """Text files with a header; numbers with ``digits`` significant digits."""
     short = {c: F.format_string(f"%.{digits}g", F.col(c)) for c, t in df.dtypes if t in ("double", "float")}
@@ -116,15 +152,20 @@ def write_csv(df: DataFrame, path: str, digits: int = 7) -> None:
 
 
 def station_feed(spark: SparkSession, path: str, city: str | None = None, state: str | None = None, aliases: Mapping[str, str] | None = None) -> DataFrame:
-    """State / City / Station / Pollutant_Index XML as rows; filters without case, other city names by ``aliases``."""
-    raw = spark.read.format("xml").option("rowTag", "Station").option("attributePrefix", "_").load(path)
-    out = raw
+    """State / City / Station / Pollutant_Index XML as one row a pollutant: state, city, station, updated, lat, lon, pollutant, low, high, mean.
+
+    Read by states and exploded, so that a station keeps the city and state above it. Filters go without case, other city names by ``aliases``; texts
+    that are no number (NA) are null.
+    """
+    station = "struct<_id:string,_lastupdate:string,_latitude:string,_longitude:string,Pollutant_Index:array<struct<_id:string,_min:string,_max:string,_avg:string>>>"
+    schema = f"_id string, City array<struct<_id:string,Station:array<{station}>>>"
+    raw = spark.read.format("xml").option("rowTag", "State").option("attributePrefix", "_").schema(schema).load(path)
+    c = raw.select(F.col("_id").alias("state"), F.explode("City").alias("c")).select("state", F.col("c._id").alias("city"), F.explode("c.Station").alias("s"))
+    p = c.select("state", "city", "s.*").select("state", "city", F.col("_id").alias("station"), F.col("_lastupdate").alias("updated"), F.col("_latitude").try_cast("double").alias("lat"), F.col("_longitude").try_cast("double").alias("lon"), F.explode_outer("Pollutant_Index").alias("p"))
+    out = p.select("state", "city", "station", "updated", "lat", "lon", F.col("p._id").alias("pollutant"), *(F.col(f"p._{a}").try_cast("double").alias(n) for a, n in (("min", "low"), ("max", "high"), ("avg", "mean"))))
     if city:
-        name = (aliases or {}).get(city.lower(), city).lower()
-        out = out.where(F.lower(F.col("_city") if "_city" in out.columns else F.col("_id")).contains(name))
-    if state and "_state" in out.columns:
-        out = out.where(F.lower("_state") == state.lower())
-    return out
+        out = out.where(F.contains(F.lower("city"), F.lit((aliases or {}).get(city.lower(), city).lower())))
+    return out.where(F.lower(F.regexp_replace("state", "_", " ")) == state.lower().replace("_", " ")) if state else out
 
 
 def table_list(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.query import StreamingQuery
+
+from loamgrid.storage import new_path
 
 
 def stream_parquet(spark: SparkSession, path: str, like: DataFrame, files: int = 1) -> DataFrame:
@@ -52,9 +53,14 @@ def alerts(df: DataFrame, condition: str, on_rows: Callable[[DataFrame, int], No
     return df.writeStream.foreachBatch(lambda batch, n: on_rows(batch.where(condition), n))
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> StreamingQuery:
-    """Everything there is, once, into a memory table; the catch-up run of a schedule."""
-    w = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
-    q.awaitTermination()
-    return q
+def run_available(df: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Everything there is, once, appended to Parquet files that all tasks write: the catch-up run of a schedule.
+
+    ``path`` and ``checkpoint`` default to fresh folders in the shared folder; with the same ones a later run goes on where this one ended. Rows of windows and sessions
+    come out when the watermark has passed their end; those still open wait for the next run, and the state stays bounded by the watermark.
+    """
+    spark = df.sparkSession
+    path, checkpoint = path or new_path(spark), checkpoint or new_path(spark)
+    w = df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    w.start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)

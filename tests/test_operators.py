@@ -193,7 +193,7 @@ def test_area_weighted_accuracy(spark):
     assert A.overall_accuracy(cm).first().accuracy == pytest.approx(0.9)
     e = {r["class"]: r for r in A.area_estimates(cm, spark.createDataFrame([("crop", 75.0), ("forest", 25.0)], "class string, area double")).collect()}
     assert e["forest"].area == pytest.approx(40) and e["crop"].area == pytest.approx(60) and e["crop"].overall == pytest.approx(0.85)
-    assert A.natural_breaks([1, 1, 2, 10, 11, 12, 50, 51], 3) == [1.0, 2.0, 12.0, 51.0] and A.natural_breaks([], 3) == []
+    assert A.natural_breaks([1, 2, 10, 11, 12, 50, 51], [2, 1, 1, 1, 1, 1, 1], 3) == [1.0, 2.0, 12.0, 51.0] and A.natural_breaks([], [], 3) == []
 
 
 def test_interpolators():

@@ -5,12 +5,13 @@ import os
 
 import pytest
 
-from loamgrid.plans import problem_queries, spatial_queries, table_queries
+from loamgrid.plans import model_queries, problem_queries, shape_queries, spatial_queries, table_queries
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")
-QUERIES = {k: f for m in (problem_queries, table_queries, spatial_queries) for k, f in m.QUERIES.items()}
-ORACLE = {k: s for m in (problem_queries, table_queries, spatial_queries) for k, s in m.ORACLE.items()}
+MODULES = (problem_queries, table_queries, spatial_queries, shape_queries, model_queries)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
 
 
 @pytest.fixture(scope="module")
