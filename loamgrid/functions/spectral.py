@@ -69,6 +69,12 @@ def with_indices(df: DataFrame, bands: Mapping[str, str], names: Sequence[str] |
     return df.select("*", *(index_column(n, cols).alias(n) for n in (names or available_indices(list(bands)))))
 
 
+def index_stack(df: DataFrame, keys: Sequence[str], bands: Mapping[str, str], items: Mapping[str, str]) -> DataFrame:
+    """``keys`` and one column an item, each a formula or the name of an index: what an export writes as one table."""
+    cols = {b: F.col(c) for b, c in bands.items()}
+    return df.select(*keys, *(index_column(f, cols).alias(n) for n, f in items.items()))
+
+
 #: Scale and offset of common integer encodings.
 REFLECTANCE = {"s2": (1e-4, 0.0), "s2_offset": (1e-4, -0.1), "landsat": (2.75e-5, -0.2), "byte": (1 / 255, 0.0)}
 

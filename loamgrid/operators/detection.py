@@ -66,6 +66,24 @@ def match_truth(pred: DataFrame, truth: DataFrame, key: str, cls: str, score: st
     return out.select(F.col("p").alias("pred"), F.col("t").alias("truth"), "iou")
 
 
+def merge_cut(df: DataFrame, key: str, cls: str, score: str, tile: str, size: float, least: float = 0.5) -> DataFrame:
+    """``key, cls, x0, y0, x1, y1, score, pieces``: boxes of one class from different tiles that share at least ``least`` of the smaller one become one object.
+
+    Pieces are joined by components (minimum labels), so an object cut by many tiles comes out once, under its least key, with the box around all pieces and the best score.
+    """
+    from loamgrid.operators.joins import common_area
+    from loamgrid.operators.raster import spread_labels
+
+    a, b = boxes_of(df, "a", *BOX), boxes_of(df, "b", *BOX)
+    area = lambda s: (F.col(f"{s}_x1") - F.col(f"{s}_x0")) * (F.col(f"{s}_y1") - F.col(f"{s}_y0"))
+    pairs = box_pairs(a, b, size).where((F.col(f"a_{key}") < F.col(f"b_{key}")) & F.col(f"a_{cls}").eqNullSafe(F.col(f"b_{cls}")) & (F.col(f"a_{tile}") != F.col(f"b_{tile}")))
+    pairs = pairs.where(F.try_divide(common_area(), F.least(area("a"), area("b"))) >= least)
+    labels = spread_labels(df.select(F.col(key).alias("node")), pairs.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b")))
+    named = df.join(labels, F.col(key) == F.col("node"))
+    g = named.groupBy(F.col("label").alias(key), cls)
+    return g.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max(score).alias(score), F.count("*").alias("pieces"))
+
+
 def detection_scores(matches: int, predicted: int, true: int) -> dict:
     p, r = matches / predicted if predicted else 0.0, matches / true if true else 0.0
     return {"precision": p, "recall": r, "f1": 2 * p * r / (p + r) if p + r else 0.0}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Control points that fit a driver and a task; interpolation is global in its points by definition.
+#: Control points that fit a driver and a task, for methods that are global in their points by definition; ``surface_join`` has no such bound.
 MAX_POINTS = 50_000
 
 
@@ -59,11 +59,11 @@ def trend(p: np.ndarray, q: np.ndarray, order: int = 1) -> np.ndarray:
     return _powers(b[:, 0], b[:, 1], order) @ coef
 
 
-def spline(p: np.ndarray, q: np.ndarray, smoothing: float = 0.0, local: int = 64) -> np.ndarray:
-    """Thin-plate spline; over 1000 points from each query's nearest ones."""
-    if len(p) > 1000:
+def spline(p: np.ndarray, q: np.ndarray, smoothing: float = 0.0, local: int = 64, whole: int = 1000) -> np.ndarray:
+    """Thin-plate spline through all points up to ``whole`` of them, beyond that through each query's ``local`` nearest ones."""
+    if len(p) > whole:
         i, _ = _near(p, q, local)
-        return np.array([spline(p[row], q[n : n + 1], smoothing, 0)[0] for n, row in enumerate(i)])
+        return np.array([spline(p[row], q[n : n + 1], smoothing, local, len(p))[0] for n, row in enumerate(i)])
     m, s = p[:, :2].mean(0), p[:, :2].std() + 1e-12
     a, b = (p[:, :2] - m) / s, (q - m) / s
     u = lambda d2: np.where(d2 > 0, d2 * np.log(np.maximum(d2, 1e-300)) / 2, 0.0)
@@ -105,8 +105,8 @@ def fit_variogram(p: np.ndarray, model: str = "spherical") -> tuple[float, float
     return max(best[1], floor), best[2], best[3]
 
 
-def kriging(p: np.ndarray, q: np.ndarray, model: str = "spherical", fitted: tuple | None = None, local: int = 48, variance: bool = False):
-    """Ordinary kriging, global up to 500 points and from the nearest ones beyond; optionally with the standard error."""
+def kriging(p: np.ndarray, q: np.ndarray, model: str = "spherical", fitted: tuple | None = None, local: int = 48, variance: bool = False, whole: int = 500):
+    """Ordinary kriging from all points up to ``whole`` of them, beyond that from each query's ``local`` nearest ones; optionally with the standard error."""
     nug, sill, reach = fitted or fit_variogram(p, model)
 
     def solve(c: np.ndarray, at: np.ndarray):
@@ -119,7 +119,7 @@ def kriging(p: np.ndarray, q: np.ndarray, model: str = "spherical", fitted: tupl
         w = np.linalg.lstsq(a, b, rcond=None)[0]
         return w[:n].T @ c[:, 2], np.sqrt(np.maximum((w * b).sum(0), 0))
 
-    if len(p) <= 500:
+    if len(p) <= whole:
         z, se = solve(p, q)
     else:
         near, _ = _near(p, q, local)
@@ -231,3 +231,19 @@ def compare_methods(points: np.ndarray, methods: Sequence[str] = tuple(METHODS))
     """Methods that could check at least 80 % first, then by error."""
     got = [leave_one_out(points, m, 25 if m == "natural" else 60) for m in methods]
     return sorted(got, key=lambda r: (r["checked"] < 0.8, math.inf if r["rmse"] is None else r["rmse"]))
+
+
+def surface_join(points: DataFrame, grid: DataFrame, x: str, y: str, value: str, key: str, method: str = "idw", k: int = 12, power: float = 2.0) -> DataFrame:
+    """``row, col, value`` by inverse distances or the nearest point for any number of points: a join with the k nearest ones in growing reaches.
+
+    Points with a null position or value don't count; a cell on a point has its value (of several the one with the smallest key).
+    """
+    from loamgrid.operators.joins import nearest_k
+
+    known = points.select(F.col(key).alias("__p"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(value).cast("double").alias("__v")).dropna()
+    cells = grid.select((F.col("row").cast("long") * (1 << 31) + F.col("col")).alias("__c"), "x", "y")
+    near = nearest_k(cells, known, "x", "y", "__c", "__p", 1 if method == "nearest" else k).join(known.select(F.col("__p").alias("b_key"), "__v"), "b_key")
+    w = 1 / F.pow(F.greatest(F.col("dist"), F.lit(1e-12)), F.lit(power))
+    on = F.min(F.when(F.col("dist") < 1e-6, F.struct("dist", "b_key", "__v")))["__v"]
+    out = near.groupBy("a_key").agg(F.coalesce(on, F.sum(w * F.col("__v")) / F.sum(w)).alias("value"))
+    return out.select(F.shiftright("a_key", 31).cast("int").alias("row"), F.col("a_key").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("col"), "value")

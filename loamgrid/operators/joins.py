@@ -120,6 +120,33 @@ def nearest(a: DataFrame, b: DataFrame, x: str, y: str, a_key: str, b_key: str,
     return out.select("a_key", "b_key", F.round("dist", 2).alias("join_dist_m"))
 
 
+def nearest_k(a: DataFrame, b: DataFrame, x: str, y: str, a_key: str, b_key: str, k: int) -> DataFrame:
+    """``a_key, b_key, dist``: of each a the k nearest b in the plane (fewer where there are fewer), ties to the smaller key.
+
+    Reaches that grow by two from a small share of b's mean spacing: an a with k partners within a reach is settled, only the rest goes on, until the reach
+    covers the extent. So dense places are settled while the reach is small, and nothing depends on the number of b in one task.
+    """
+    from loamgrid.storage import Staged
+
+    ends = a.select(x, y).union(b.select(x, y)).agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    extent = 0.0 if ends[0] is None else float(((ends[1] - ends[0]) ** 2 + (ends[3] - ends[2]) ** 2) ** 0.5)
+    reach = max(extent * (k / max(1, b.count())) ** 0.5 / 4, 1e-9)
+    rest, done = Staged(a.select(F.col(a_key).alias("key"), x, y)), None
+    while True:
+        hits = within_distance(rest.df, b, x, y, "key", b_key, reach)
+        ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("a_key").orderBy("dist", "b_key"))).where(F.col("r") <= k)
+        best = Staged(ranked.withColumn("n", F.count("*").over(Window.partitionBy("a_key"))).select("a_key", "b_key", "dist", "n"))
+        last = reach > extent
+        mine = best.df if last else best.df.where(F.col("n") >= k)
+        done = mine if done is None else done.unionByName(mine)
+        if not last:
+            left = Staged(rest.df.join(mine.select(F.col("a_key").alias("__k")).distinct(), F.col("key") == F.col("__k"), "left_anti"))
+            last, rest = not left.rows, left
+        if last:
+            return done.select("a_key", "b_key", "dist")
+        reach *= 2
+
+
 def overlap_purge(train: DataFrame, held_out: DataFrame, key: str, size: float) -> DataFrame:
     """Training windows whose box overlaps no held-out window's box; both sides as a_* / b_* boxes."""
     pairs = box_pairs(train, held_out, size)

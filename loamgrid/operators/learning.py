@@ -86,21 +86,21 @@ def encode_linear(v: Column, scales: Sequence[float]) -> Column:
     return F.zip_with(v, F.array(*map(F.lit, scales)), lambda x, s: F.bround(x.cast("double") / s).cast("tinyint"))
 
 
-def neighbours_exact(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, batch: int = 1024) -> DataFrame:
+def neighbours_exact(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, batch: int = 50_000) -> DataFrame:
     """``query, near, score``: the k most similar rows of ``base`` for each query by cosine, exactly.
 
-    A stated query set against all rows, in blocks: queries are collected in blocks of ``batch`` (bounded), every task keeps its best k for each query,
-    and the partial lists meet. Rows never pair up with one another.
+    A stated query set against all rows, in blocks: ``batch`` query vectors (bounded) travel to the tasks for one reading of ``base``, so that a reading is
+    small beside its products; every task keeps its best k for each query, and the partial lists meet. Rows never pair up with one another.
     """
     spark, out = base.sparkSession, None
     rows = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"))
+    part = base.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v"))
     block: list = []
 
     def ask(block) -> DataFrame:
-        ids = np.array([r.k for r in block])
         q = np.array([r.v for r in block], np.float32)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-        shared = spark.sparkContext.broadcast((ids, q))
+        shared = spark.sparkContext.broadcast((np.array([r.k for r in block], np.int64), q))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
@@ -111,15 +111,16 @@ def neighbours_exact(queries: DataFrame, base: DataFrame, key: str, vector: str,
                 x = np.stack(pdf["v"].to_numpy()).astype(np.float32)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
                 keys = pdf["k"].to_numpy(np.int64)
-                s = q @ x.T
-                s[ids[:, None] == keys[None]] = -np.inf
-                s, kk = np.concatenate([best_s, s], 1), np.concatenate([best_k, np.broadcast_to(keys, (len(q), len(keys)))], 1)
-                top = np.argpartition(-s, k - 1, 1)[:, :k]
-                best_s, best_k = np.take_along_axis(s, top, 1), np.take_along_axis(kk, top, 1)
+                for a in range(0, len(q), 1024):
+                    part = slice(a, a + 1024)
+                    s = q[part] @ x.T
+                    s[ids[part, None] == keys[None]] = -np.inf
+                    s, kk = np.concatenate([best_s[part], s], 1), np.concatenate([best_k[part], np.broadcast_to(keys, (len(s), len(keys)))], 1)
+                    top = np.argpartition(-s, k - 1, 1)[:, :k]
+                    best_s[part], best_k[part] = np.take_along_axis(s, top, 1), np.take_along_axis(kk, top, 1)
             i, j = np.nonzero(np.isfinite(best_s))
             yield pd.DataFrame({"query": ids[i], "near": best_k[i, j], "score": best_s[i, j].astype(float)})
 
-        part = base.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v"))
         return part.mapInPandas(run, "query long, near long, score double")
 
     for r in rows.toLocalIterator():
@@ -127,8 +128,8 @@ def neighbours_exact(queries: DataFrame, base: DataFrame, key: str, vector: str,
         if len(block) == batch:
             out, block = (ask(block) if out is None else out.unionByName(ask(block))), []
     if block or out is None:
-        part = ask(block) if block else base.select(F.col(key).cast("long").alias("query"), F.col(key).cast("long").alias("near"), F.lit(0.0).alias("score")).limit(0)
-        out = part if out is None else out.unionByName(part)
+        last = ask(block) if block else base.select(F.col(key).cast("long").alias("query"), F.col(key).cast("long").alias("near"), F.lit(0.0).alias("score")).limit(0)
+        out = last if out is None else out.unionByName(last)
     best = out.withColumn("__r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "near"))).where(F.col("__r") <= k)
     return best.drop("__r")
 

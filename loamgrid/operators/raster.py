@@ -404,12 +404,12 @@ def tile_filter(df: DataFrame, value: str, tile: int, halo: int, function, keys:
     return put.groupBy("tr", "tc").applyInPandas(run, "r long, c long, v double").select(F.col("r").alias(row), F.col("c").alias(col), F.col("v").alias(name))
 
 
-def thin(mask: np.ndarray) -> np.ndarray:
-    """Centre lines of a boolean picture (two-pass border peeling until nothing changes)."""
+def thin(mask: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """Centre lines of a boolean picture: two-pass border peeling until nothing changes, or for so many rounds."""
     a = np.pad(np.nan_to_num(mask) > 0, 1)
     moved = True
-    while moved:
-        moved = False
+    while moved and rounds != 0:
+        moved, rounds = False, None if rounds is None else rounds - 1
         for first in (True, False):
             n = [a[:-2, 1:-1], a[:-2, 2:], a[1:-1, 2:], a[2:, 2:], a[2:, 1:-1], a[2:, :-2], a[1:-1, :-2], a[:-2, :-2]]
             count = sum(x.astype(int) for x in n)
@@ -423,6 +423,23 @@ def thin(mask: np.ndarray) -> np.ndarray:
     return a[1:-1, 1:-1].astype(float)
 
 
+def centre_lines(df: DataFrame, mask: str, tile: int = 256, rounds: int = 16, keys: Sequence[str] = CELL) -> DataFrame:
+    """``row, col`` of the centre lines of the pixels where ``mask`` is above 0, as thinning the whole raster at once would give them.
+
+    Tiles peel ``rounds`` rounds with a halo of twice as many pixels, as far as the missing surroundings can reach; then the tiles exchange what
+    is left, until no pixel goes. Each exchange is written to the shared folder.
+    """
+    row, col = keys
+    now = Staged(df.where(F.col(mask) > 0).select(F.col(row).cast("long").alias("row"), F.col(col).cast("long").alias("col"), F.lit(1.0).alias("on")))
+    while True:
+        new = Staged(tile_filter(now.df, "on", tile, 2 * rounds, lambda a: thin(a, rounds), name="on").where("on > 0"))
+        stable = new.rows == now.rows
+        now.drop()
+        now = new
+        if stable:
+            return now.df.select(F.col("row").alias(row), F.col("col").alias(col))
+
+
 def sample_at(pixels: DataFrame, points: DataFrame, x: str, y: str, x0: float, y0: float, res: float, value: str) -> DataFrame:
     """The value of the cell that contains each point; points outside have null."""
     at = align(points, x, y, x0, y0, res)

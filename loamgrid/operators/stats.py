@@ -17,6 +17,15 @@ def confusion(df: DataFrame, mapped: str, reference: str) -> DataFrame:
     return df.where(F.col(mapped).isNotNull() & F.col(reference).isNotNull()).groupBy(F.col(mapped).alias("map"), F.col(reference).alias("ref")).agg(F.count("*").alias("n"))
 
 
+def matrix_csv(cm: DataFrame, most: int = 1000) -> str:
+    """A confusion matrix as text: a line a mapped class, a column a reference class. At most ``most`` classes (cells of classes come to the driver)."""
+    cells = {(str(r.map), str(r.ref)): r.n for r in cm.limit(most * most).collect()}
+    names = sorted({n for pair in cells for n in pair})
+    quoted = lambda t: '"' + t.replace('"', '""') + '"' if any(ch in t for ch in ',"\n') else t
+    head = ",".join(["map \\ reference", *map(quoted, names)])
+    return "\n".join([head, *(",".join([quoted(m), *(str(cells.get((m, r), 0)) for r in names)]) for m in names)]) + "\n"
+
+
 def _margins(cm: DataFrame) -> DataFrame:
     """Per class: mapped, referenced and agreeing rows, and the total. One row a class."""
     both = cm.select(F.explode(F.array(F.struct(F.col("map").alias("class"), F.col("n").alias("mapped"), F.lit(0).cast("long").alias("referenced"), F.when(F.col("map") == F.col("ref"), F.col("n")).otherwise(0).alias("hit")), F.struct(F.col("ref").alias("class"), F.lit(0).cast("long").alias("mapped"), F.col("n").alias("referenced"), F.lit(0).cast("long").alias("hit")))).alias("e")).select("e.*")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loamgrid.functions import geometry as G
-from loamgrid.functions.spectral import landsat_clear, with_indices
+from loamgrid.functions.expressions import calculate
+from loamgrid.functions.spectral import index_stack, landsat_clear, with_indices
 from loamgrid.operators import detection as D
 from loamgrid.operators import learning as L
 from loamgrid.operators import raster as R
@@ -255,9 +256,9 @@ def focal_laplace(spark, d):
     return R.kernel_filter(_grid(spark, d), "z", R.LAPLACE, name="laplace").withColumn("laplace", F.round("laplace", 6))
 
 
-@query(f'with {_G} select a."row", a.col, round(median(b.z), 5) as median from g a join g b on abs(a."row" - b."row") <= 1 and abs(a.col - b.col) <= 1 group by all')
+@query(f'with {_G} select a."row", a.col, round(median(b.z), 7) as median from g a join g b on abs(a."row" - b."row") <= 1 and abs(a.col - b.col) <= 1 group by all')
 def focal_median3(spark, d):
-    return R.focal(_grid(spark, d), "z", 3, "median", name="median").withColumn("median", F.round("median", 5))
+    return R.focal(_grid(spark, d), "z", 3, "median", name="median").withColumn("median", F.round("median", 7))
 
 
 @query(f"""with {_G}, o as (select o, abs((o + 0.5) / 2 - 0.5) as t from range(-6, 10) r(o)), k as (select o, case when t = 0 then 1 when t >= 3 then 0 else 3 * sin(pi() * t) * sin(pi() * t / 3) / power(pi() * t, 2) end as w from o),
@@ -496,3 +497,64 @@ def photo_gates(spark, d):
     p, k = F.col("p_size"), F.col("p_partkey") % 100
     issue = D.photo_issue(F.when(p < 10, 50).otherwise(500), F.when(k < 5, 10).otherwise(100), F.when(k > 95, 250).otherwise(120), F.when(p < 12, 2).otherwise(50), F.when(p < 15, 20).otherwise(100))
     return read(spark, d, "part").groupBy(issue.alias("issue")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {_B} select k, round(((x1 - x0) * (y1 - y0)) / 10000 * 2 + k, 6) as value, round(2 * (x1 - x0 + y1 - y0), 6) as around from b")
+def calculated_geometry(spark, d):
+    """Geometry values in field expressions."""
+    g = V.geometry_fields(_shapes(_boxes(spark, d).select("k", "x0", "y0", "x1", "y1")))
+    out = calculate(calculate(g, "value", "[$area_ha] * 2 + [k]"), "around", "[$perimeter]")
+    return out.select("k", F.round("value", 6).alias("value"), F.round("around", 6).alias("around"))
+
+
+@query("select station, true as right_size from stations where abs(lat) < 80")
+def own_zone_areas(spark, d):
+    """Squares of 2 km around stations, measured in the UTM zone of each: 4 km2 within a percent."""
+    s = V.point_squares(read(spark, d, "stations").where("abs(lat) < 80"), "lon", "lat", 1000.0)
+    g = V.geometry_fields(s, lonlat=True)
+    return g.select("station", (F.abs(F.col("$area_km2") / 4 - 1) < 0.01).alias("right_size"))
+
+
+@query("select kind, n from (values ('box', 1), ('geojson', 1), ('point', 1)) t(kind, n)")
+def areas_of_interest(spark, d):
+    """An area given in three ways."""
+    text = '{"type": "Polygon", "coordinates": [[[77, 12], [78, 12], [78, 13], [77, 12]]]}'
+    each = {"box": V.area_of_interest(spark, box=(77, 12, 78, 13)), "geojson": V.area_of_interest(spark, geojson=text), "point": V.area_of_interest(spark, point=(77.5, 12.9))}
+    out = None
+    for name, df in each.items():
+        row = df.agg(F.lit(name).alias("kind"), F.count("shape").cast("int").alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"""with recursive {_B}, e as (select a.k as a, c.k as b from b a join b c on a.cls = c.cls and a.k <> c.k and a.k % 4 <> c.k % 4 and a.x0 < c.x1 and c.x0 < a.x1 and a.y0 < c.y1 and c.y0 < a.y1 where (least(a.x1, c.x1) - greatest(a.x0, c.x0)) * (least(a.y1, c.y1) - greatest(a.y0, c.y0)) / least((a.x1 - a.x0) * (a.y1 - a.y0), (c.x1 - c.x0) * (c.y1 - c.y0)) >= 0.5),
+reach(a, b) as (select k, k from b union select r.a, e.b from reach r join e on r.b = e.a), l as (select a as k, min(b) as label from reach group by 1)
+select label as k, cls, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, max(score) as score, count(*) as pieces from b join l using (k) group by 1, 2""")
+def merged_pieces(spark, d):
+    """Boxes that tiles have cut become one object."""
+    return D.merge_cut(_boxes(spark, d).withColumn("tile", F.col("k") % 4), "k", "cls", "score", "tile", 64.0)
+
+
+@query(f"with p as (select sample_id, {_BAND('b04')} as r, {_BAND('b08')} as n from pixels) select sample_id, round(sqrt(greatest(0, n)) + r, 6) as mixed, round((n - r) / nullif(n + r, 0), 6) as ndvi from p where n >= 0 and r is not null")
+def index_export(spark, d):
+    """A formula and a named index side by side."""
+    px = read(spark, d, "pixels").where("b08 >= 0 and not isnan(b08) and b04 is not null and not isnan(b04)")
+    s = index_stack(px, ["sample_id"], {"B04": "b04", "B08": "b08"}, {"mixed": "sqrt(B08) + B04", "ndvi": "NDVI"})
+    return s.select("sample_id", F.round("mixed", 6).alias("mixed"), F.round("ndvi", 6).alias("ndvi"))
+
+
+@query(f"""with recursive {_G}, t as (select "row", col, floor(z * 8)::int as c, "row" * 2147483648 + col as id from g), e as (select a.id as a, b.id as b from t a join t b on a.c = b.c and abs(a."row" - b."row") + abs(a.col - b.col) = 1),
+reach(a, b) as (select id, id from t union select r.a, e.b from reach r join e on r.b = e.a), l as (select a as id, min(b) as region from reach group by 1)
+select region, c, count(*) as pixels, count(*) * 100.0::double as area from t join l using (id) group by 1, 2 having count(*) >= 2""")
+def classed_polygons(spark, d):
+    """Values in equal classes as polygons of at least two pixels of 10 m."""
+    g = _grid(spark, d).withColumn("c", F.floor(F.col("z") * 8).cast("int"))
+    big = X.region_outlines(R.connected_regions(g, "c"), "c", 0.0, 0.0, 10.0).where("pixels >= 2")
+    return big.select("region", "c", "pixels", F.round(G.shape_area(F.col("shape")), 6).alias("area"))
+
+
+@query("with e as (select event_type, count(*) as n from events group by 1) select event_type || ',' || string_agg(case when o = event_type then n else 0 end::varchar, ',' order by o) as line from e, (select event_type as o from e) group by event_type, n")
+def matrix_text(spark, d):
+    """A confusion matrix as text, without its head line."""
+    e = read(spark, d, "events").select("event_type", F.col("event_type").alias("again"))
+    return spark.createDataFrame([(x,) for x in A.matrix_csv(A.confusion(e, "event_type", "again")).splitlines()[1:]], "line string")

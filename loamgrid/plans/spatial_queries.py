@@ -132,7 +132,11 @@ def nms_greedy(spark, d):
     return D.suppress(_boxes(spark, d), "k", "cls", "score", 64.0, 0.1).select("k", "cls")
 
 
-@query()
+@query(f"""with recursive {_B}, t as (select k, cls, x0 + 0.5 as x0, y0, x1, y1 from b where k % 2 = 0), q as (select b.k as p, t.k as t, b.cls, b.score, greatest(0, least(b.x1, t.x1) - greatest(b.x0, t.x0)) * greatest(0, least(b.y1, t.y1) - greatest(b.y0, t.y0)) as o, (b.x1 - b.x0) * (b.y1 - b.y0) as sp, (t.x1 - t.x0) * (t.y1 - t.y0) as st from b join t on b.cls = t.cls and b.x0 <= t.x1 and t.x0 <= b.x1 and b.y0 <= t.y1 and t.y0 <= b.y1),
+pr as (select p, t, cls, o / (sp + st - o) as iou, row_number() over (partition by cls order by score desc, o / (sp + st - o) desc, p, t) as i from q where o / (sp + st - o) >= 0.5),
+walk(cls, i, ps, ts) as (select distinct cls, 0::bigint, []::bigint[], []::bigint[] from pr union all select w.cls, w.i + 1, case when list_contains(w.ps, n.p) or list_contains(w.ts, n.t) then w.ps else list_append(w.ps, n.p) end, case when list_contains(w.ps, n.p) or list_contains(w.ts, n.t) then w.ts else list_append(w.ts, n.t) end from walk w join pr n on n.cls = w.cls and n.i = w.i + 1),
+hit as (select unnest(ps) as p, unnest(ts) as t from walk qualify row_number() over (partition by cls order by i desc) = 1)
+select p as pred, t as truth, round(iou, 6) as iou from hit join pr using (p, t)""")
 def match_detections(spark, d):
     b = _boxes(spark, d)
     return D.match_truth(b, b.where("k % 2 = 0").withColumn("x0", F.col("x0") + 0.5), "k", "cls", "score", 64.0, 0.5).withColumn("iou", F.round("iou", 6))
@@ -215,7 +219,10 @@ def buffers(spark, d):
     return V.buffer(s, 2.0).select("k", F.round(G.shape_area(F.col("shape")), 3).alias("area"), "buffer_m")
 
 
-@query()
+@query(f"""with {_C}, p as (select distinct x, y from c), g as (select a.x, a.y, atan2(b.y - a.y, b.x - a.x) as t from p a join p b on a.x <> b.x or a.y <> b.y),
+w as (select x, y, t, lead(t) over (partition by x, y order by t) as nxt, min(t) over (partition by x, y) + 2 * pi() as first_again from g), v as (select x, y from w group by x, y having max(coalesce(nxt, first_again) - t) > pi() + 1e-9),
+m as (select avg(x) as mx, avg(y) as my from v), o as (select x, y, row_number() over (order by atan2(y - my, x - mx)) as i, count(*) over () as n from v, m)
+select count(*)::int as corners, round(abs(sum(a.x * b.y - b.x * a.y)) / 2, 3) as area from o a join o b on b.i = a.i % a.n + 1""")
 def hull_of_layer(spark, d):
     p = _customers(spark, d).select("k", F.array(F.array(F.array(F.array("x", "y")))).alias("shape"))
     return V.layer_hull(p).select(F.size(F.col("shape")[0][0]).alias("corners"), F.round(F.abs(G.ring_area(F.concat(F.col("shape")[0][0], F.slice(F.col("shape")[0][0], 1, 1)))), 3).alias("area"))
@@ -438,8 +445,7 @@ def contours(spark, d):
 
 @query()
 def centrelines(spark, d):
-    g = _grid(spark, d).withColumn("m", (F.col("z") > 0).cast("double"))
-    return R.tile_filter(g, "m", 64, 8, R.thin, name="line").where("line > 0").select("row", "col")
+    return R.centre_lines(_grid(spark, d).withColumn("m", (F.col("z") > 0).cast("double")), "m")
 
 
 @query(f'with {_G} select "row", col, z from g where "row" % 4 = 0 and col % 4 = 0')
@@ -485,6 +491,12 @@ def idw_grid(spark, d):
     return _surface(spark, d, "idw")
 
 
+@query(f"with {_S}, {_Q}, d as (select \"row\", col, v, sqrt(power(s.x - q.x, 2) + power(s.y - q.y, 2)) as d, s.k from q, s), n as (select * from d qualify row_number() over (partition by \"row\", col order by d, k) <= 12) select \"row\", col, round(sum(v / (d * d)) / sum(1 / (d * d)), 4) as value from n group by all")
+def idw_join(spark, d):
+    """The same surface for any number of points, by a join."""
+    return I.surface_join(_suppliers(spark, d), I.grid_cells(spark, 0, 0, 1000, 1000, 100.0), "x", "y", "v", "k").withColumn("value", F.round("value", 4))
+
+
 @query(f"with {_S}, {_Q} select \"row\", col, round(v, 4) as value from q, s qualify row_number() over (partition by \"row\", col order by power(s.x - q.x, 2) + power(s.y - q.y, 2)) = 1")
 def nearest_grid(spark, d):
     return _surface(spark, d, "nearest")
