@@ -6,12 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _CLOCK = r"(?:[T ]+(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?)?\s*(?:Z|[+-]\d{2}(?::?\d{2})?)?\s*$"
-#: Notations and the order in which their groups give year|month|day|hour|minute|second.
-NOTATIONS = (
-    (r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _CLOCK, "$1|$2|$3|$4|$5|$6"),
-    (r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})" + _CLOCK, "$3|$2|$1|$4|$5|$6"),
-    (r"^\s*(\d{4})(\d{2})(\d{2})" + _CLOCK, "$1|$2|$3|$4|$5|$6"),
-)
+#: The notations as one pattern, and the order in which its groups give year|month|day|hour|minute|second (groups of other notations are empty).
+NOTATIONS = r"^\s*(?:(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})|(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})|(\d{4})(\d{2})(\d{2}))" + _CLOCK
+ORDER = "$1$6$7|$2$5$8|$3$4$9|$10|$11|$12"
 
 
 def wall_seconds(text: Column) -> Column:
@@ -20,8 +17,7 @@ def wall_seconds(text: Column) -> Column:
     Year first or day first (year last), with or without time of day, seconds or offset; an offset is
     dropped; no time of day means 00:00; impossible dates and times give null. Independent of the session zone.
     """
-    for pattern, order in NOTATIONS:
-        text = F.regexp_replace(text, pattern, order)
+    text = F.regexp_replace(text, NOTATIONS, ORDER)
 
     def seconds(parts: Column) -> Column:
         part = lambda i: F.try_element_at(parts, F.lit(i + 1)).try_cast("int")
