@@ -320,9 +320,19 @@ def relabel_by_size(df: DataFrame, label: str, name: str, noise: int | str = -1)
     return df.join(ranks, F.col(label) == F.col("__l"), "left").withColumn(name, F.coalesce(name, F.lit(0))).drop("__l")
 
 
-def choose_k(df: DataFrame, k_max: int, features: str = "features", seed: int = 0) -> list[tuple[int, float]]:
-    """Silhouettes for k = 2..k_max on an assembled column."""
-    return [(k, ClusteringEvaluator(featuresCol=features).evaluate(K.KMeans(k=k, seed=seed, featuresCol=features).fit(df).transform(df))) for k in range(2, k_max + 1)]
+def choose_k(df: DataFrame, k_max: int, features: str = "features", seed: int = 0) -> list[tuple[int, float, float, float]]:
+    """``k, silhouette, inertia, bic`` for k = 2..k_max on an assembled column; the silhouette is that of squared distances.
+
+    bic = n d ln(inertia / (n d)) + k d ln(n): the lower the better (spherical clusters of one spread).
+    """
+    out = []
+    for k in range(2, k_max + 1):
+        model = K.KMeans(k=k, seed=seed, featuresCol=features).fit(df)
+        put = model.transform(df)
+        n, d, inertia = sum(model.summary.clusterSizes), len(model.clusterCenters()[0]), model.summary.trainingCost
+        bic = n * d * float(np.log(max(inertia, 1e-300) / (n * d))) + k * d * float(np.log(n))
+        out.append((k, ClusteringEvaluator(featuresCol=features).evaluate(put), inertia, bic))
+    return out
 
 
 def cluster_profile(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:

@@ -145,6 +145,30 @@ def vote_unfitted(fitted: DataFrame, rest: DataFrame, features: Sequence[str], l
     return rest.dropna(subset=list(features)).mapInPandas(run, schema)
 
 
+def spectral(x: np.ndarray, k: int, near: int = 10, rounds: int = 100) -> np.ndarray:
+    """Cluster numbers of a bounded sample from the graph of nearest neighbours: leading vectors of its normalised matrix, then k means from far-apart seeds. ``vote_unfitted`` takes them to all rows."""
+    n = len(x)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    order = np.argsort(d, 1)[:, 1 : near + 1]
+    w = np.zeros((n, n))
+    np.put_along_axis(w, order, 1.0, 1)
+    w = (w + w.T) / 2
+    root = 1 / np.sqrt(np.maximum(w.sum(1), 1e-12))
+    vectors = np.linalg.eigh(w * root[:, None] * root[None])[1][:, -k:]
+    y = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    seeds = [0]
+    while len(seeds) < min(k, n):
+        seeds.append(int(((y[:, None] - y[seeds][None]) ** 2).sum(2).min(1).argmax()))
+    centres = y[seeds]
+    for _ in range(rounds):
+        own = ((y[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        new = np.stack([y[own == c].mean(0) if (own == c).any() else centres[c] for c in range(len(centres))])
+        if np.allclose(new, centres):
+            break
+        centres = new
+    return own
+
+
 def k_distances(df: DataFrame, key: str, features: Sequence[str], k: int, queries: int = 2000) -> tuple[pd.DataFrame, float]:
     """Sorted distances to the k-th nearest other row, and the knee (largest rank share minus distance share): an eps for DBSCAN.
 

@@ -309,3 +309,14 @@ def count_by(df: DataFrame, by: Sequence[str], least: Column | None = None) -> D
     """Rows of each combination of values, the most frequent first: detections by class, diagnoses by crop and status, entries by section."""
     rows = df if least is None else df.where(least)
     return rows.groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *by)
+
+
+def describe_bands(df: DataFrame, bands: Sequence[str], missing: Sequence[float] = (-9999.0,)) -> DataFrame:
+    """``band, min, max, mean, empty_pct, warning`` of a pixel table's bands in one pass; the warning is ``empty``, ``constant`` or null."""
+    parts = []
+    for b in bands:
+        x = finite(_q(b).cast("double"))
+        x = F.when(~x.isin(*missing), x) if missing else x
+        parts.append(F.struct(F.lit(b).alias("band"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), (100 * F.try_divide(F.count("*") - F.count(x), F.count("*"))).alias("empty_pct")))
+    out = df.agg(F.array(*parts).alias("all")).select(F.explode("all").alias("r")).select("r.*")
+    return out.withColumn("warning", F.when(F.col("min").isNull(), "empty").when(F.col("min") == F.col("max"), "constant"))

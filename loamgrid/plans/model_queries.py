@@ -213,9 +213,9 @@ def k_distance_rows(spark, d):
 
 @query()
 def k_search(spark, d):
-    """Silhouettes for k from 2 to 5."""
+    """Silhouette, inertia and BIC for k from 2 to 5."""
     df = L.features_pipeline(_BANDS).fit(rows := _labelled(spark, d)).transform(rows)
-    return spark.createDataFrame([(k, round(s, 3)) for k, s in L.choose_k(Staged(df.select("features")).df, 5)], "k int, silhouette double")
+    return spark.createDataFrame([(k, round(s, 3), round(i, 1), round(b, 1)) for k, s, i, b in L.choose_k(Staged(df.select("features")).df, 5)], "k int, silhouette double, inertia double, bic double")
 
 
 @query()
@@ -233,6 +233,16 @@ def _sample(spark, d, rows):
     return (s - s.mean(0)) / np.maximum(s.std(0), 1e-12) if len(s) else s
 
 
+@query()
+def spectral_clusters(spark, d):
+    """Clusters of a sample by its neighbour graph, taken to all pixels by votes."""
+    rows = Staged(_labelled(spark, d).select("sample_id", *_BANDS)).df
+    sample = rows.orderBy(F.xxhash64("sample_id"), "sample_id").limit(400).toPandas()
+    sample["cluster"] = M.spectral(sample[_BANDS].to_numpy(float), 4).astype("int64") if len(sample) else 0
+    fitted = spark.createDataFrame(sample[[*_BANDS, "cluster"]], ", ".join(f"{b} double" for b in _BANDS) + ", cluster long")
+    return M.vote_unfitted(fitted, rows, _BANDS, "cluster").groupBy("cluster").agg(F.count("*").alias("n"))
+
+
 @query()
 def dendrogram(spark, d):
     """Merge order of a sample of 300 pixels."""

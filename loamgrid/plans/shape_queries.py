@@ -558,3 +558,21 @@ def matrix_text(spark, d):
     """A confusion matrix as text, without its head line."""
     e = read(spark, d, "events").select("event_type", F.col("event_type").alias("again"))
     return spark.createDataFrame([(x,) for x in A.matrix_csv(A.confusion(e, "event_type", "again")).splitlines()[1:]], "line string")
+
+
+_OKB = lambda b: f"case when {b}::varchar = 'nan' or {b} = -9999 then null else {b} end"
+
+
+@query(" union all ".join(f"select '{b}' as band, min({_OKB(b)}) as min, max({_OKB(b)}) as max, round(avg({_OKB(b)}), 6) as mean, round(100.0 * (count(*) - count({_OKB(b)})) / count(*), 6) as empty_pct, null::varchar as warning from pixels" for b in ("b02", "b08")))
+def band_description(spark, d):
+    return T.describe_bands(read(spark, d, "pixels"), ["b02", "b08"]).select("band", "min", "max", F.round("mean", 6).alias("mean"), F.round("empty_pct", 6).alias("empty_pct"), "warning")
+
+
+@query(f"with {_B}, q as (select count(*) as p, count(*) filter (k % 2 = 0) as t from b) select round(t / p, 6)::double as precision, round(t / t, 6)::double as recall, p as predicted, t as matched from q")
+def detection_quality(spark, d):
+    """Boxes against every second of them as the truth."""
+    b = _boxes(spark, d)
+    truth = b.where("k % 2 = 0")
+    n, p, t = D.match_truth(b, truth, "k", "cls", "score", 64.0, 0.999999).count(), b.count(), truth.count()
+    s = D.detection_scores(n, p, t)
+    return spark.createDataFrame([(round(s["precision"], 6), round(s["recall"], 6), p, n)], "precision double, recall double, predicted long, matched long")

@@ -80,5 +80,7 @@ def test_distances_merges_and_trust(spark):
     assert np.allclose(got["d"], np.sort(d)) and 0 < eps <= d.max()
     z = M.linkage(x)
     assert len(z) == 59 and (np.diff(z[:, 2]) >= -1e-12).all() and z[-1, 3] == 60 and z[-1, 2] > 10 and z[-3, 2] < 2
+    own = M.spectral(x, 3, near=5)
+    assert all(len(set(own[a : a + 20].tolist())) == 1 for a in (0, 20, 40)) and len(set(own.tolist())) == 3
     assert M.trustworthiness(x, x) == 1.0 and M.trustworthiness(x, rng.normal(size=(60, 2))) < 0.8
     assert L.cluster_quality(df.dropna().withColumn("c", F.floor(F.col("k") / 20)), "c", ["a", "b"]).first().davies_bouldin < 0.2
