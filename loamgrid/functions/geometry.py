@@ -335,15 +335,19 @@ def _convex(ring: Sequence) -> bool:
 
 
 def convex_hull(points: Sequence) -> list:
-    """Monotone chain, counter-clockwise."""
+    """Monotone chain, counter-clockwise; points that are off a straight line by rounding only are no corners."""
     pts = sorted({tuple(map(float, p[:2])) for p in points})
     if len(pts) < 3:
         return [list(p) for p in pts]
 
+    def left(a, b, c) -> bool:
+        u, v = (b[0] - a[0]) * (c[1] - a[1]), (b[1] - a[1]) * (c[0] - a[0])
+        return u - v > 1e-12 * (abs(u) + abs(v))
+
     def half(seq):
         out = []
         for p in seq:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+            while len(out) > 1 and not left(out[-2], out[-1], p):
                 out.pop()
             out.append(p)
         return out[:-1]

@@ -442,14 +442,14 @@ def power_exponent(spark, d):
 _NEARS = "nr as (select a.event_type as key, b.event_type as near, 1.0 / (1 + abs(length(a.event_type) - length(b.event_type))) as weight from (select distinct event_type from events) a join (select distinct event_type from events) b on a.event_type <> b.event_type)"
 
 
-@query(f"with {_PANEL}, {_NEARS}, b as (select event_type, step, lag(v) over (partition by event_type order by step) as v from panel), j as (select key, step, sum(weight * v) / sum(weight) as m from nr join b on b.event_type = near where v is not null group by all) select p.event_type, p.step, round(m, 6) as v_near from panel p left join j on j.key = p.event_type and j.step = p.step")
+@query(f"with {_PANEL}, {_NEARS}, b as (select event_type, step, lag(v) over (partition by event_type order by step) as v from panel), j as (select key, step, sum(weight * v) / sum(weight) as m from nr join b on b.event_type = near where v is not null group by all) select p.event_type, p.step, round(m, 9) as v_near from panel p left join j on j.key = p.event_type and j.step = p.step")
 def neighbour_means(spark, d):
     """The weighted mean of the other series one step before."""
     p = _panel(spark, d)
     t = p.select("event_type").distinct()
     near = t.select(F.col("event_type").alias("key")).join(t.select(F.col("event_type").alias("near")), F.col("key") != F.col("near"))  # five series
     near = near.withColumn("weight", 1.0 / (1 + F.abs(F.length("key") - F.length("near"))))
-    return S.neighbour_average(p, "event_type", "step", "v", near).select("event_type", "step", F.round("v_near", 6).alias("v_near"))
+    return S.neighbour_average(p, "event_type", "step", "v", near).select("event_type", "step", F.round("v_near", 9).alias("v_near"))
 
 
 @query("select p_partkey, upper(substr(t, 1, 1)) || substr(t, 2) as label from (select p_partkey, trim(regexp_replace(lower(replace(p_type, ' ', '_')), '[_\\s]+', ' ', 'g')) as t from part)")

@@ -191,12 +191,12 @@ def attr_join_unmatched(spark, d):
 
 
 @query("""with r as (select upper(trim(station)) as name, received_at::date::varchar as day, case when aqi::varchar = 'nan' or aqi = -999 then null else aqi end as aqi, case when temperature::varchar = 'nan' or temperature = -999 then null else temperature end as t from station_readings),
-a as (select name, day, round(avg(aqi), 4) as aqi from r where aqi is not null group by all), w as (select name, day, round(avg(t), 4) as temperature from r where t is not null group by all)
+a as (select name, day, round(avg(aqi), 8) as aqi from r where aqi is not null group by all), w as (select name, day, round(avg(t), 8) as temperature from r where t is not null group by all)
 select coalesce(a.name, w.name) as name, coalesce(a.day, w.day) as day, aqi, temperature from a full join w on a.name = w.name and a.day = w.day""")
 def air_weather_merge(spark, d):
     """Air and weather of each station and day of delivery side by side; either may be missing."""
     r = read(spark, d, "station_readings").select(F.upper(F.trim("station")).alias("name"), F.col("received_at").cast("date").cast("string").alias("day"), clean_number(F.col("aqi"), -999.0).alias("aqi"), clean_number(F.col("temperature"), -999.0).alias("temperature"))
-    air, weather = (r.where(f"{c} is not null").groupBy("name", "day").agg(F.round(F.avg(c), 4).alias(c)) for c in ("aqi", "temperature"))
+    air, weather = (r.where(f"{c} is not null").groupBy("name", "day").agg(F.round(F.avg(c), 8).alias(c)) for c in ("aqi", "temperature"))
     return S.side_by_side(air, weather, ["name", "day"])
 
 
@@ -250,9 +250,9 @@ def ffill(spark, d):
     return S.forward_fill(_panel(spark, d), "event_type", "step", "v").select("event_type", "step", F.round("v", 6).alias("v"))
 
 
-@query(f"""with {_PANEL} select event_type, step, round(case when row_number() over w >= 24 and count(v) over (w rows 23 preceding) >= 18 then avg(v) over (w rows 23 preceding) end, 6) as mean_24 from panel window w as (partition by event_type order by step)""")
+@query(f"""with {_PANEL} select event_type, step, round(case when row_number() over w >= 24 and count(v) over (w rows 23 preceding) >= 18 then avg(v) over (w rows 23 preceding) end, 8) as mean_24 from panel window w as (partition by event_type order by step)""")
 def trailing_mean_24h(spark, d):
-    return _panel(spark, d).select("event_type", "step", F.round(trailing_mean(F.col("v"), "event_type", "step", 24), 6).alias("mean_24"))
+    return _panel(spark, d).select("event_type", "step", F.round(trailing_mean(F.col("v"), "event_type", "step", 24), 8).alias("mean_24"))
 
 
 def _sub_sql(p: str, c: str) -> str:
