@@ -98,14 +98,14 @@ def nearest(a: DataFrame, b: DataFrame, x: str, y: str, a_key: str, b_key: str,
 
     Rings that grow: pairs within a reach are joined by cells, rows without a partner go on with a wider reach, until the reach covers the extent of all points. A
     partner found within the reach is the nearest there is. Each round only the rest is joined. Without ``start`` the first reach is
-    an eighth of the mean spacing of b over the extent, so that dense places are settled before the reach is wide.
+    half the mean spacing of b over the extent, so that dense places are settled before the reach is wide.
     """
     from loamgrid.storage import Staged
 
     ends = a.select(x, y).union(b.select(x, y)).agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
     extent = 0.0 if ends[0] is None else float(((ends[1] - ends[0]) ** 2 + (ends[3] - ends[2]) ** 2) ** 0.5)
     if start is None:
-        start = max(extent / 8 / max(1, b.count()) ** 0.5, 1e-9)
+        start = max(extent / 2 / max(1, b.count()) ** 0.5, 1e-9)
     rest, found, reach = a, None, start
     while True:
         reach = min(reach, limit) if limit else reach
