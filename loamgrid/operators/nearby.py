@@ -243,10 +243,10 @@ def polygon_cover(edges: np.ndarray, bits: int, cells: int) -> list[tuple]:
     return [tuple(r) for r in ranges]
 
 
-def region_ranges(regions: DataFrame, key: str, geojson: str, cells: int = 600) -> DataFrame:
+def region_ranges(regions: DataFrame, key: str, geojson: str, cells: int = 256) -> DataFrame:
     """``key_b, lo, hi, whole, x, y, inside, edges`` (flat): the cover ranges of each polygon.
 
-    Polygons of a region are covered apart. Null, empty or unreadable GeoJSON and other geometry types give no range.
+    Polygons of a region are covered apart, regions in as many tasks as a shuffle has, since a cover takes longer than reading its text. Null, empty or unreadable GeoJSON and other geometry types give no range.
     """
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,7 +263,8 @@ def region_ranges(regions: DataFrame, key: str, geojson: str, cells: int = 600)
             yield pd.DataFrame(rows, columns=["key_b", "lo", "hi", "whole", "x", "y", "inside", "edges"])
 
     named = regions.select(F.col(key).cast("long").alias("key_b"), F.col(geojson).alias("geojson")).where("key_b is not null")
-    return named.mapInPandas(cover, "key_b long, lo long, hi long, whole boolean, x double, y double, inside boolean, edges array<double>")
+    tasks = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return named.repartition(tasks, "key_b").mapInPandas(cover, "key_b long, lo long, hi long, whole boolean, x double, y double, inside boolean, edges array<double>")
 
 
 class _Ranges:
