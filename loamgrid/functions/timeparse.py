@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _CLOCK = r"(?:[T ]+(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?)?\s*(?:Z|[+-]\d{2}(?::?\d{2})?)?\s*$"
-#: The notations as one pattern, and the order in which its groups give year|month|day|hour|minute|second (groups of other notations are empty).
+#: The notations as one pattern, and the order in which its groups give year|month|day|hour|minute|second (groups of other notations are empty; the zeros keep a
+#: missing time of day a number, since the cast of an empty text raises and catches an error for each row).
 NOTATIONS = r"^\s*(?:(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})|(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})|(\d{4})(\d{2})(\d{2}))" + _CLOCK
-ORDER = "$1$6$7|$2$5$8|$3$4$9|$10|$11|$12"
+ORDER = "$1$6$7|$2$5$8|$3$4$9|0$10|0$11|0$12"
 
 
 def wall_seconds(text: Column) -> Column:
