@@ -6,14 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions import geometry as G
+from loamgrid.operators.joins import best_overlap
 from loamgrid.operators.nearby import even_odd
-from loamgrid.operators.vectors import _boxed, _shape, _text, box_pairs, overlay_pairs
+from loamgrid.operators.vectors import _boxed, _shape, _text, box_pairs, overlay_pairs, split_pairs
+from loamgrid.storage import Staged
 
 KINDS = ("point", "line", "polygon")
+#: Points of a ring up to which it is tested as plain numbers.
+SHORT_RING = 9
 
 
 def _lines(parts: list) -> np.ndarray:
@@ -70,13 +74,19 @@ def is_within(a: list, b: list, kind_a: str) -> bool:
 def shape_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, relation: str = "intersects", reach: float = 0.0, size: float = 64.0, kinds: tuple[str, str] = ("polygon", "polygon"), shape: str = "shape") -> DataFrame:
     """``a_<key>, b_<key>`` of pairs that intersect, where a lies ``within`` b, or that are at most ``reach`` apart (``distance``).
 
-    Candidates come from grids of boxes (``box_pairs``), the exact test runs on one pair at a time in Arrow batches. Null and empty shapes meet nothing.
+    Candidates come from grids of boxes (``box_pairs``). Two upright rectangles are compared in the JVM, other pairs one at a time in Arrow batches. Null and empty shapes meet nothing.
     """
     left = _boxed(a.select(a_key, shape).dropna(), "a", shape)
     right = _boxed(b.select(b_key, shape).dropna(), "b", shape)
+    left = left.withColumns({f"__{k}": F.col(f"a_{k}") for k in ("x0", "y0", "x1", "y1")})
     if reach:
         left = left.withColumns({"a_x0": F.col("a_x0") - reach, "a_y0": F.col("a_y0") - reach, "a_x1": F.col("a_x1") + reach, "a_y1": F.col("a_y1") + reach})
-    pairs = box_pairs(left, right, size).select(f"a_{a_key}", f"b_{b_key}", _text(f"a_{shape}").alias("__a"), _text(f"b_{shape}").alias("__b"))
+    plain, pairs = split_pairs(left, right, size, shape) if kinds == ("polygon", "polygon") else (None, box_pairs(left, right, size))
+    if plain is not None:
+        plain = plain.where(_boxes_related(relation, reach)).select(f"a_{a_key}", f"b_{b_key}")
+        if pairs is None:
+            return plain
+    pairs = pairs.select(f"a_{a_key}", f"b_{b_key}", _text(f"a_{shape}").alias("__a"), _text(f"b_{shape}").alias("__b"))
     names, schema = [f"a_{a_key}", f"b_{b_key}"], f"a_{a_key} {dict(a.dtypes)[a_key]}, b_{b_key} {dict(b.dtypes)[b_key]}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,25 +97,54 @@ def shape_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, relation: st
                 ok.append(is_within(x, y, kinds[0]) if relation == "within" else distance(x, y, *kinds) <= (reach if relation == "distance" else 1e-9))
             yield pdf.loc[np.array(ok, bool), names]
 
-    return pairs.mapInPandas(run, schema)
+    tested = pairs.mapInPandas(run, schema)
+    return tested if plain is None else plain.unionByName(tested)
+
+
+def _boxes_related(relation: str, reach: float) -> Column:
+    """``distance`` and ``is_within`` of two upright rectangles, the first at ``__x0`` .. ``__y1``, as columns."""
+    ax0, ay0, ax1, ay1 = (F.col(f"__{k}") for k in ("x0", "y0", "x1", "y1"))
+    if relation == "within":
+        area = (ax1 - ax0) * (ay1 - ay0)
+        common = F.greatest(F.least(ax1, F.col("b_x1")) - F.greatest(ax0, F.col("b_x0")), F.lit(0.0)) * F.greatest(F.least(ay1, F.col("b_y1")) - F.greatest(ay0, F.col("b_y0")), F.lit(0.0))
+        return area - common <= 1e-9 * F.greatest(F.lit(1.0), area)
+    dx = F.greatest(F.lit(0.0), F.col("b_x0") - ax1, ax0 - F.col("b_x1"))
+    dy = F.greatest(F.lit(0.0), F.col("b_y0") - ay1, ay0 - F.col("b_y1"))
+    return F.sqrt(dx * dx + dy * dy) <= (reach if relation == "distance" else 1e-9)
 
 
 def select_by_location(a: DataFrame, b: DataFrame, a_key: str, b_key: str, relation: str = "intersects", reach: float = 0.0, disjoint: bool = False, **options) -> DataFrame:
     """Rows of ``a`` with (or without) a partner among the shapes of ``b``: a semi or anti join."""
-    hit = shape_pairs(a, b, a_key, b_key, relation, reach, **options).select(F.col(f"a_{a_key}").alias("__k"))
+    hit = shape_pairs(a, b, a_key, b_key, relation, reach, **options).select(F.col(f"a_{a_key}").alias("__k")).distinct()
     return a.join(hit, F.col(a_key) == F.col("__k"), "left_anti" if disjoint else "left_semi")
 
 
-def points_in_shapes(points: DataFrame, shapes: DataFrame, key: str, shape_key: str, x: str, y: str, size: float = 64.0, shape: str = "shape") -> DataFrame:
-    """``a_<key>, b_<key>`` of points inside polygons (even-odd over all rings), tested in the JVM."""
-    p = points.select(F.col(key).alias(f"a_{key}"), *(F.col(c).cast("double").alias(f"a_{n}") for c, n in ((x, "x0"), (y, "y0"), (x, "x1"), (y, "y1"))))
-    met = box_pairs(p, _boxed(shapes.select(shape_key, shape).dropna(), "b", shape), size)
-    return met.where(G.contains_point(F.col(f"b_{shape}"), F.col("a_x0"), F.col("a_y0"))).select(f"a_{key}", f"b_{shape_key}")
+def points_in_shapes(points: DataFrame, shapes: DataFrame, key: str, shape_key: str, x: str, y: str, size: float = 64.0, shape: str = "shape", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``a_<key>, b_<key>`` of points inside polygons (even-odd over all rings), tested in the JVM; ``keep`` names columns of the points to come along as a_*."""
+    p = points.select(F.col(key).alias(f"a_{key}"), *(F.col(c).alias(f"a_{c}") for c in keep), *(F.col(c).cast("double").alias(f"a_{n}") for c, n in ((x, "x0"), (y, "y0"), (x, "x1"), (y, "y1"))))
+    boxed = _boxed(shapes.select(shape_key, shape).dropna(), "b", shape)
+    # Short rings as plain numbers, whose test is compiled; a ring's last edge is repeated where it has fewer.
+    ring, n = F.col(f"b_{shape}")[0][0], F.size(F.col(f"b_{shape}")[0][0])
+    few = (F.size(f"b_{shape}") == 1) & (F.size(F.col(f"b_{shape}")[0]) == 1) & n.between(2, SHORT_RING)
+    at = lambda i, k: F.when(few, ring[F.least(F.lit(i), n - 1)][k])
+    numbers = {f"__{c}{i}": at(i, k) for i in range(SHORT_RING) for k, c in enumerate("xy")}
+    b = Staged(boxed.where(F.col("b_x0").isNotNull()).withColumns(numbers).withColumn(f"b_{shape}", F.when(~few, F.col(f"b_{shape}")))).df
+    met = box_pairs(p, b, size)
+    px, py, odd = F.col("a_x0"), F.col("a_y0"), F.lit(False)
+    for i in range(1, SHORT_RING):
+        ax, ay, bx, by = (F.col(f"__{c}{j}") for j in (i - 1, i) for c in "xy")
+        odd = odd != (((ay > py) != (by > py)) & F.coalesce(px < (bx - ax) * (py - ay) / F.when(ay != by, by - ay) + ax, F.lit(False)))
+    inside = F.when(F.col(f"b_{shape}").isNull(), odd).otherwise(G.contains_point(F.col(f"b_{shape}"), px, py))
+    return met.where(inside).select(f"a_{key}", *(f"a_{c}" for c in keep), f"b_{shape_key}")
 
 
 def largest_overlap(a: DataFrame, b: DataFrame, a_key: str, b_key: str, size: float = 64.0, shape: str = "shape") -> DataFrame:
     """``a_<key>, b_<key>, overlap``: of each a the b with the largest common area, ties to the smaller b."""
-    pieces = overlay_pairs(a.select(a_key, shape), b.select(b_key, shape), size, shape)
+    a, b = a.select(a_key, shape), b.select(b_key, shape)
+    left, right = (Staged(_boxed(df, s, shape).withColumn("__plain", G.is_box(F.col(f"{s}_{shape}"))).drop(f"{s}_{shape}")).df for df, s in ((a, "a"), (b, "b")))
+    if all(df.where(f"not __plain and {s}_x0 is not null").isEmpty() for df, s in ((left, "a"), (right, "b"))):
+        return best_overlap(left.drop("__plain"), right.drop("__plain"), f"a_{a_key}", f"b_{b_key}", size, F.col("overlap") > 0)
+    pieces = overlay_pairs(a, b, size, shape)
     best = pieces.groupBy(f"a_{a_key}").agg(F.max_by(F.struct(F.col(f"b_{b_key}").alias("k"), F.col("area").alias("o")), F.struct("area", -F.col(f"b_{b_key}"))).alias("m"))
     return best.select(f"a_{a_key}", F.col("m.k").alias(f"b_{b_key}"), F.col("m.o").alias("overlap"))
 
@@ -210,7 +249,6 @@ def contour_lines(segments: DataFrame) -> DataFrame:
     Lines are components of segments (minimum labels over shared ends); a line's segments, the points of the one feature it becomes, are chained in one task.
     """
     from loamgrid.operators.raster import spread_labels
-    from loamgrid.storage import Staged
 
     end = lambda x, y: F.xxhash64(F.round("level", 9), F.round(F.col(x), 9), F.round(F.col(y), 9))
     real = segments.where("x1 <> x2 or y1 <> y2")

@@ -86,7 +86,7 @@ def points_in_polygons(spark, d):
     from loamgrid.operators.joins import count_points
 
     c = _customers(spark, d).withColumns({"x": F.col("x") + 0.0137, "y": F.col("y") + 0.0071})
-    pairs = X.points_in_shapes(c, _diamonds(spark, d), "k", "k", "x", "y").join(c.select(F.col("k").alias("a_k"), F.col("v").alias("a_v")), "a_k")
+    pairs = X.points_in_shapes(c, _diamonds(spark, d), "k", "k", "x", "y", keep=("v",))
     return count_points(_diamonds(spark, d).select("k"), pairs, "k", "v").select("k", "points", F.round("sum_v", 4).alias("sum_v"))
 
 
