@@ -172,8 +172,13 @@ def spectral(x: np.ndarray, k: int, near: int = 10, rounds: int = 100) -> np.nda
 def k_distances(df: DataFrame, key: str, features: Sequence[str], k: int, queries: int = 2000) -> tuple[pd.DataFrame, float]:
     """Sorted distances to the k-th nearest other row, and the knee (largest rank share minus distance share): an eps for DBSCAN.
 
-    Asked for at most ``queries`` rows (the smallest hashes) against all rows: each task keeps its k best, the partial lists meet.
+    Asked for at most ``queries`` rows (the smallest hashes) against all rows: each task keeps its k best, the partial lists meet. For one feature the
+    sorted neighbours say it (``kth_distances``).
     """
+    if len(features) == 1:
+        every = kth_distances(df, key, features[0], k)
+        few = every.orderBy(F.xxhash64("key"), "key").limit(queries)
+        return _knee(few.where("d is not null").orderBy("d", "key").toPandas())
     rows = df.dropna(subset=[key, *features]).select(F.col(key).cast("long").alias("key"), F.array(*(F.col(f).cast("double") for f in features)).alias("v"))
     asked = rows.orderBy(F.xxhash64("key"), "key").limit(queries).toPandas()
     shared = df.sparkSession.sparkContext.broadcast((asked["key"].to_numpy(), np.stack(asked["v"].to_numpy()) if len(asked) else np.zeros((0, len(features)))))
@@ -184,15 +189,19 @@ def k_distances(df: DataFrame, key: str, features: Sequence[str], k: int, querie
         for pdf in batches:
             x = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, q.shape[1]))
             for a in range(0, len(x), 2048):
-                d = np.sqrt(((q[:, None] - x[None, a : a + 2048]) ** 2).sum(2))
-                d[ids[:, None] == pdf["key"].to_numpy()[None, a : a + 2048]] = np.inf
-                best = np.sort(np.concatenate([best, d], 1), 1)[:, :k]
+                for c in range(0, len(q), 1024):
+                    d = np.sqrt(((q[c : c + 1024, None] - x[None, a : a + 2048]) ** 2).sum(2))
+                    d[ids[c : c + 1024, None] == pdf["key"].to_numpy()[None, a : a + 2048]] = np.inf
+                    best[c : c + 1024] = np.sort(np.concatenate([best[c : c + 1024], d], 1), 1)[:, :k]
         i, j = np.nonzero(np.isfinite(best))
         yield pd.DataFrame({"key": ids[i], "d": best[i, j]})
 
     parts = rows.mapInPandas(run, "key long, d double")
     ranked = parts.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("d"))).where(F.col("r") == k)
-    got = ranked.select("key", "d").orderBy("d", "key").toPandas()
+    return _knee(ranked.select("key", "d").orderBy("d", "key").toPandas())
+
+
+def _knee(got: pd.DataFrame) -> tuple[pd.DataFrame, float]:
     if len(got) < 2 or got["d"].iloc[-1] == got["d"].iloc[0]:
         return got, float(got["d"].iloc[0]) if len(got) else 0.0
     x = np.arange(len(got)) / (len(got) - 1)
@@ -200,6 +209,46 @@ def k_distances(df: DataFrame, key: str, features: Sequence[str], k: int, querie
     return got, float(got["d"].iloc[int((x - y).argmax())])
 
 
+#: Rows of sorted values that one task takes.
+SORTED_ROWS = 50_000
+
+
+def kth_distances(df: DataFrame, key: str, feature: str, k: int) -> DataFrame:
+    """``key, d``: the distance of each row's value to the k-th nearest other row's (null with fewer rows).
+
+    Rows are cut at quantiles of the value; a part knows, besides its own values, the k next ones below and above it, so that each row's 2 k sorted neighbours are at hand.
+    """
+    from loamgrid.storage import Staged
+
+    rows = Staged(df.dropna(subset=[key, feature]).select(F.col(key).cast("long").alias("key"), F.col(feature).cast("double").alias("v")))
+    parts = rows.rows // SORTED_ROWS + 1
+    cuts = sorted(set(rows.df.approxQuantile("v", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    part = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col("v"))) if cuts else F.lit(0)
+    cut = Staged(rows.df.withColumn("part", part)).df
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.sort(pdf["v"].to_numpy())
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "least": [v[:k].tolist()], "most": [v[-k:].tolist()]})
+
+    rims = sorted(cut.groupBy("part").applyInPandas(ends, "part int, least array<double>, most array<double>").collect())
+    below, above, low, high = {}, {}, [], []
+    for r in rims:
+        below[r["part"]], low = low, sorted(low + r["most"])[-k:]
+    for r in reversed(rims):
+        above[r["part"]], high = high, sorted(high + r["least"])[:k]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, n = pdf.sort_values(["v", "key"]), int(pdf["part"].iloc[0])
+        every = np.concatenate([np.full(k, -np.inf), below[n], pdf["v"].to_numpy(), above[n], np.full(k, np.inf)])
+        at = np.arange(len(pdf)) + k + len(below[n])
+        d = np.stack([np.abs(every[at + j] - every[at]) for j in (*range(-k, 0), *range(1, k + 1))], 1)
+        d = np.sort(d, 1)[:, k - 1]
+        return pd.DataFrame({"key": pdf["key"].to_numpy(), "d": pd.array(np.where(np.isfinite(d), d, np.nan), dtype="Float64")})
+
+    out = cut.groupBy("part").applyInPandas(run, "key long, d double")
+    return out.withColumn("d", F.when(~F.isnan("d"), F.col("d")))
+
+
 def linkage(x: np.ndarray) -> np.ndarray:
     """Merge order of a bounded sample by average linkage: rows a, b, distance, size (as in a dendrogram), by chains of nearest neighbours."""
     n = len(x)

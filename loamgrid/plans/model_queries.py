@@ -207,8 +207,7 @@ def knee_of_nothing(spark, d):
 @query("with c as (select c_custkey as k, c_acctbal as x from customer where c_acctbal is not null), n as (select a.k, abs(a.x - b.x) as d, row_number() over (partition by a.k order by abs(a.x - b.x)) as r from c a join c b on a.k <> b.k) select k as key, round(d, 4) as d from n where r = 4")
 def k_distance_rows(spark, d):
     """Distance of each customer's balance to the fourth nearest other one."""
-    got, _ = M.k_distances(read(spark, d, "customer"), "c_custkey", ["c_acctbal"], 4, queries=1_000_000)
-    return spark.createDataFrame(got, "key long, d double").select("key", F.round("d", 4).alias("d"))
+    return M.kth_distances(read(spark, d, "customer"), "c_custkey", "c_acctbal", 4).where("d is not null").select("key", F.round("d", 4).alias("d"))
 
 
 @query()
