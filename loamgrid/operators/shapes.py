@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions import geometry as G
-from loamgrid.operators.joins import best_overlap
+from loamgrid.operators import cells
 from loamgrid.operators.nearby import even_odd
-from loamgrid.operators.vectors import _boxed, _shape, _text, box_pairs, overlay_pairs, split_pairs
+from loamgrid.operators.vectors import _boxed, _shape, _text, box_pairs, overlay_pairs, spread
 from loamgrid.storage import Staged
 
 KINDS = ("point", "line", "polygon")
@@ -71,23 +71,41 @@ def is_within(a: list, b: list, kind_a: str) -> bool:
     return not _cross(s, t) and all(inside(p) for p in np.concatenate([s[:, :2], s[:, 2:], middle]))
 
 
-def shape_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, relation: str = "intersects", reach: float = 0.0, size: float = 64.0, kinds: tuple[str, str] = ("polygon", "polygon"), shape: str = "shape") -> DataFrame:
-    """``a_<key>, b_<key>`` of pairs that intersect, where a lies ``within`` b, or that are at most ``reach`` apart (``distance``).
+def _parted(df: DataFrame, side: str, shape: str) -> tuple[DataFrame, DataFrame | None]:
+    """The upright rectangles of a layer as columns and corners <side>_*, and the other shapes with theirs (None without any), staged."""
+    named = spread(df.dropna()).withColumn("__b", G.plain_box(F.col(shape)))
+    rest = [c for c in df.columns if c != shape]
+    kept = Staged(named.select(*(F.col(c).alias(f"{side}_{c}") for c in rest), *(F.col(f"__b.{k}").alias(f"{side}_{k}") for k in cells.CORNERS), F.when(F.col("__b").isNull(), F.col(shape)).alias(f"{side}_{shape}"))).df
+    plain = kept.where(F.col(f"{side}_x0").isNotNull()).drop(f"{side}_{shape}")
+    other = kept.where(f"{side}_{shape} is not null").select(*(F.col(f"{side}_{c}").alias(c) for c in [*rest, shape]))
+    return plain, None if other.isEmpty() else _boxed(other, side, shape)
 
-    Candidates come from grids of boxes (``box_pairs``). Two upright rectangles are compared in the JVM, other pairs one at a time in Arrow batches. Null and empty shapes meet nothing.
+
+def shape_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, relation: str = "intersects", reach: float = 0.0, size: float = 64.0, kinds: tuple[str, str] = ("polygon", "polygon"), shape: str = "shape", semi: bool = False) -> DataFrame:
+    """``a_<key>, b_<key>`` of pairs that intersect, where a lies ``within`` b, or that are at most ``reach`` apart (``distance``); with ``semi`` the ``a_<key>`` alone, once or more.
+
+    Upright rectangles are compared in grid cells (``cells``), other pairs, whose candidates come from grids of boxes (``box_pairs``), one at a time in Arrow batches. Null and empty shapes meet nothing.
     """
-    left = _boxed(a.select(a_key, shape).dropna(), "a", shape)
-    right = _boxed(b.select(b_key, shape).dropna(), "b", shape)
-    left = left.withColumns({f"__{k}": F.col(f"a_{k}") for k in ("x0", "y0", "x1", "y1")})
-    if reach:
-        left = left.withColumns({"a_x0": F.col("a_x0") - reach, "a_y0": F.col("a_y0") - reach, "a_x1": F.col("a_x1") + reach, "a_y1": F.col("a_y1") + reach})
-    plain, pairs = split_pairs(left, right, size, shape) if kinds == ("polygon", "polygon") else (None, box_pairs(left, right, size))
-    if plain is not None:
-        plain = plain.where(_boxes_related(relation, reach)).select(f"a_{a_key}", f"b_{b_key}")
-        if pairs is None:
-            return plain
-    pairs = pairs.select(f"a_{a_key}", f"b_{b_key}", _text(f"a_{shape}").alias("__a"), _text(f"b_{shape}").alias("__b"))
-    names, schema = [f"a_{a_key}", f"b_{b_key}"], f"a_{a_key} {dict(a.dtypes)[a_key]}, b_{b_key} {dict(b.dtypes)[b_key]}"
+    a, b = a.select(a_key, shape), b.select(b_key, shape)
+    ka, kb = f"a_{a_key}", f"b_{b_key}"
+    wider = lambda df: df.withColumns({f"__{c}": F.col(f"a_{c}") for c in cells.CORNERS} | {"a_x0": F.col("a_x0") - reach, "a_y0": F.col("a_y0") - reach, "a_x1": F.col("a_x1") + reach, "a_y1": F.col("a_y1") + reach}) if reach else df
+    if kinds != ("polygon", "polygon"):
+        return _tested(box_pairs(wider(_boxed(a.dropna(), "a", shape)), _boxed(b.dropna(), "b", shape), size), ka, kb, relation, reach, kinds, shape)
+    (p, p2), (q, q2) = _parted(a, "a", shape), _parted(b, "b", shape)
+    test = _boxes_related(relation, reach)
+    out = cells.having(wider(p), q, ka, size, test) if semi else cells.related(wider(p), q, ka, kb, size, test)
+    shaped = lambda df, s: df.withColumn(f"{s}_{shape}", G.box_shape(*(F.col(f"{s}_{k}") for k in cells.CORNERS)))
+    for x, y in ((p2, shaped(q, "b")), (shaped(p, "a"), q2), (p2, q2)):
+        if x is not None and y is not None:
+            tested = _tested(box_pairs(wider(x), y, size), ka, kb, relation, reach, kinds, shape)
+            out = out.unionByName(tested.select(out.columns))
+    return out
+
+
+def _tested(pairs: DataFrame, ka: str, kb: str, relation: str, reach: float, kinds: tuple[str, str], shape: str) -> DataFrame:
+    """The candidates that are related, one at a time."""
+    types = dict(pairs.dtypes)
+    pairs = pairs.select(ka, kb, _text(f"a_{shape}").alias("__a"), _text(f"b_{shape}").alias("__b"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -95,27 +113,30 @@ def shape_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, relation: st
             for p, q in zip(pdf["__a"], pdf["__b"], strict=True):
                 x, y = _shape(p), _shape(q)
                 ok.append(is_within(x, y, kinds[0]) if relation == "within" else distance(x, y, *kinds) <= (reach if relation == "distance" else 1e-9))
-            yield pdf.loc[np.array(ok, bool), names]
+            yield pdf.loc[np.array(ok, bool), [ka, kb]]
+
+    return pairs.mapInPandas(run, f"{ka} {types[ka]}, {kb} {types[kb]}")
 
-    tested = pairs.mapInPandas(run, schema)
-    return tested if plain is None else plain.unionByName(tested)
 
+def _boxes_related(relation: str, reach: float):
+    """``distance`` and ``is_within`` of upright rectangles in numpy."""
 
-def _boxes_related(relation: str, reach: float) -> Column:
-    """``distance`` and ``is_within`` of two upright rectangles, the first at ``__x0`` .. ``__y1``, as columns."""
-    ax0, ay0, ax1, ay1 = (F.col(f"__{k}") for k in ("x0", "y0", "x1", "y1"))
-    if relation == "within":
-        area = (ax1 - ax0) * (ay1 - ay0)
-        common = F.greatest(F.least(ax1, F.col("b_x1")) - F.greatest(ax0, F.col("b_x0")), F.lit(0.0)) * F.greatest(F.least(ay1, F.col("b_y1")) - F.greatest(ay0, F.col("b_y0")), F.lit(0.0))
-        return area - common <= 1e-9 * F.greatest(F.lit(1.0), area)
-    dx = F.greatest(F.lit(0.0), F.col("b_x0") - ax1, ax0 - F.col("b_x1"))
-    dy = F.greatest(F.lit(0.0), F.col("b_y0") - ay1, ay0 - F.col("b_y1"))
-    return F.sqrt(dx * dx + dy * dy) <= (reach if relation == "distance" else 1e-9)
+    def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if relation == "within":
+            area = (x[2] - x[0]) * (x[3] - x[1])
+            return area - cells.common(x, y) <= 1e-9 * np.maximum(1.0, area)
+        if relation != "distance" or not reach:
+            return cells.meets(x, y)
+        dx = np.maximum(np.maximum(y[0] - x[2], x[0] - y[2]), 0.0)
+        dy = np.maximum(np.maximum(y[1] - x[3], x[1] - y[3]), 0.0)
+        return np.sqrt(dx * dx + dy * dy) <= reach
+
+    return test
 
 
 def select_by_location(a: DataFrame, b: DataFrame, a_key: str, b_key: str, relation: str = "intersects", reach: float = 0.0, disjoint: bool = False, **options) -> DataFrame:
     """Rows of ``a`` with (or without) a partner among the shapes of ``b``: a semi or anti join."""
-    hit = shape_pairs(a, b, a_key, b_key, relation, reach, **options).select(F.col(f"a_{a_key}").alias("__k")).distinct()
+    hit = shape_pairs(a, b, a_key, b_key, relation, reach, semi=True, **options).select(F.col(f"a_{a_key}").alias("__k")).distinct()
     return a.join(hit, F.col(a_key) == F.col("__k"), "left_anti" if disjoint else "left_semi")
 
 
@@ -141,14 +162,49 @@ def points_in_shapes(points: DataFrame, shapes: DataFrame, key: str, shape_key:
 def largest_overlap(a: DataFrame, b: DataFrame, a_key: str, b_key: str, size: float = 64.0, shape: str = "shape") -> DataFrame:
     """``a_<key>, b_<key>, overlap``: of each a the b with the largest common area, ties to the smaller b."""
     a, b = a.select(a_key, shape), b.select(b_key, shape)
-    left, right = (Staged(_boxed(df, s, shape).withColumn("__plain", G.is_box(F.col(f"{s}_{shape}"))).drop(f"{s}_{shape}")).df for df, s in ((a, "a"), (b, "b")))
-    if all(df.where(f"not __plain and {s}_x0 is not null").isEmpty() for df, s in ((left, "a"), (right, "b"))):
-        return best_overlap(left.drop("__plain"), right.drop("__plain"), f"a_{a_key}", f"b_{b_key}", size, F.col("overlap") > 0)
+    (left, others_a), (right, others_b) = _parted(a, "a", shape), _parted(b, "b", shape)
+    if others_a is None and others_b is None:
+        return cells.best(left, right, f"a_{a_key}", f"b_{b_key}", size, touching=False)
     pieces = overlay_pairs(a, b, size, shape)
     best = pieces.groupBy(f"a_{a_key}").agg(F.max_by(F.struct(F.col(f"b_{b_key}").alias("k"), F.col("area").alias("o")), F.struct("area", -F.col(f"b_{b_key}"))).alias("m"))
     return best.select(f"a_{a_key}", F.col("m.k").alias(f"b_{b_key}"), F.col("m.o").alias("overlap"))
 
 
+def shared_area(a: DataFrame, b: DataFrame, key: str, size: float = 64.0, shape: str = "shape") -> DataFrame:
+    """``area``: the sum of the common areas of all pairs, without a row for each; null without any."""
+    a, b = a.select(key, shape), b.select(key, shape)
+    (left, others_a), (right, others_b) = _parted(a, "a", shape), _parted(b, "b", shape)
+    every = cells.shared_area(left, right, size) if others_a is None and others_b is None else overlay_pairs(a, b, size, shape)
+    return every.where("area > 0").agg(F.sum("area").alias("area"))
+
+
+def count_points(points: DataFrame, shapes: DataFrame, shape_key: str, x: str, y: str, value: str | None = None, size: float = 64.0, shape: str = "shape") -> DataFrame:
+    """``<shape_key>, points`` and ``sum_<value>`` (numbers only, 6 places) of all shapes, by the even-odd rule; counted in grid cells, without a row for each pair of point and shape."""
+    named = spread(shapes.select(shape_key, shape)).withColumn("b_few", _few(F.col(shape)))
+    ring = lambda s: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SHORT_RING - 1)), lambda i: F.slice(s[0][0][F.least(i, F.size(s[0][0]) - 1)], 1, 2)))
+    kept = Staged(named.select(F.col(shape_key).alias(f"b_{shape_key}"), F.when(F.col("b_few"), F.transform(F.array(shape), ring)[0]).alias("b_ring"), F.when(~F.col("b_few"), F.col(shape)).alias(shape))).df
+    ends = lambda k: F.filter("b_ring", lambda v, i: i % 2 == k)
+    rings = kept.where("b_ring is not null").select(f"b_{shape_key}", "b_ring", *(f(ends(k)).alias(f"b_{c}") for c, k, f in (("x0", 0, F.array_min), ("y0", 1, F.array_min), ("x1", 0, F.array_max), ("y1", 1, F.array_max))))
+    at = [F.col(c).cast("double").alias(f"a_{n}") for c, n in ((x, "x0"), (y, "y0"), (x, "x1"), (y, "y1"))]
+    number = [F.col(value).try_cast("double").alias(f"a_{value}")] if value else []
+    found = cells.ring_counts(Staged(spread(points.select(*at, *number))).df, rings, f"b_{shape_key}", size, SHORT_RING, value)
+    long = kept.where(F.col(shape).isNotNull()).select(F.col(f"b_{shape_key}").alias(shape_key), shape)
+    if not long.isEmpty():
+        p = points.select(F.monotonically_increasing_id().alias("id"), F.col(x).alias("x"), F.col(y).alias("y"), *([F.col(value).try_cast("double").alias("v")] if value else []))
+        pairs = points_in_shapes(p, long, "id", shape_key, "x", "y", size, shape, keep=("v",) if value else ())
+        found = found.unionByName(pairs.groupBy(f"b_{shape_key}").agg(F.count("*").alias("n"), (F.coalesce(F.sum("a_v"), F.lit(0.0)) if value else F.lit(0.0)).alias("s")))
+    sums = found.groupBy(F.col(f"b_{shape_key}").alias("__k")).agg(F.sum("n").alias("__n"), F.sum("s").alias("__s"))
+    out = kept.select(F.col(f"b_{shape_key}").alias(shape_key)).join(sums, F.col(shape_key) == F.col("__k"), "left").withColumn("points", F.coalesce("__n", F.lit(0)))
+    if value:
+        out = out.withColumn(f"sum_{value}", F.round(F.coalesce("__s", F.lit(0.0)), 6))
+    return out.drop("__k", "__n", "__s")
+
+
+def _few(shape: Column) -> Column:
+    """Whether the shape is one ring of at most SHORT_RING points."""
+    return F.coalesce(F.transform(F.array(shape), lambda s: (F.size(s) == 1) & (F.size(s[0]) == 1) & F.size(s[0][0]).between(2, SHORT_RING))[0], F.lit(False))
+
+
 def pixel_runs(shapes: DataFrame, key: str, x0: float, y0: float, res: float, shape: str = "shape") -> DataFrame:
     """``key, row, col0, col1``: the runs of pixels whose centres a polygon holds, on the grid with upper left corner x0, y0. A run a row, not a row a pixel."""
     kind = dict(shapes.dtypes)[key]
