@@ -83,11 +83,8 @@ def _diamonds(spark, d):
 
 @query(f"with {_B}, {_D}, {_C} select dm.k, count(c.k) as points, coalesce(round(sum(v), 4), 0) as sum_v from dm left join c on abs(x + 0.0137 - mx) <= rx and abs(y + 0.0071 - my) <= ry and abs(x + 0.0137 - mx) / rx + abs(y + 0.0071 - my) / ry < 1 group by dm.k")
 def points_in_polygons(spark, d):
-    from loamgrid.operators.joins import count_points
-
     c = _customers(spark, d).withColumns({"x": F.col("x") + 0.0137, "y": F.col("y") + 0.0071})
-    pairs = X.points_in_shapes(c, _diamonds(spark, d), "k", "k", "x", "y", keep=("v",))
-    return count_points(_diamonds(spark, d).select("k"), pairs, "k", "v").select("k", "points", F.round("sum_v", 4).alias("sum_v"))
+    return X.count_points(c, _diamonds(spark, d), "k", "x", "y", "v").select("k", "points", F.round("sum_v", 4).alias("sum_v"))
 
 
 _RUNS = "cell as (select k, mx, my, rx, ry, unnest(range(floor((1000.0071 - my - ry) / 5)::bigint, floor((1000.0071 - my + ry) / 5)::bigint + 1)) as \"row\" from dm), px as (select *, unnest(range(floor((mx - rx - 0.0137) / 5)::bigint, floor((mx + rx - 0.0137) / 5)::bigint + 1)) as col from cell), hit as (select k, \"row\", col from px where abs(0.0137 + (col + 0.5) * 5 - mx) / rx + abs(1000.0071 - (\"row\" + 0.5) * 5 - my) / ry < 1)"
