@@ -92,7 +92,8 @@ def test_points_in_polygons_are_counted(spark, monkeypatch):
     monkeypatch.setattr(cells, "PART_ROWS", 7)
     diamond = lambda x, y, r: [[[[x, y - r], [x + r, y], [x, y + r], [x - r, y], [x, y - r]]]]
     rows = floats([(i, diamond(rng.uniform(0, 40), rng.uniform(0, 40), rng.choice([1.0, 4.0, 20.0]))) for i in range(30)])
-    rows += [(98, [[[[float(v) for v in p] for p in [*(c := G.circle(10.0, 10.0, 6.0, 20)[0]), c[0]]]]]), (99, box(90.0, 90.0, 91.0, 91.0)), (100, None)]
+    disc = G.circle(10.0, 10.0, 6.0, 20)[0]
+    rows += [(98, [[[[float(v) for v in p] for p in [*disc, disc[0]]]]]), (99, box(90.0, 90.0, 91.0, 91.0)), (100, None)]
     pts = [(rng.uniform(0, 40), rng.uniform(0, 40), rng.choice([None, 2.0, 3.5])) for _ in range(200)]
     inside = lambda s, x, y: s is not None and sum(G._within(ring, (x, y)) for part in s for ring in part) % 2
     got = {r.k: (r.points, r.sum_v) for r in shapes.count_points(spark.createDataFrame(pts, "x double, y double, v double"), layer(spark, rows), "k", "x", "y", "v", 8.0).collect()}
