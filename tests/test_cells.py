@@ -130,3 +130,27 @@ def test_overlay_areas_makes_no_pairs(spark, monkeypatch):
     for module in (V, shapes):
         monkeypatch.setattr(module, "box_pairs", no_pairs)
     assert spatial_queries.overlay_areas(spark, "/root/testdata/sf0.001").first().common > 0
+
+
+def test_buffers_are_made_in_batches(spark):
+    rows = rows_of(50, 16)
+    out = V.buffer(as_shapes(spark, rows), 2.0, area="area")
+    assert "mapinarrow" in out._jdf.queryExecution().executedPlan().toString().lower()
+    want = {r[0]: G.buffer_shape("polygon", box(*r[1:]), 2.0) for r in rows}
+    got = out.withColumn("again", G.shape_area(F.col("shape"))).collect()
+    assert len(got) == 50 and all(r.area == pytest.approx(G.area_of(want[r.k])) and r.again == pytest.approx(r.area) for r in got)
+
+
+def test_dissolve_hands_on_few_rectangles(spark, monkeypatch):
+    monkeypatch.setattr(V, "TILE_BOXES", 30)
+    rows = [(i, box(x := float(i % 40), y := float(i // 40), x + 3, y + 3), None if i % 2 else "a") for i in range(1600)] + [(9999, None, "b")]
+    df = spark.createDataFrame(floats_of(rows), f"k long, shape {G.SHAPE}, cls string")
+    out = V.dissolve(df, "cls", key="k")
+    got = {r.value: (r.features, G.area_of(V._shape(r.shape))) for r in out.collect()}
+    cells_of = lambda odd: {(x + u, y + v) for i in range(odd, 1600, 2) for x, y in [(i % 40, i // 40)] for u in range(3) for v in range(3)}
+    assert got == {None: (800, len(cells_of(1))), "a": (800, len(cells_of(0))), "b": (1, 0)}
+    assert "flatmapgroupsinpandas" in (plan := out._jdf.queryExecution().executedPlan().toString().lower()) and "salt" not in plan
+
+
+def floats_of(rows):
+    return [(k, s and [[[[float(v) for v in p] for p in ring] for ring in part] for part in s], c) for k, s, c in rows]
