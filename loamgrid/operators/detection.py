@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.operators.joins import box_iou, boxes_of
-from loamgrid.operators.vectors import box_pairs
+from loamgrid.operators.vectors import box_pairs, spread
 from loamgrid.storage import Staged
 
 BOX = ("x0", "y0", "x1", "y1")
@@ -71,14 +73,32 @@ def merge_cut(df: DataFrame, key: str, cls: str, score: str, tile: str, size: fl
 
     Pieces are joined by components (minimum labels), so an object cut by many tiles comes out once, under its least key, with the box around all pieces and the best score.
     """
-    from loamgrid.operators.joins import common_area
+    from loamgrid.operators import cells
     from loamgrid.operators.raster import spread_labels
 
-    a, b = boxes_of(df, "a", *BOX), boxes_of(df, "b", *BOX)
-    area = lambda s: (F.col(f"{s}_x1") - F.col(f"{s}_x0")) * (F.col(f"{s}_y1") - F.col(f"{s}_y0"))
-    pairs = box_pairs(a, b, size).where((F.col(f"a_{key}") < F.col(f"b_{key}")) & F.col(f"a_{cls}").eqNullSafe(F.col(f"b_{cls}")) & (F.col(f"a_{tile}") != F.col(f"b_{tile}")))
-    pairs = pairs.where(F.try_divide(common_area(), F.least(area("a"), area("b"))) >= least)
-    labels = spread_labels(df.select(F.col(key).alias("node")), pairs.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b")))
+    boxes = Staged(spread(df.select(key, cls, tile, *(F.col(c).cast("double").alias(c) for c in BOX)))).df
+
+    def joined(x, y, i, j, s, t):
+        least_area = np.minimum((x[2] - x[0]) * (x[3] - x[1]), (y[2] - y[0]) * (y[3] - y[1]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ok = cells.common(x, y) / least_area >= least
+        # Classes (null is one) and tiles (null is none) as numbers that both sides share.
+        for name, same, none in ((cls, True, True), (tile, False, False)):
+            p, q = s[f"a_{name}"].take(pa.array(i)), t[f"b_{name}"].take(pa.array(j))
+            codes = pa.chunked_array([*p.chunks, *q.chunks]).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            u, v = codes[: len(i), None], codes[None, len(i) :]
+            ok &= (u == v) == same
+            if not none:
+                ok &= p.is_valid().to_numpy()[:, None] & q.is_valid().to_numpy()[None]
+        return ok
+
+    # Within a cell pieces go to their least key at once; only the keys that share a piece are joined on.
+    found = Staged(cells.labels(boxes, key, size, joined)).df
+    least_root = Staged(found.groupBy(F.col(f"b_{key}").alias("piece")).agg(F.min("b_root").alias("root"))).df
+    bonds = found.join(least_root, F.col(f"b_{key}") == F.col("piece")).where("b_root <> root").select(F.col("b_root").alias("a"), F.col("root").alias("b")).distinct()
+    ends = spread_labels(found.select(F.col("b_root").alias("node")).distinct(), bonds)
+    pieces = least_root.join(ends, F.col("root") == F.col("node")).select("piece", "label")
+    labels = df.select(F.col(key).alias("node")).join(pieces, F.col("node") == F.col("piece"), "left").select("node", F.coalesce("label", "node").alias("label"))
     named = df.join(labels, F.col(key) == F.col("node"))
     g = named.groupBy(F.col("label").alias(key), cls)
     return g.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max(score).alias(score), F.count("*").alias("pieces"))
