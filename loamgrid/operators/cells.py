@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.functions.geometry import fewer_boxes
 from loamgrid.operators.meeting import PART_ROWS
 from loamgrid.operators.vectors import fitted_cells
 from loamgrid.storage import Staged, broadcast_upto
@@ -227,3 +228,22 @@ def ring_counts(points: DataFrame, rings: DataFrame, b_key: str, size: float, co
         return {b_key: held, "n": n[held], "s": columns["s"].sum(0)[held]}
 
     return in_cells(points, rings, size, find, ", ".join([*_kinds(rings, b_key), "n long", "s double"]), finish)
+
+
+def cover(a: DataFrame, b: DataFrame, a_key: str, size: float) -> DataFrame:
+    """``a_key, whole, x0, y0, x1, y1``: rectangles with the union of what the b cover of a box, as few as they become within a cell; ``whole`` is 1 where a cell's b cover all of it."""
+
+    def find(i, j, x, y, own, s, t):
+        whole = ((y[0] <= x[0]) & (y[1] <= x[1]) & (y[2] >= x[2]) & (y[3] >= x[3])).any(1)
+        shared, boxes, corners = common(x, y) > 0, y[:, 0].T, x[:, :, 0].T
+        at, rows, full = [i[whole]], [corners[whole]], [np.ones(whole.sum())]
+        for n in np.flatnonzero(~whole & shared.any(1)):
+            met = boxes[shared[n]]
+            cut = np.column_stack([np.maximum(met[:, :2], corners[n, :2]), np.minimum(met[:, 2:], corners[n, 2:])])
+            less = fewer_boxes(cut)
+            at.append(np.full(len(less), i[n]))
+            rows.append(less)
+            full.append(np.full(len(less), float(len(less) == 1 and (less[0] == corners[n]).all())))
+        return {a_key: np.concatenate(at), "whole": np.concatenate(full), **dict(zip(CORNERS, np.concatenate(rows).T, strict=True))}
+
+    return in_cells(a, b, size, find, ", ".join([*_kinds(a, a_key), "whole long", *(f"{c} double" for c in CORNERS)]))

@@ -129,7 +129,7 @@ def test_a_mask_of_one_row_is_broadcast(spark):
 def test_overlay_areas_makes_no_pairs(spark, monkeypatch):
     for module in (V, shapes):
         monkeypatch.setattr(module, "box_pairs", no_pairs)
-    assert spatial_queries.overlay_areas(spark, "/root/testdata/sf0.001").first().common > 0
+    assert spatial_queries.overlay_areas(spark, "/root/testdata/sf0.01").first().common > 0
 
 
 def test_buffers_are_made_in_batches(spark):
@@ -152,5 +152,14 @@ def test_dissolve_hands_on_few_rectangles(spark, monkeypatch):
     assert "flatmapgroupsinpandas" in (plan := out._jdf.queryExecution().executedPlan().toString().lower()) and "salt" not in plan
 
 
+def test_union_gathers_only_what_is_left(spark, small, monkeypatch):
+    monkeypatch.setattr(V, "split_pairs", no_pairs)
+    a, b = rows_of(60, 17, (0.5, 3.0, 9.0)), rows_of(150, 18, (3.0, 20.0))
+    out = {r.k: G.area_of(V._shape(r.shape)) for r in V.difference(as_shapes(spark, a), as_shapes(spark, b), "k", 8.0).collect()}
+    left = {p[0]: G.area_of(G.set_operation(box(*p[1:]), [part for q in b for part in box(*q[1:])], G.OPERATIONS["difference"])) for p in a}
+    want = {k: pytest.approx(v) for k, v in left.items() if v > 1e-9}
+    assert out == want and 0 < len(out) < len(a)
+
+
 def floats_of(rows):
     return [(k, s and [[[[float(v) for v in p] for p in ring] for ring in part] for part in s], c) for k, s, c in rows]
