@@ -1,6 +1,7 @@
 """Layers that meet in grid cells in numpy, without a row for each pair, against all pairs."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +127,23 @@ def test_a_mask_of_one_row_is_broadcast(spark):
     assert got == {k: v for k, v in want.items() if v > 0}
 
 
+@pytest.mark.parametrize("mask_rows", [1, 2 * V.FEW_ROWS])
+def test_a_clipped_layer_is_not_broadcast(spark, mask_rows):
+    """Its size on disk, by which Spark chooses, is a small part of its size in memory."""
+    boxes = spatial_queries._boxes(spark, "/root/testdata/sf0.01").select("k", "x0", "y0", "x1", "y1")
+    side = 400.0 / mask_rows
+    mask = layer(spark, [(i, box(200 + i * side, 150.0, 200 + (i + 1) * side, 700.0)) for i in range(mask_rows)])
+    out = V.overlay(spatial_queries._shapes(boxes), mask, "clip", "k", 64.0).select("k", G.shape_area(F.col("shape")).alias("a"))
+    got = {}
+    for r in out.collect():
+        got[r.k] = got.get(r.k, 0.0) + r.a
+    want = {p.k: common(p, (0, 200.0, 150.0, 600.0, 700.0)) for p in boxes.collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items() if v > 0} and len(got) > mask_rows
+    plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    sent = [float(n) for n in re.findall(r"BroadcastQueryStage.*rowCount=([\d.E+]+)", plan)]
+    assert sent and max(sent) <= mask_rows * 8, sent
+
+
 def test_overlay_areas_makes_no_pairs(spark, monkeypatch):
     for module in (V, shapes):
         monkeypatch.setattr(module, "box_pairs", no_pairs)
